@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from corrgraph.llm import exact_dedup as op1
+from corrgraph.llm import exact_dedup, mixing, quality_rules, wavelet
 
 
 def queries() -> dict:
     return {
-        "op1_exact_dedup": op1.op1_exact_dedup,
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_token_output": wavelet.op4_token_output,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_mixing": mixing.op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_exact_dedup": op1.OP1_SQL,
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op6_quality_rules": quality_rules.OP6_SQL,
     }
