@@ -18,9 +18,13 @@ shard to itself; rows that repeat an id follow each other; an empty table has no
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
+import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -31,11 +35,12 @@ from pyspark.sql import functions as F
 
 from corrgraph.llm.common import documents, new_dir, partitions, save, text_of
 
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 1 << 16
 END_ID = 1
 MAGIC = b"WVM1"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+GAPS = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 # --- the matrix -------------------------------------------------------------------------------
@@ -45,12 +50,11 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """The planes (packed bits) and their numbers of zeros."""
     planes, zeros, now = [], [], ids
     for level in range(bits - 1, -1, -1):
-        bit = (now >> now.dtype.type(level)) & now.dtype.type(1)
-        planes.append(np.packbits(bit.view(np.uint8)[:: bit.itemsize] if bit.itemsize > 1 else bit, bitorder="little"))
-        ones = bit.astype(bool)
-        low = now[~ones]
+        ones = (now & now.dtype.type(1 << level)) != 0
+        planes.append(np.packbits(ones, bitorder="little"))
+        low = now.compress(~ones)
         zeros.append(len(low))
-        now = np.concatenate([low, now[ones]])
+        now = np.concatenate([low, now.compress(ones)])
     return planes, zeros
 
 
@@ -163,8 +167,8 @@ class WaveletFile:
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             split = self.zeros[plane]
             out = np.empty_like(values)
-            out[~ones] = values[:split]
-            out[ones] = values[split:] | values.dtype.type(1 << (self.bits - 1 - plane))
+            out[np.flatnonzero(~ones)] = values[:split]
+            out[np.flatnonzero(ones)] = values[split:] | values.dtype.type(1 << (self.bits - 1 - plane))
             values = out
         return values
 
@@ -172,32 +176,79 @@ class WaveletFile:
 # --- encoding ---------------------------------------------------------------------------------
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level BPE writes for each byte: itself if it prints, else the next unused one from 256."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = itertools.count(256)
+    return {b: b if b in prints else next(spare) for b in range(256)}
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk between white space once.
 
-    The vocabulary's rules drop white space and never look across it, so a text's ids are those of
-    its chunks in turn.
+    The vocabulary's rules drop white space, never look across it, lower-case, and part letters from
+    punctuation. So a text's ids are those of its chunks in turn, and a chunk of letters that ends in
+    a comma or a full stop has the ids of the letters and of the mark. Letters in composed form go
+    straight to the library's BPE model; all other chunks take its whole way.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.marks = {m: self.whole([m])[0] for m in ",."}
+
+    def whole(self, chunks: list[str]) -> list[bytes]:
+        return [b"".join(map(self.packed.__getitem__, e.ids)) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def learn(self, chunks) -> None:
+        """Put the chunks into `known`: from the older generation, or encoded."""
+        known, older, packed, tokenize, rest = self.known, self.older, self.packed, self.model.tokenize, []
+        for w in chunks:
+            if w in older:
+                known[w] = older[w]
+                continue
+            core, tail = (w[:-1], self.marks[w[-1]]) if w[-1] in ",." else (w, b"")
+            if not core.isalpha() or core != core.lower():
+                rest.append(w)
+            elif core in known:
+                known[w] = known[core] + tail
+            elif core.isascii() or unicodedata.is_normalized("NFC", core):
+                word = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+                known[w] = b"".join([packed[t.id] for t in tokenize(word)]) + tail
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 2048):
+            known.update(zip(rest[i : i + 2048], self.whole(rest[i : i + 2048]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        chunks = [x.split() for x in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for ws in chunks for w in ws if w not in known})
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, ws)) for ws in chunks]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        out = []
+        for text in texts:
+            # Python's lower case is the library's, but for the capital sigma and the dotted I
+            text = text if "\u03a3" in text or "\u0130" in text else text.lower()
+            # Python splits at four separators that are no white space to the library
+            chunks = text.split() if not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else [w for w in GAPS.split(text) if w]
+            try:
+                out.append(b"".join(map(self.known.__getitem__, chunks)))
+            except KeyError:
+                self.learn({w for w in chunks if w not in self.known})
+                out.append(b"".join(map(self.known.__getitem__, chunks)))
+        return out
+
+
+@functools.lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process, kept from task to task."""
+    return WordEncoder(path)
 
 
 def filesystem(uri: str):
@@ -212,7 +263,7 @@ def write_shards(folder: str, tokenizer_path: str, shard_tokens: int, end_id: in
     def run(batches):
         import pyarrow as pa
 
-        encoder, end = WordEncoder(tokenizer_path), struct.pack("<I", end_id)
+        encoder, end = word_encoder(tokenizer_path), struct.pack("<I", end_id)
         store, root = filesystem(folder)
         held, ids, lengths, size, now, number, told = [], [], [], 0, None, 0, []
 
@@ -229,9 +280,9 @@ def write_shards(folder: str, tokenizer_path: str, shard_tokens: int, end_id: in
             held, ids, lengths, size, number = [], [], [], 0, number + 1
 
         for batch in batches:
-            ranges, doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            for i in range(0, len(texts), 256):
-                for r, d, data in zip(ranges[i : i + 256], doc_ids[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
+            for i in range(0, batch.num_rows, 128):
+                ranges, doc_ids, texts = (c.to_pylist() for c in batch.slice(i, 128).columns)
+                for r, d, data in zip(ranges, doc_ids, encoder.encode(texts), strict=True):
                     n = len(data) // 4 + 1
                     if r != now or size + n > shard_tokens:
                         flush()
