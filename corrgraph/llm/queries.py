@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corrgraph.llm import exact_dedup, mixing, quality_rules, wavelet
+from corrgraph.llm import exact_dedup, language_id, mixing, quality_rules, toxicity, wavelet
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op4_token_output": wavelet.op4_token_output,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_mixing": mixing.op8_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
