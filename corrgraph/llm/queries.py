@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corrgraph.llm import exact_dedup, language_id, mixing, quality_rules, secret_scan, substring_dedup, toxicity, wavelet
+from corrgraph.llm import exact_dedup, language_id, mixing, quality_rules, secret_scan, sentencepiece_scan, substring_dedup, toxicity, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
         "op4_token_output": wavelet.op4_token_output,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_secret_scan": secret_scan.op7_secret_scan,
