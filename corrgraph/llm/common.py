@@ -63,3 +63,39 @@ def text_of(name: str) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_group_first(rows: DataFrame, key: list[str], value: str, name: str, share: float = 0.001) -> DataFrame:
+    """rows with a column `name`: the smallest `value` among the rows of the same key.
+
+    Keys above `share` of the rows are found by a Misra-Gries sketch over the first key column,
+    verified, and broadcast (at most 1 / share of them); the rest are dealt by key once.
+    """
+    from pyspark.sql import Window
+
+    total = rows.count()
+    candidates = rows.stat.freqItems([key[0]], share).select(F.explode(f"{key[0]}_freqItems").alias(key[0]))
+    heavy = rows.join(F.broadcast(candidates), key[0], "left_semi").groupBy(*key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
+    heavy = save(heavy.filter(F.col("_n") > share * total).drop("_n"), "heavy")
+    near = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy), key, "left_anti").withColumn(name, F.min(value).over(Window.partitionBy(*key)))
+    return near.unionByName(rest)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of every node of links (a, b); a component is named by its smallest node.
+
+    Each round takes the smallest name among a node and its neighbours, then the name of that name,
+    so long chains shorten by half and more. Tables are written each round; nothing is collected.
+    """
+    edges = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    edges = save(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").distinct(), "edges")
+    names = save(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "names")
+    while True:
+        near = edges.join(names.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
+        closer = names.join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
+        jump = names.select(F.col("node").alias("c"), F.col("component").alias("m"))
+        new = save(closer.join(jump, "c", "left").select("node", F.least("c", "m").alias("component"), "old"), "names")
+        names = new.select("node", "component")
+        if not new.filter("component <> old").limit(1).count():
+            return names
