@@ -346,7 +346,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     return plain.unionByName(long).withColumnsRenamed({"_id": id_col, "_hash": "text_sha256"})
 
 
-def decode_batches(path: str):
+def decode_batches(path: str, keep_ids: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -360,16 +360,17 @@ def decode_batches(path: str):
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     sizes.append(len(ids))
                 digests = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(digests), pa.array(texts)], names=["_id", "text_sha256", "n_chunks", "n_ids", "ids_crc32", "decoded_sha256", "decoded"])
+                columns = [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(digests), *([part.column(1)] if keep_ids else []), pa.array(texts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "text_sha256", "n_chunks", "n_ids", "ids_crc32", "decoded_sha256", *(["ids"] if keep_ids else []), "decoded"])
 
     return run
 
 
-def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
-    """id, text_sha256, n_chunks, n_ids, ids_crc32, decoded_sha256, decoded of every row of encode()'s result."""
+def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """id, text_sha256, n_chunks, n_ids, ids_crc32, decoded_sha256, decoded, and ids if they are to be kept, of every row of encode()'s result."""
     kind = dict(encoded.dtypes)[id_col]
     rows = encoded.select(F.col(id_col).alias("_id"), "ids", "text_sha256", "n_chunks")
-    out = rows.mapInArrow(decode_batches(model_path), f"_id {kind}, text_sha256 string, n_chunks int, n_ids long, ids_crc32 long, decoded_sha256 string, decoded string")
+    out = rows.mapInArrow(decode_batches(model_path, keep_ids), f"_id {kind}, text_sha256 string, n_chunks int, n_ids long, ids_crc32 long, decoded_sha256 string, {'ids array<int>, ' if keep_ids else ''}decoded string")
     return out.withColumnRenamed("_id", id_col)
 
 
