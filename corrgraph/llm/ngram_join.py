@@ -1,8 +1,9 @@
 """N-gram Jaccard join with R-trees over count vectors.
 
 A document is the set of its distinct shingles of SHINGLE words, each hashed to 64 bits (within a pair
-of documents of n shingles a collision has a chance near n^2 / 2^64). Shingles fall into GROUPS
-groups by hash, and a document is the point of its counts by group. Two sets share at most the sum of
+of documents of n shingles a collision has a chance near n^2 / 2^64). Shingles fall into
+groups by their leading bits, and a document is the point of its counts by group; larger documents
+have more groups, and fold to fewer where they meet smaller ones. Two sets share at most the sum of
 the smaller coordinates, so an R-tree over points bounds the overlap of a query with a whole node by
 the node's upper corner, and drops it when the bound is below what the sizes require.
 
@@ -36,7 +37,8 @@ from corrgraph.llm.common import components, documents, partitions, save, text_o
 
 SHINGLE = 4
 PERCENT = 85
-GROUPS = 64
+#: Groups of a document's point: a power of two, an eighth of its shingles or more, within these bounds.
+FEWEST, MOST = 64, 1024
 PERMUTATIONS = 3
 LEAF = 64
 #: Leaves that a query of the grouping pass looks at; the completing pass looks at all it cannot drop.
@@ -126,10 +128,45 @@ class CountTree:
                 yield found
 
 
-def forest(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def groups_for(n: int) -> int:
+    return min(MOST, max(FEWEST, 1 << max(0, (n // 8 - 1).bit_length())))
+
+
+def pack_point(s: np.ndarray) -> bytes:
+    """The counts by group; one byte each if they fit, else four, which the length tells."""
+    groups = groups_for(len(s))
+    counts = np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpack_points(packed: list[bytes], sizes: np.ndarray, groups: int) -> np.ndarray:
+    """The points, folded to so many groups."""
+    out = np.empty((len(packed), groups), np.int32)
+    for k, (data, n) in enumerate(zip(packed, sizes.tolist(), strict=True)):
+        point = np.frombuffer(data, "u1" if len(data) == groups_for(n) else "<u4")
+        out[k] = point if len(point) == groups else point.reshape(groups, -1).sum(1)
+    return out
+
+
+def classes_of(sizes: np.ndarray):
+    """For each number of groups: it, the rows that have it, and those rows with the next larger ones.
+
+    Sizes that can be alike differ by less than a half, so they have the same number or the next.
+    """
+    groups = np.array([groups_for(n) for n in sizes.tolist()])
+    for g in np.unique(groups):
+        yield int(g), np.flatnonzero(groups == g), np.flatnonzero(groups == 2 * g)
+
+
+def bounds(points: np.ndarray, sizes: np.ndarray, percent: int, i: int) -> np.ndarray:
+    """Whether each row may be alike with row i."""
+    least, both = np.minimum(sizes, sizes[i]), np.minimum(points, points[i]).sum(1)
+    return ((100 + percent) * both >= percent * (sizes + sizes[i])) & (100 * least >= percent * np.maximum(sizes, sizes[i]))
+
+
+def forest(packed: list[bytes], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Candidate pairs that join a block's documents into groups, without a circle; the first document is tried first."""
-    n = len(sizes)
-    root = np.arange(n)
+    root = list(range(len(sizes)))
 
     def find(x):
         while root[x] != x:
@@ -137,25 +174,47 @@ def forest(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[in
             x = root[x]
         return x
 
-    tree = CountTree(points, sizes, percent)
-    near = tree.reaches(points[0], int(sizes[0]), points, sizes, sizes) >= 0
-    out = [(0, int(i)) for i in np.flatnonzero(near) if i]
-    root[near] = 0
-    for i in np.flatnonzero(~near):
-        mine = find(i)
-        for found in tree.search(points[i], int(sizes[i]), LOOKS):
-            j = next((int(j) for j in found if j != i and find(j) != mine), None)
-            if j is not None:
-                out.append((min(i, j), max(i, j)))
-                root[mine] = find(j)
-                break
-    return [(int(a), int(b)) for a, b in out]
-
-
-def across(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    out = []
+
+    def join(i, j):
+        a, b = find(i), find(j)
+        if a != b:
+            out.append((min(i, j), max(i, j)))
+            root[max(a, b)] = min(a, b)
+
+    for g, own, larger in classes_of(sizes):
+        rows = np.concatenate([own, larger])
+        points, n = unpack_points([packed[k] for k in rows], sizes[rows], g), sizes[rows]
+        if len(rows) < 2:
+            continue
+        near = bounds(points, n, percent, 0)
+        for k in np.flatnonzero(near)[1:]:
+            join(int(rows[0]), int(rows[k]))
+        tree = CountTree(points, n, percent) if len(rows) > LEAF else None
+        for k in range(1, len(own)):
+            if near[k]:
+                continue
+            found = tree.search(points[k], int(n[k]), LOOKS) if tree else [np.flatnonzero(bounds(points, n, percent, k))]
+            mine = find(int(rows[k]))
+            other = next((int(rows[j]) for part in found for j in part if find(int(rows[j])) != mine), None)
+            if other is not None:
+                join(int(rows[k]), other)
+    return out
+
+
+def across(packed: list[bytes], sizes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """All candidate pairs of different labels."""
-    tree = CountTree(points, sizes, percent)
-    return [(i, int(j)) for i in range(len(sizes)) for found in tree.search(points[i], int(sizes[i])) for j in found[found > i] if labels[i] != labels[j]]
+    out = []
+    for g, own, larger in classes_of(sizes):
+        rows = np.concatenate([own, larger])
+        if len(rows) < 2:
+            continue
+        points, n, names = unpack_points([packed[k] for k in rows], sizes[rows], g), sizes[rows], labels[rows]
+        tree = CountTree(points, n, percent) if len(rows) > LEAF else None
+        for k in range(len(own)):
+            for part in tree.search(points[k], int(n[k])) if tree else [np.flatnonzero(bounds(points, n, percent, k))]:
+                out += [(int(rows[k]), int(rows[j])) for j in part[part > k] if names[j] != names[k]]
+    return out
 
 
 # --- batches ----------------------------------------------------------------------------------
@@ -213,7 +272,6 @@ def print_batches(size: int, percent: int, common: tuple[np.ndarray, np.ndarray]
                     if not n:
                         rows.append((0, None, None, None))
                         continue
-                    point = np.bincount((s >> np.uint64(58)).astype(np.int64) % GROUPS, minlength=GROUPS)
                     first = [int(s[(s * m).argmin()].view(np.int64)) for m in ORDERS[:PERMUTATIONS]]
                     rank = np.zeros(n, np.int64)
                     if len(hashes):
@@ -221,7 +279,7 @@ def print_batches(size: int, percent: int, common: tuple[np.ndarray, np.ndarray]
                         rank = np.where(hashes[at] == s, ranks[at], 0)
                     take = n - -(-percent * n // 100) + 1
                     keys = s[np.lexsort((s, rank))[:take]].view(np.int64)
-                    rows.append((n, point.astype("<u4").tobytes(), first, keys))
+                    rows.append((n, pack_point(s), first, keys))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["_id", "_n", "_point", "_first", "_keys"])
 
     return run
@@ -257,8 +315,9 @@ def pair_batches(percent: int, labelled: bool):
             ids, sizes = held[3], np.array(held[4], np.int64)
             if len(ids) < 2:
                 continue
-            points = np.frombuffer(b"".join(held[5]), "<u4").reshape(len(ids), GROUPS).astype(np.int64)
-            pairs = across(points, sizes, np.array(held[6]), percent) if labelled else forest(points, sizes, percent)
+            pairs = across(held[5], sizes, np.array(held[6]), percent) if labelled else forest(held[5], sizes, percent)
+            if not pairs:
+                continue
             a, b = [ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]
             kind = pa.int64() if isinstance(ids[0], int) else pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
@@ -270,25 +329,29 @@ def mixed_batches(batches):
     """mapInArrow over (_key, _id, _label) sorted by key: the rows of blocks that have two labels or more."""
     import pyarrow as pa
 
-    out, types = [[], [], []], []
+    held = None
 
-    def typed():
-        for batch in batches:
-            types[:] = [c.type for c in batch.columns]
-            yield batch
-
-    def made():
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["_key", "_id", "_label"])
-
-    for held in blocks(typed(), 1, 3):
-        if len(set(held[2])) > 1:
-            for c, v in zip(out, held, strict=True):
-                c += v
-        if len(out[0]) > 20_000:
-            yield made()
-            out = [[], [], []]
-    if out[0]:
-        yield made()
+    def mixed(table, last):
+        """The mixed blocks of the rows, and the last block, which may go on in the next batch."""
+        key, label = table.column(0).to_numpy(), table.column(2).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        end = len(key) if last else starts[-1]
+        differs = np.concatenate([[False], (label[1:] != label[:-1]) & (key[1:] == key[:-1])])
+        block = np.cumsum(np.isin(np.arange(len(key)), starts, assume_unique=True)) - 1
+        good = np.zeros(len(starts), bool)
+        good[block[differs]] = True
+        keep = np.flatnonzero(good[block[:end]])
+        return table.take(pa.array(keep)), None if last else table.slice(end)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None and held.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        out, held = mixed(batch, False)
+        yield out
+    if held is not None and held.num_rows:
+        yield mixed(held, True)[0]
 
 
 def verify_batches(size: int, percent: int):
