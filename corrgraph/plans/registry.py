@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corrgraph.plans import graph_queries
+
+GROUPS = [graph_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, sql in group.ORACLE.items()}
