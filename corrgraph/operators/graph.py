@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corrgraph.functions.relations import RelationRegistry, all_packs
 from corrgraph.plans.scratch import is_empty, save
 
-ENTITY = "id string, kind string, label string, attributes string, ord long"
+ENTITY = "id string, kind string, label string, attributes string, locators array<string>, ord long"
 MAPPING = "id string, relation string, cardinality string, lossiness string, transform string, status string, attributes string, ord long"
 ENDPOINT = "mapping_id string, side string, pos long, entity_id string"
 AUTHORITY = "id string, concept string, source string, mode string, delegated_from string, ord long"
@@ -163,7 +163,6 @@ def impact_seeds(graph: Graph, changed: DataFrame, policy_subjects: DataFrame |
 
     Seeds go in the order of their ids, and each one's own subjects before the next seed.
     """
-    spark = graph.spark
     own = changed.select("id", F.col("id").alias("of"), F.lit(-1).cast("long").alias("n"))
     ends = graph.endpoints.join(changed, F.col("mapping_id") == F.col("id"), "left_semi").select(F.col("entity_id").alias("id"), F.col("mapping_id").alias("of"), (F.when(F.col("side") == "source", 0).otherwise(1_000_000_000) + F.col("pos")).cast("long").alias("n"))
     rules = graph.authorities.join(changed.select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left_semi")
@@ -173,7 +172,6 @@ def impact_seeds(graph: Graph, changed: DataFrame, policy_subjects: DataFrame |
         seeds = seeds.unionByName(policy_subjects.join(changed.select(F.col("id").alias("of")), "of", "left_semi").select("id", "of", F.col("n").cast("long")))
     place = F.struct("of", "n")
     first = seeds.groupBy("id").agg(F.min(place).alias("p"))
-    del spark
     path = F.when(F.col("p.n") == -1, F.array("id")).otherwise(F.array("p.of", "id"))
     return first.select("id", path.alias("path"), F.concat(F.col("p.of"), F.lit("\u0000"), F.lpad((F.col("p.n") + 1).cast("string"), 12, "0")).alias("place"))
 

@@ -41,7 +41,7 @@ def entities(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFram
         if broken and kind in ("customer", "part"):
             df = df.filter(F.col(key) % 97 != 0)
         status = F.concat(F.lit('{"status":"'), F.col("o_orderstatus"), F.lit('"}')) if kind == "order" else F.lit("{}")
-        row = df.select(urn(kind, key).alias("id"), F.lit(f"tpch:{kind}").alias("kind"), (F.col(label) if label else F.concat(F.lit("order "), F.col(key).cast("string"))).alias("label"), status.alias("attributes"), (F.lit(k * STEP) + F.col(key)).alias("ord"))
+        row = df.select(urn(kind, key).alias("id"), F.lit(f"tpch:{kind}").alias("kind"), (F.col(label) if label else F.concat(F.lit("order "), F.col(key).cast("string"))).alias("label"), status.alias("attributes"), F.array().cast("array<string>").alias("locators"), (F.lit(k * STEP) + F.col(key)).alias("ord"))
         parts.append(row)
         if broken and kind == "supplier":
             parts.append(row.filter(F.col("ord") % 50 == 0).withColumns({"label": F.lit("again"), "ord": F.col("ord") + 100 * STEP}))
