@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import SPACE, documents, save, text_of
+from corrgraph.llm.common import SPACE, documents, save, text_of, without_ids
 
 #: A digest with more than this share of the rows is heavy; so at most 1000 are broadcast.
 HEAVY_SHARE = 0.001
@@ -67,8 +67,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the copies. Of rows that repeat both id and text, one stays."""
     decided = save(exact_duplicates(df, id_col, text_col), "decided")
-    gone = decided.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    left = df.join(gone, df[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    left = without_ids(df, id_col, decided.filter(~F.col("kept")), id_col)
     repeated = decided.filter("kept").groupBy(id_col).count().filter("count > 1").limit(1).count()
     return left.dropDuplicates([id_col, text_col]) if repeated else left
 

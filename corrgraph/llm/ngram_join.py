@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import components, documents, partitions, save, text_of, with_group_first
+from corrgraph.llm.common import components, documents, id_filter, partitions, save, text_of, with_group_first, without_ids
 
 SHINGLE = 4
 PERCENT = 85
@@ -394,7 +394,8 @@ def verified(pairs: DataFrame, texts: DataFrame, kind: str, size: int, percent:
     rows = pairs.join(hubs, "a").select(F.col("a").alias("_hub"), F.pmod(F.xxhash64("b"), F.col("_parts").cast("long")).alias("_part"), F.col("b").alias("_member"), F.col("b").alias("_of"))
     heads = hubs.select(F.col("a").alias("_hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)).alias("_part"), F.lit(None).cast(kind).alias("_member"), F.col("a").alias("_of"))
     wanted = save(rows.unionByName(heads), "wanted")
-    dealt = wanted.join(texts, F.col("_of") == F.col("_id")).select("_hub", "_part", "_member", "_text")
+    asked, _ = id_filter(texts, "_id", save(wanted.select("_of").distinct(), "asked"), "_of")
+    dealt = wanted.join(asked, F.col("_of") == F.col("_id")).select("_hub", "_part", "_member", "_text")
     dealt = dealt.repartition(partitions(spark), "_hub", "_part").sortWithinPartitions("_hub", "_part", F.col("_member").asc_nulls_first())
     return save(dealt.mapInArrow(verify_batches(size, percent), f"a {kind}, b {kind}"), "links")
 
@@ -415,10 +416,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     full, empty = info.filter("_n > 0 AND _id IS NOT NULL"), info.filter("_n = 0 OR _id IS NULL")
     classes = save(with_group_first(full, ["_high", "_low"], "_id", "_class"), "classes")
-    copies = classes.filter("_id <> _class").select(F.col("_id").alias("_copy")).distinct()
     once = texts.dropDuplicates(["_id"]) if has_repeats(classes) else texts
-    # the copies are few or dealt by id; those of one text never meet in one task
-    firsts = once.filter("_id IS NOT NULL").join(copies, F.col("_id") == F.col("_copy"), "left_anti")
+    firsts = without_ids(once.filter("_id IS NOT NULL"), "_id", classes.filter("_id <> _class"), "_id")
     prints = firsts.mapInArrow(print_batches(size, percent, order), f"_id {kind}, _n long, _point binary, _first array<long>, _keys array<long>")
     prints = save(prints.filter("_n > 0"), "prints")
 
@@ -459,8 +458,7 @@ def has_repeats(classes: DataFrame) -> bool:
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """df with one document of each component: the one that names it."""
     found = save(near_duplicates(df, id_col, text_col, **more), "near")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    return without_ids(df, id_col, found.filter(F.col(id_col) != F.col("component_id")), id_col)
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
