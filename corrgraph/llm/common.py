@@ -114,17 +114,17 @@ def id_filter(df: DataFrame, id_col: str, ids: DataFrame, name: str) -> tuple[Da
     size = min(MOST_BITS, 1 << max(12, (8 * ids.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {size}) & 63 as int))")
-    bits = ids.select(F.shiftright(place(F.col(name)), 6).alias("_word"), bit(f"`{name}`").alias("_bit"))
-    bits = F.broadcast(save(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_mask")), "bits"))
-    keyed = df.withColumns({"_place": F.shiftright(place(F.col(f"`{id_col}`")), 6), "_own": bit(f"`{id_col}`")})
-    told = keyed.join(bits, F.col("_place") == F.col("_word"), "left").withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(F.col("_own")) != 0, F.lit(False)))
+    bits = ids.select(F.shiftright(place(F.col(name)), 6).alias("__cg_word"), bit(f"`{name}`").alias("__cg_bit"))
+    bits = F.broadcast(save(bits.groupBy("__cg_word").agg(F.bit_or("__cg_bit").alias("__cg_mask")), "bits"))
+    keyed = df.withColumns({"__cg_place": F.shiftright(place(F.col(f"`{id_col}`")), 6), "__cg_own": bit(f"`{id_col}`")})
+    told = keyed.join(bits, F.col("__cg_place") == F.col("__cg_word"), "left").withColumn("__cg_maybe", F.coalesce(F.col("__cg_mask").bitwiseAND(F.col("__cg_own")) != 0, F.lit(False)))
     plain = [f"`{c}`" for c in df.columns]
-    return told.filter("_maybe").select(*plain), told.filter("NOT _maybe").select(*plain)
+    return told.filter("__cg_maybe").select(*plain), told.filter("NOT __cg_maybe").select(*plain)
 
 
 def without_ids(df: DataFrame, id_col: str, gone: DataFrame, name: str) -> DataFrame:
     """df without the rows whose id is among gone (name); only rows that may be among them are shuffled."""
     gone = save(gone.select(name).distinct(), "gone")
     maybe, rest = id_filter(df, id_col, gone, name)
-    other = gone.withColumnRenamed(name, "_gone_id")
-    return rest.unionByName(maybe.join(other, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti"))
+    other = gone.withColumnRenamed(name, "__cg_gone_id")
+    return rest.unionByName(maybe.join(other, F.col(id_col).eqNullSafe(F.col("__cg_gone_id")), "left_anti"))

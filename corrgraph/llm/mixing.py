@@ -163,16 +163,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **more) -> DataFrame:
     """df with each row as often as the mix takes it. Rows of one id are matched in order of their size."""
-    mixed = save(mix(df, id_col, source_col, text_col, **more), "mixed").select(F.col(id_col).alias("_id"), F.col("size").alias("_n"), F.col("source").alias("_from"), F.col("copies").alias("_copies"))
-    if mixed.groupBy("_id").count().filter("count > 1").limit(1).count():
-        nth = Window.partitionBy("_id", "_n", "_from").orderBy("_copies")
-        mixed = mixed.withColumn("_nth", F.row_number().over(nth))
-        sized = df.withColumn("_n", F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"))
-        sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_n", source_col).orderBy(text_col)))
-        both = sized.join(mixed.withColumnsRenamed({"_n": "_m", "_nth": "_mth"}), (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_n") == F.col("_m")) & (F.col(source_col).eqNullSafe(F.col("_from"))) & (F.col("_nth") == F.col("_mth")))
+    mixed = save(mix(df, id_col, source_col, text_col, **more), "mixed").select(F.col(id_col).alias("__cg_id"), F.col("size").alias("__cg_n"), F.col("source").alias("__cg_from"), F.col("copies").alias("__cg_copies"))
+    if mixed.groupBy("__cg_id").count().filter("count > 1").limit(1).count():
+        nth = Window.partitionBy("__cg_id", "__cg_n", "__cg_from").orderBy("__cg_copies")
+        mixed = mixed.withColumn("__cg_nth", F.row_number().over(nth))
+        sized = df.withColumn("__cg_n", F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"))
+        sized = sized.withColumn("__cg_nth", F.row_number().over(Window.partitionBy(id_col, "__cg_n", source_col).orderBy(text_col)))
+        both = sized.join(mixed.withColumnsRenamed({"__cg_n": "__cg_m", "__cg_nth": "__cg_mth"}), (F.col(id_col).eqNullSafe(F.col("__cg_id"))) & (F.col("__cg_n") == F.col("__cg_m")) & (F.col(source_col).eqNullSafe(F.col("__cg_from"))) & (F.col("__cg_nth") == F.col("__cg_mth")))
     else:
-        both = df.join(mixed, F.col(id_col).eqNullSafe(F.col("_id")))
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*[f"`{c}`" for c in df.columns])
+        # mixed has a row for every document: one plan at every size, with neither side broadcast
+        both = df.join(mixed.hint("merge"), F.col(id_col).eqNullSafe(F.col("__cg_id")))
+    return both.withColumn("__cg_copy", F.explode(F.array_repeat(F.lit(0), F.col("__cg_copies").cast("int")))).select(*[f"`{c}`" for c in df.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
