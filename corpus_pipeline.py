@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrgraph.llm import exact_dedup, mixing, ngram_join, sentencepiece_scan, toxicity
-from corrgraph.llm.common import save
+from corrgraph.llm.common import save, without_ids
 
 #: Training, and pairing in the mix, cannot be said in SQL.
 ORACLE_SQL = None
@@ -26,8 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut. The classifier learns from the rows that op9 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = toxicity.toxicity(docs, labels, held=toxicity.held_out())
-    toxic = judged.filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti")
+    return without_ids(docs, "doc_id", judged.filter("predicted = 1"), "doc_id")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
