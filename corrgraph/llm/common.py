@@ -128,3 +128,38 @@ def without_ids(df: DataFrame, id_col: str, gone: DataFrame, name: str) -> DataF
     maybe, rest = id_filter(df, id_col, gone, name)
     other = gone.withColumnRenamed(name, "__cg_gone_id")
     return rest.unionByName(maybe.join(other, F.col(id_col).eqNullSafe(F.col("__cg_gone_id")), "left_anti"))
+
+
+#: Bytes of an Arrow batch at most: workers and the JVM hold a few batches at a time, whatever a row weighs.
+BATCH_BYTES = "4m"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def lean(run):
+    """run, for mapInArrow or mapInPandas: batches bounded by bytes, memory released at the end."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCH_CONF, None) in (None, "67108864b"):  # its default
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import documents
+from corrgraph.llm.common import documents, lean
 
 DIMENSIONS = 1024
 SYMBOLS = 64
@@ -92,7 +92,7 @@ def count_trigrams(batches):
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their prototypes, from rows (lang, text)."""
-    counts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").mapInPandas(count_trigrams, "lang string, code int, n long")
+    counts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").mapInPandas(lean(count_trigrams), "lang string, code int, n long")
     table = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs, memory = sorted(table["lang"].unique()), item_memory()
     profile = np.zeros((len(langs), DIMENSIONS))
@@ -167,7 +167,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
     """id, held_out, lang_pred, score of every row of df."""
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), (held if held is not None else F.lit(False)).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return rows.mapInArrow(score_batches(*model), f"_id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lean(score_batches(*model)), f"_id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

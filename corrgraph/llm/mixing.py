@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import WORD, documents, partitions, save, text_of
+from corrgraph.llm.common import WORD, documents, lean, partitions, save, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -142,7 +142,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
         dealt = rows.repartition(partitions(spark), "_bucket", *(["_source"] if level else [])).sortWithinPartitions(
             "_bucket", "_source", F.xxhash64(F.lit(seed), "_id"), "_id", "_size"
         )
-        paired = save(dealt.mapInPandas(pair_off(seed + level, buckets == 1), schema), f"level{level}")
+        paired = save(dealt.mapInPandas(lean(pair_off(seed + level, buckets == 1)), schema), f"level{level}")
         done.append(paired.filter("_p = 0"))
         if buckets == 1:
             break

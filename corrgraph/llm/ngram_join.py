@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import components, documents, id_filter, partitions, save, text_of, with_group_first, without_ids
+from corrgraph.llm.common import components, documents, id_filter, lean, partitions, save, text_of, with_group_first, without_ids
 
 SHINGLE = 4
 PERCENT = 85
@@ -48,7 +48,7 @@ BLOCK = 4096
 #: Counters of a task, and common shingles that the order knows at most.
 COUNTERS = 1 << 16
 COMMON = 1 << 16
-CACHE = 300_000
+CACHE = 200_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 #: Multipliers of the orders of the grouping pass; the first leaves the hash as it is.
 ORDERS = np.array([1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -397,14 +397,14 @@ def verified(pairs: DataFrame, texts: DataFrame, kind: str, size: int, percent:
     asked, _ = id_filter(texts, "_id", save(wanted.select("_of").distinct(), "asked"), "_of")
     dealt = wanted.join(asked, F.col("_of") == F.col("_id")).select("_hub", "_part", "_member", "_text")
     dealt = dealt.repartition(partitions(spark), "_hub", "_part").sortWithinPartitions("_hub", "_part", F.col("_member").asc_nulls_first())
-    return save(dealt.mapInArrow(verify_batches(size, percent), f"a {kind}, b {kind}"), "links")
+    return save(dealt.mapInArrow(lean(verify_batches(size, percent)), f"a {kind}, b {kind}"), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id of every row of df; component_id is the smallest id reachable by links."""
     spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
     texts = df.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
-    told = save(texts.mapInArrow(info_batches(size), f"_id {kind}, _n long, _high long, _low long, _shingle long, _count long"), "info")
+    told = save(texts.mapInArrow(lean(info_batches(size)), f"_id {kind}, _n long, _high long, _low long, _shingle long, _count long"), "info")
     info = told.filter("_n IS NOT NULL").drop("_shingle", "_count")
     counted = told.filter("_shingle IS NOT NULL").groupBy("_shingle").agg(F.sum("_count").alias("c"))
     # at most COMMON rows of two numbers: only the order of shingles depends on them, no result does
@@ -418,7 +418,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = save(with_group_first(full, ["_high", "_low"], "_id", "_class"), "classes")
     once = texts.dropDuplicates(["_id"]) if has_repeats(classes) else texts
     firsts = without_ids(once.filter("_id IS NOT NULL"), "_id", classes.filter("_id <> _class"), "_id")
-    prints = firsts.mapInArrow(print_batches(size, percent, order), f"_id {kind}, _n long, _point binary, _first array<long>, _keys array<long>")
+    prints = firsts.mapInArrow(lean(print_batches(size, percent, order)), f"_id {kind}, _n long, _point binary, _first array<long>, _keys array<long>")
     prints = save(prints.filter("_n > 0"), "prints")
 
     # pass 1: grouping
@@ -428,7 +428,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = F.when(F.col("_part").isNull(), F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.lit(BLOCK)).cast("long") - 1)).otherwise(F.array(F.col("_part").cast("long")))
     keyed = keyed.select("_key", F.explode(parts).alias("_part"), (F.col("_id") != F.col("_hub")).cast("int").alias("_hub"), "_id", "_n", "_point", F.lit(0).alias("_label"))
     dealt = keyed.repartition(partitions(spark), "_key", "_part").sortWithinPartitions("_key", "_part", "_hub", "_id")
-    pairs = dealt.mapInArrow(pair_batches(percent, False), f"a {kind}, b {kind}").distinct()
+    pairs = dealt.mapInArrow(lean(pair_batches(percent, False)), f"a {kind}, b {kind}").distinct()
     links = verified(save(pairs, "pairs"), once, kind, size, percent)
     labels = components(links)
 
@@ -437,11 +437,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = save(prints.join(named, F.col("_id") == F.col("_node"), "left").withColumn("_label", F.coalesce("_label", "_id")).drop("_node", "_first"), "labelled")
     keyed = known.select(F.explode("_keys").alias("_key"), "_id", "_label")
     dealt = keyed.repartition(partitions(spark), "_key").sortWithinPartitions("_key")
-    mixed = save(dealt.mapInArrow(mixed_batches, f"_key long, _id {kind}, _label {kind}"), "mixed")
+    mixed = save(dealt.mapInArrow(lean(mixed_batches), f"_key long, _id {kind}, _label {kind}"), "mixed")
     points = known.select(F.col("_id").alias("_p"), "_n", "_point")
     rows = mixed.join(points, F.col("_id") == F.col("_p")).select("_key", F.lit(0).cast("long").alias("_part"), F.lit(0).alias("_hub"), "_id", "_n", "_point", "_label")
     dealt = rows.repartition(partitions(spark), "_key").sortWithinPartitions("_key", "_id")
-    pairs = dealt.mapInArrow(pair_batches(percent, True), f"a {kind}, b {kind}")
+    pairs = dealt.mapInArrow(lean(pair_batches(percent, True)), f"a {kind}, b {kind}")
     more = verified(save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2"), once, kind, size, percent)
 
     # equal sets are linked too, and components are named by the smallest id of all

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import documents
+from corrgraph.llm.common import documents, lean
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns of the base kinds.
@@ -118,7 +118,7 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """id, n_assign, n_access, n_hex, base_sha256, spans of every row of df."""
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     kind = dict(df.dtypes)[id_col]
-    return rows.mapInArrow(scan_batches, f"_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lean(scan_batches), f"_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("_id", id_col)
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import documents, partitions, save, text_of
+from corrgraph.llm.common import documents, lean, partitions, save, text_of
 
 GIANT = 32_768
 CHUNK = 8_192
@@ -330,15 +330,15 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     text = text_of(text_col)
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.sha2(F.replace(text, F.lit(GAP), F.lit(" ")), 256).alias("_hash"), text.alias("_text"))
     head = f"_id {kind}, _hash string"
-    plain = rows.filter(F.length("_text") < giant).mapInArrow(encode_batches(model_path), head + ", ids array<int>, n_chunks int")
-    pieces = save(rows.filter(F.length("_text") >= giant).dropDuplicates(["_id", "_hash"]).mapInArrow(cut_batches(model_path, chunk), head + ", _nth int, _slice string, _first int, _last int, _opens boolean, _closes boolean"), "chunks")
+    plain = rows.filter(F.length("_text") < giant).mapInArrow(lean(encode_batches(model_path)), head + ", ids array<int>, n_chunks int")
+    pieces = save(rows.filter(F.length("_text") >= giant).dropDuplicates(["_id", "_hash"]).mapInArrow(lean(cut_batches(model_path, chunk)), head + ", _nth int, _slice string, _first int, _last int, _opens boolean, _closes boolean"), "chunks")
     dealt = pieces.repartition(partitions(spark))
-    found = dealt.mapInArrow(matrix_batches(model_path), head + ", _nth int, _matrix array<string>")
+    found = dealt.mapInArrow(lean(matrix_batches(model_path)), head + ", _nth int, _matrix array<string>")
     path = found.groupBy("_id", "_hash").applyInPandas(combine, head + ", _nth int, _in int, _out int")
     keys = ["_id", "_hash", "_nth"]
     ways = save(path, "ways").withColumnsRenamed({k: k + "2" for k in keys})
     on = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(k + "2")) for k in keys))
-    traced = pieces.join(ways, on).select(*pieces.columns, "_in", "_out").mapInArrow(trace_batches(model_path), head + ", _nth int, _ids array<int>")
+    traced = pieces.join(ways, on).select(*pieces.columns, "_in", "_out").mapInArrow(lean(trace_batches(model_path)), head + ", _nth int, _ids array<int>")
     joined = traced.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(F.struct("_nth", "_ids"))).alias("_all"))
     long = joined.select("_id", "_hash", F.flatten(F.transform("_all", lambda x: x["_ids"])).alias("ids"), F.size("_all").alias("n_chunks"))
     twice = rows.filter(F.length("_text") >= giant).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
@@ -370,7 +370,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", keep_ids
     """id, text_sha256, n_chunks, n_ids, ids_crc32, decoded_sha256, decoded, and ids if they are to be kept, of every row of encode()'s result."""
     kind = dict(encoded.dtypes)[id_col]
     rows = encoded.select(F.col(id_col).alias("_id"), "ids", "text_sha256", "n_chunks")
-    out = rows.mapInArrow(decode_batches(model_path, keep_ids), f"_id {kind}, text_sha256 string, n_chunks int, n_ids long, ids_crc32 long, decoded_sha256 string, {'ids array<int>, ' if keep_ids else ''}decoded string")
+    out = rows.mapInArrow(lean(decode_batches(model_path, keep_ids)), f"_id {kind}, text_sha256 string, n_chunks int, n_ids long, ids_crc32 long, decoded_sha256 string, {'ids array<int>, ' if keep_ids else ''}decoded string")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import documents, save, text_of
+from corrgraph.llm.common import documents, lean, save, text_of
 
 MIN_RUN_WORDS = 20
 HEAVY_SHARE = 0.001
@@ -118,11 +118,11 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     """id, n_removed (units), removed_words, removed_spans, kept_spans, first_docs, text of every row of df."""
     kind = dict(df.dtypes)[id_col]
     texts = df.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
-    units = save(texts.mapInArrow(unit_batches(kind), f"_id {kind}, _nth int, _start int, _end int, _words int, _high long, _low long"), "units")
+    units = save(texts.mapInArrow(lean(unit_batches(kind)), f"_id {kind}, _nth int, _start int, _end int, _words int, _high long, _low long"), "units")
     found = repeats(units).groupBy("_id").agg(F.collect_list(F.struct("_nth", "_start", "_end", "_words", "_of")).alias("_found"))
     found = found.withColumnRenamed("_id", "_of_id")
     both = texts.join(found, F.col("_id").eqNullSafe(F.col("_of_id")), "left").select("_id", "_text", "_found")
-    out = both.mapInArrow(cut_batches(least), f"_id {kind}, n_removed long, removed_words long, removed_spans string, kept_spans string, first_docs array<{kind}>, text string")
+    out = both.mapInArrow(lean(cut_batches(least)), f"_id {kind}, n_removed long, removed_words long, removed_spans string, kept_spans string, first_docs array<{kind}>, text string")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import documents, new_dir, partitions, save, text_of
+from corrgraph.llm.common import documents, lean, new_dir, partitions, save, text_of
 
 SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 1 << 16
@@ -331,7 +331,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
     dealt = dealt.repartition(partitions(spark), "_range").sortWithinPartitions("_range", "_id", "_text")
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
-    return save(dealt.mapInArrow(write_shards(folder, tokenizer_path, shard_tokens, end_id), "_range long, _number long, _file string, _docs long, _tokens long"), "shards")
+    return save(dealt.mapInArrow(lean(write_shards(folder, tokenizer_path, shard_tokens, end_id)), "_range long, _number long, _file string, _docs long, _tokens long"), "shards")
 
 
 def read_tokens(spark, shards: DataFrame, folder: str, id_col: str = "doc_id", id_kind: str = "bigint") -> DataFrame:
@@ -354,7 +354,7 @@ def read_tokens(spark, shards: DataFrame, folder: str, id_col: str = "doc_id", i
     )
     kind = to_arrow_type(_parse_datatype_string(id_kind))
     assert isinstance(kind, pa.DataType)
-    found = files.repartition(partitions(spark), "_file").mapInArrow(read_shards(folder, kind), f"_id {id_kind}, start long, n_tokens long, ids_crc32 long, shard string")
+    found = files.repartition(partitions(spark), "_file").mapInArrow(lean(read_shards(folder, kind)), f"_id {id_kind}, start long, n_tokens long, ids_crc32 long, shard string")
     return found.withColumnRenamed("_id", id_col)
 
 
