@@ -326,22 +326,29 @@ def pair_batches(percent: int, labelled: bool):
 
 
 def mixed_batches(batches):
-    """mapInArrow over (_key, _id, _label) sorted by key: the rows of blocks that have two labels or more."""
+    """mapInArrow over (_key, _id, _label) sorted by key: the rows of blocks that have two labels or more.
+
+    Their new key is a sum over the hashes of the block's ids: blocks of the same documents get the same
+    key and need one search. Blocks that differ and meet by chance only give more candidates.
+    """
+    import pandas as pd
     import pyarrow as pa
 
     held = None
 
     def mixed(table, last):
         """The mixed blocks of the rows, and the last block, which may go on in the next batch."""
-        key, label = table.column(0).to_numpy(), table.column(2).to_numpy(zero_copy_only=False)
+        key, ids, label = (c.to_numpy(zero_copy_only=False) for c in table.columns)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         end = len(key) if last else starts[-1]
         differs = np.concatenate([[False], (label[1:] != label[:-1]) & (key[1:] == key[:-1])])
-        block = np.cumsum(np.isin(np.arange(len(key)), starts, assume_unique=True)) - 1
+        block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
         good = np.zeros(len(starts), bool)
         good[block[differs]] = True
         keep = np.flatnonzero(good[block[:end]])
-        return table.take(pa.array(keep)), None if last else table.slice(end)
+        sums = np.add.reduceat(pd.util.hash_array(ids), starts).view(np.int64)
+        out = table.take(pa.array(keep))
+        return pa.RecordBatch.from_arrays([pa.array(sums[block[keep]]), out.column(1), out.column(2)], names=["_key", "_id", "_label"]), None if last else table.slice(end)
 
     for batch in batches:
         if not batch.num_rows:
@@ -437,7 +444,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = save(prints.join(named, F.col("_id") == F.col("_node"), "left").withColumn("_label", F.coalesce("_label", "_id")).drop("_node", "_first"), "labelled")
     keyed = known.select(F.explode("_keys").alias("_key"), "_id", "_label")
     dealt = keyed.repartition(partitions(spark), "_key").sortWithinPartitions("_key")
-    mixed = save(dealt.mapInArrow(lean(mixed_batches), f"_key long, _id {kind}, _label {kind}"), "mixed")
+    mixed = save(dealt.mapInArrow(lean(mixed_batches), f"_key long, _id {kind}, _label {kind}").distinct(), "mixed")
     points = known.select(F.col("_id").alias("_p"), "_n", "_point")
     rows = mixed.join(points, F.col("_id") == F.col("_p")).select("_key", F.lit(0).cast("long").alias("_part"), F.lit(0).alias("_hub"), "_id", "_n", "_point", "_label")
     dealt = rows.repartition(partitions(spark), "_key").sortWithinPartitions("_key", "_id")
