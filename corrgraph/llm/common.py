@@ -31,14 +31,15 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corrgraph-{uuid.uuid4().hex}/{name}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df as Parquet under the shared folder and return it as read back.
 
-    The lineage ends here: a lost executor costs only the tasks that ran on it since.
+    The lineage ends here: a lost executor costs only the tasks that ran on it since. With small, the
+    rows of many tasks are gathered by size into few files, where each task has little to write.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,34 +90,33 @@ def components(links: DataFrame) -> DataFrame:
     so long chains shorten by half and more. Tables are written each round; nothing is collected.
     """
     edges = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    edges = save(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").distinct(), "edges")
+    edges = save(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").distinct(), "edges", True)
     names = save(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "names")
     while True:
         near = edges.join(names.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
         closer = names.join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         jump = names.select(F.col("node").alias("c"), F.col("component").alias("m"))
-        new = save(closer.join(jump, "c", "left").select("node", F.least("c", "m").alias("component"), "old"), "names")
+        new = save(closer.join(jump, "c", "left").select("node", F.least("c", "m").alias("component"), "old"), "names", True)
         names = new.select("node", "component")
         if not new.filter("component <> old").limit(1).count():
             return names
 
 
-#: Bits of a filter at most: 2^24, as 2^18 rows of two numbers.
-MOST_BITS = 1 << 24
+#: Bits of a filter, kept as rows of 64: 2^16 rows of two numbers, 1 MB, whatever it is made of.
+FILTER_BITS = 1 << 22
 
 
 def id_filter(df: DataFrame, id_col: str, ids: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows of df whose id may be among ids, rows whose id is not), without a shuffle of df.
 
-    A bit for each hash of an id, 64 to a row, is broadcast: MOST_BITS / 64 rows at most, whatever
-    ids holds. Where ids are many, more rows pass for maybe; none that is there passes for not.
+    A bit for each hash of an id is broadcast: FILTER_BITS / 64 rows at most. Where ids are many, more
+    rows pass for maybe; none that is there passes for not.
     """
-    size = min(MOST_BITS, 1 << max(12, (8 * ids.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {size}) & 63 as int))")
-    bits = ids.select(F.shiftright(place(F.col(name)), 6).alias("__cg_word"), bit(f"`{name}`").alias("__cg_bit"))
-    bits = F.broadcast(save(bits.groupBy("__cg_word").agg(F.bit_or("__cg_bit").alias("__cg_mask")), "bits"))
-    keyed = df.withColumns({"__cg_place": F.shiftright(place(F.col(f"`{id_col}`")), 6), "__cg_own": bit(f"`{id_col}`")})
+    place = lambda c: F.expr(f"shiftright(pmod(xxhash64({c}), {FILTER_BITS}), 6)")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {FILTER_BITS}) & 63 as int))")
+    bits = ids.select(place(f"`{name}`").alias("__cg_word"), bit(f"`{name}`").alias("__cg_bit"))
+    bits = F.broadcast(bits.groupBy("__cg_word").agg(F.bit_or("__cg_bit").alias("__cg_mask")))
+    keyed = df.withColumns({"__cg_place": place(f"`{id_col}`"), "__cg_own": bit(f"`{id_col}`")})
     told = keyed.join(bits, F.col("__cg_place") == F.col("__cg_word"), "left").withColumn("__cg_maybe", F.coalesce(F.col("__cg_mask").bitwiseAND(F.col("__cg_own")) != 0, F.lit(False)))
     plain = [f"`{c}`" for c in df.columns]
     return told.filter("__cg_maybe").select(*plain), told.filter("NOT __cg_maybe").select(*plain)
@@ -124,10 +124,9 @@ def id_filter(df: DataFrame, id_col: str, ids: DataFrame, name: str) -> tuple[Da
 
 def without_ids(df: DataFrame, id_col: str, gone: DataFrame, name: str) -> DataFrame:
     """df without the rows whose id is among gone (name); only rows that may be among them are shuffled."""
-    gone = save(gone.select(name).distinct(), "gone")
     maybe, rest = id_filter(df, id_col, gone, name)
-    other = gone.withColumnRenamed(name, "__cg_gone_id")
-    return rest.unionByName(maybe.join(other, F.col(id_col).eqNullSafe(F.col("__cg_gone_id")), "left_anti"))
+    other = gone.select(F.col(f"`{name}`").alias("__cg_gone_id"))
+    return rest.unionByName(maybe.join(other, F.col(f"`{id_col}`").eqNullSafe(F.col("__cg_gone_id")), "left_anti"))
 
 
 #: Bytes of an Arrow batch at most: workers and the JVM hold a few batches at a time, whatever a row weighs.

@@ -48,7 +48,7 @@ def heavy_winners(prints: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = HEAVY_SHARE) -> DataFrame:
     """One row per row of df: the id, keep_id, group_size, kept, text_sha256."""
-    prints = save(fingerprints(df, id_col, text_col), "fingerprints")
+    prints = save(fingerprints(df, id_col, text_col), "fingerprints", True)
     heavy = save(heavy_winners(prints, share), "heavy")
     near = prints.join(F.broadcast(heavy), "_digest")
     rest = prints.join(F.broadcast(heavy), "_digest", "left_anti")

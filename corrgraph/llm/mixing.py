@@ -124,7 +124,7 @@ def pair_off(seed: int, last: bool):
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, **targets) -> DataFrame:
     """One row per row of df: id, size, source_size, target, taken, copies, source."""
     spark = df.sparkSession
-    sizes = save(word_sizes(df, id_col, source_col, text_col), "sizes")
+    sizes = save(word_sizes(df, id_col, source_col, text_col), "sizes", True)
     sources = source_targets(sizes, **targets)
     buckets = 1 << max(0, math.ceil(math.log2(max(1, sizes.count()) / BUCKET_ROWS)))
     # the table of sources is small or skew-split by AQE; a null source meets the null source

@@ -401,17 +401,17 @@ def verified(pairs: DataFrame, texts: DataFrame, kind: str, size: int, percent:
     rows = pairs.join(hubs, "a").select(F.col("a").alias("_hub"), F.pmod(F.xxhash64("b"), F.col("_parts").cast("long")).alias("_part"), F.col("b").alias("_member"), F.col("b").alias("_of"))
     heads = hubs.select(F.col("a").alias("_hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)).alias("_part"), F.lit(None).cast(kind).alias("_member"), F.col("a").alias("_of"))
     wanted = save(rows.unionByName(heads), "wanted")
-    asked, _ = id_filter(texts, "_id", save(wanted.select("_of").distinct(), "asked"), "_of")
+    asked, _ = id_filter(texts, "_id", wanted, "_of")
     dealt = wanted.join(asked, F.col("_of") == F.col("_id")).select("_hub", "_part", "_member", "_text")
     dealt = dealt.repartition(partitions(spark), "_hub", "_part").sortWithinPartitions("_hub", "_part", F.col("_member").asc_nulls_first())
-    return save(dealt.mapInArrow(lean(verify_batches(size, percent)), f"a {kind}, b {kind}"), "links")
+    return save(dealt.mapInArrow(lean(verify_batches(size, percent)), f"a {kind}, b {kind}"), "links", True)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id of every row of df; component_id is the smallest id reachable by links."""
     spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
     texts = df.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
-    told = save(texts.mapInArrow(lean(info_batches(size)), f"_id {kind}, _n long, _high long, _low long, _shingle long, _count long"), "info")
+    told = save(texts.mapInArrow(lean(info_batches(size)), f"_id {kind}, _n long, _high long, _low long, _shingle long, _count long"), "info", True)
     info = told.filter("_n IS NOT NULL").drop("_shingle", "_count")
     counted = told.filter("_shingle IS NOT NULL").groupBy("_shingle").agg(F.sum("_count").alias("c"))
     # at most COMMON rows of two numbers: only the order of shingles depends on them, no result does
@@ -436,7 +436,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = keyed.select("_key", F.explode(parts).alias("_part"), (F.col("_id") != F.col("_hub")).cast("int").alias("_hub"), "_id", "_n", "_point", F.lit(0).alias("_label"))
     dealt = keyed.repartition(partitions(spark), "_key", "_part").sortWithinPartitions("_key", "_part", "_hub", "_id")
     pairs = dealt.mapInArrow(lean(pair_batches(percent, False)), f"a {kind}, b {kind}").distinct()
-    links = verified(save(pairs, "pairs"), once, kind, size, percent)
+    links = verified(save(pairs, "pairs", True), once, kind, size, percent)
     labels = components(links)
 
     # pass 2: completing
@@ -449,7 +449,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = mixed.join(points, F.col("_id") == F.col("_p")).select("_key", F.lit(0).cast("long").alias("_part"), F.lit(0).alias("_hub"), "_id", "_n", "_point", "_label")
     dealt = rows.repartition(partitions(spark), "_key").sortWithinPartitions("_key", "_id")
     pairs = dealt.mapInArrow(lean(pair_batches(percent, True)), f"a {kind}, b {kind}")
-    more = verified(save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2"), once, kind, size, percent)
+    more = verified(save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2", True), once, kind, size, percent)
 
     # equal sets are linked too, and components are named by the smallest id of all
     final = components(links.unionByName(more)).withColumnsRenamed({"node": "_node", "component": "_component"})
