@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut. The classifier learns from the rows that op9 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = toxicity.toxicity(docs, labels, held=toxicity.held_out())
-    return without_ids(docs, "doc_id", judged.filter("predicted = 1"), "doc_id")
+    toxic = save(judged.filter("predicted = 1").select("doc_id"), "toxic", True)
+    return without_ids(docs, "doc_id", toxic, "doc_id")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
