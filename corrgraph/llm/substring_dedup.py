@@ -2,8 +2,9 @@
 
 A unit is a line, or a sentence of it. Units are normalised (lower case, white space made one blank)
 and hashed to 128 bits. The earliest occurrence of a digest, by (id, start), is kept; every later one
-is a repeat. Repeats that follow each other in a document form a run, and a run of MIN_RUN_WORDS
-words or more is removed: short phrases that recur by chance stay.
+is a repeat. Repeats that follow each other in a document form a run, and a run with
+MIN_RUN_WORDS words or more in units of MIN_UNIT_WORDS or more is removed: short phrases that recur by
+chance stay, and so do strings of them.
 
 Digests above HEAVY_SHARE of all units are found with a Misra-Gries sketch, verified by one exact
 aggregate and broadcast (at most 1 / HEAVY_SHARE of them), so that common lines are decided where they
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from corrgraph.llm.common import documents, lean, save, text_of
 
 MIN_RUN_WORDS = 20
+MIN_UNIT_WORDS = 4
 HEAVY_SHARE = 0.001
 UNIT = re.compile(r"\S(?:[^\n]*?[.!?](?=\s|$)|[^\n]*)")
 
@@ -80,9 +82,8 @@ def runs(found: list, least: int) -> list[tuple[int, int, int, int, list]]:
     out, now = [], []
     for u in [*sorted(found, key=lambda u: (u["_nth"], u["_start"])), None]:
         if now and (u is None or u["_nth"] > now[-1]["_nth"] + 1):
-            words = sum(x["_words"] for x in now)
-            if words >= least:
-                out.append((now[0]["_start"], now[-1]["_end"], len(now), words, [x["_of"] for x in now]))
+            if sum(x["_words"] for x in now if x["_words"] >= MIN_UNIT_WORDS) >= least:
+                out.append((now[0]["_start"], now[-1]["_end"], len(now), sum(x["_words"] for x in now), [x["_of"] for x in now]))
             now = []
         if u is not None and not (now and u["_nth"] == now[-1]["_nth"]):
             now.append(u)

@@ -73,7 +73,7 @@ def passages(rows, least):
             j = k
             while j < len(units) and flags[j]:
                 j += 1
-            if j > k and sum(u[2] for u in units[k:j]) >= least:
+            if j > k and sum(u[2] for u in units[k:j] if u[2] >= 4) >= least:
                 spans.append(f"{units[k][0]}:{units[j - 1][1]}")
             k = max(j, k + 1)
         out[d] = ",".join(spans)
