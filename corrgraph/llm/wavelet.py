@@ -39,7 +39,7 @@ SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 1 << 16
 END_ID = 1
 MAGIC = b"WVM1"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 GAPS = re.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -183,6 +183,18 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in prints else next(spare) for b in range(256)}
 
 
+class Known(dict):
+    """Chunk to ids; a chunk that is not there is encoded and kept."""
+
+    def __init__(self, encoder: WordEncoder, older: dict):
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        self[chunk] = found = self.encoder.one(chunk) if found is None else found
+        return found
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk between white space once.
 
@@ -197,51 +209,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.letters = byte_letters()
-        self.marks = {m: self.whole([m])[0] for m in ",."}
-
-    def whole(self, chunks: list[str]) -> list[bytes]:
-        return [b"".join(map(self.packed.__getitem__, e.ids)) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def learn(self, chunks) -> None:
-        """Put the chunks into `known`: from the older generation, or encoded."""
-        known, older, packed, tokenize, rest = self.known, self.older, self.packed, self.model.tokenize, []
-        for w in chunks:
-            if w in older:
-                known[w] = older[w]
-                continue
-            core, tail = (w[:-1], self.marks[w[-1]]) if w[-1] in ",." else (w, b"")
-            if not core.isalpha() or core != core.lower():
-                rest.append(w)
-            elif core in known:
-                known[w] = known[core] + tail
-            elif core.isascii() or unicodedata.is_normalized("NFC", core):
-                word = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-                known[w] = b"".join([packed[t.id] for t in tokenize(word)]) + tail
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 2048):
-            known.update(zip(rest[i : i + 2048], self.whole(rest[i : i + 2048]), strict=True))
+        self.known = Known(self, {})
+        self.marks = {m: self.whole(m) for m in ",."}
+
+    def whole(self, chunk: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(chunk, add_special_tokens=False).ids))
+
+    def one(self, chunk: str) -> bytes:
+        core, tail = (chunk[:-1], self.marks[chunk[-1]]) if chunk[-1] in ",." else (chunk, b"")
+        if not core.isalpha() or core != core.lower():
+            return self.whole(chunk)
+        if tail and core in self.known:
+            return self.known[core] + tail
+        if core.isascii():
+            return b"".join([self.packed[t.id] for t in self.tokenize(core)]) + tail
+        if not unicodedata.is_normalized("NFC", core):
+            return self.whole(chunk)
+        return b"".join([self.packed[t.id] for t in self.tokenize(core.encode().decode("latin-1").translate(self.letters))]) + tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        out = []
+            self.known = Known(self, dict(self.known))
+        out, ids = [], self.known.__getitem__
         for text in texts:
             # Python's lower case is the library's, but for the capital sigma and the dotted I
             text = text if "\u03a3" in text or "\u0130" in text else text.lower()
             # Python splits at four separators that are no white space to the library
             chunks = text.split() if not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else [w for w in GAPS.split(text) if w]
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                self.learn({w for w in chunks if w not in self.known})
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
+            out.append(b"".join(map(ids, chunks)))
         return out
 
 
