@@ -44,7 +44,7 @@ LEAF = 64
 #: Leaves that a query of the grouping pass looks at; the completing pass looks at all it cannot drop.
 LOOKS = 16
 #: A block of the grouping pass above this many documents is split; all parts get its first document.
-BLOCK = 4096
+BLOCK = 512
 #: Counters of a task, and common shingles that the order knows at most.
 COUNTERS = 1 << 16
 COMMON = 1 << 16
