@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corrgraph.plans import graph_queries, policy_queries, shape_queries, stream_queries, validate_queries
+from corrgraph.plans import graph_queries, policy_queries, scalar_queries, shape_queries, stream_queries, validate_queries
 
-GROUPS = [graph_queries, validate_queries, policy_queries, shape_queries, stream_queries]
+GROUPS = [graph_queries, validate_queries, policy_queries, shape_queries, stream_queries, scalar_queries]
 
 
 def queries() -> dict:
