@@ -44,7 +44,7 @@ LEAF = 64
 #: Leaves that a query of the grouping pass looks at; the completing pass looks at all it cannot drop.
 LOOKS = 16
 #: A block of the grouping pass above this many documents is split; all parts get its first document.
-BLOCK = 512
+BLOCK = 4096
 #: Counters of a task, and common shingles that the order knows at most.
 COUNTERS = 1 << 16
 COMMON = 1 << 16
@@ -306,19 +306,26 @@ def blocks(batches, key_columns: int, columns: int):
 
 
 def pair_batches(percent: int, labelled: bool):
-    """mapInArrow over (_key, _part, _hub, _id, _n, _point[, _label]) sorted: candidate pairs of each block."""
+    """mapInArrow over (_key, _part, _hub or _lead, _id, _n, _point, _label) sorted: candidate pairs of each block."""
 
     def run(batches):
         import pyarrow as pa
 
+        lead, told = None, set()
         for held in blocks(batches, 2, 7):
             ids, sizes = held[3], np.array(held[4], np.int64)
             if len(ids) < 2:
                 continue
             pairs = across(held[5], sizes, np.array(held[6]), percent) if labelled else forest(held[5], sizes, percent)
+            pairs = [(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for i, j in pairs]
+            if labelled:  # blocks of one lead come one after the other, and often hold the same pairs
+                if held[2][0] != lead:
+                    lead, told = held[2][0], set()
+                pairs = [p for p in dict.fromkeys(pairs) if p not in told]
+                told.update(pairs)
             if not pairs:
                 continue
-            a, b = [ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]
+            a, b = [x for x, _ in pairs], [y for _, y in pairs]
             kind = pa.int64() if isinstance(ids[0], int) else pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
@@ -329,7 +336,8 @@ def mixed_batches(batches):
     """mapInArrow over (_key, _id, _label) sorted by key: the rows of blocks that have two labels or more.
 
     Their new key is a sum over the hashes of the block's ids: blocks of the same documents get the same
-    key and need one search. Blocks that differ and meet by chance only give more candidates.
+    key and need one search. Blocks that differ and meet by chance only give more candidates. Blocks are
+    dealt by their lead, the smallest id, so that those which share documents mostly meet in one task.
     """
     import pandas as pd
     import pyarrow as pa
@@ -347,8 +355,9 @@ def mixed_batches(batches):
         good[block[differs]] = True
         keep = np.flatnonzero(good[block[:end]])
         sums = np.add.reduceat(pd.util.hash_array(ids), starts).view(np.int64)
+        leads = np.minimum.reduceat(ids, starts)
         out = table.take(pa.array(keep))
-        return pa.RecordBatch.from_arrays([pa.array(sums[block[keep]]), out.column(1), out.column(2)], names=["_key", "_id", "_label"]), None if last else table.slice(end)
+        return pa.RecordBatch.from_arrays([pa.array(sums[block[keep]]), pa.array(leads[block[keep]], out.column(1).type), out.column(1), out.column(2)], names=["_key", "_lead", "_id", "_label"]), None if last else table.slice(end)
 
     for batch in batches:
         if not batch.num_rows:
@@ -444,10 +453,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = save(prints.join(named, F.col("_id") == F.col("_node"), "left").withColumn("_label", F.coalesce("_label", "_id")).drop("_node", "_first"), "labelled")
     keyed = known.select(F.explode("_keys").alias("_key"), "_id", "_label")
     dealt = keyed.repartition(partitions(spark), "_key").sortWithinPartitions("_key")
-    mixed = save(dealt.mapInArrow(lean(mixed_batches), f"_key long, _id {kind}, _label {kind}").distinct(), "mixed")
+    mixed = save(dealt.mapInArrow(lean(mixed_batches), f"_key long, _lead {kind}, _id {kind}, _label {kind}").distinct(), "mixed")
     points = known.select(F.col("_id").alias("_p"), "_n", "_point")
-    rows = mixed.join(points, F.col("_id") == F.col("_p")).select("_key", F.lit(0).cast("long").alias("_part"), F.lit(0).alias("_hub"), "_id", "_n", "_point", "_label")
-    dealt = rows.repartition(partitions(spark), "_key").sortWithinPartitions("_key", "_id")
+    rows = mixed.join(points, F.col("_id") == F.col("_p")).select("_key", F.lit(0).cast("long").alias("_part"), "_lead", "_id", "_n", "_point", "_label")
+    dealt = rows.repartition(partitions(spark), "_lead").sortWithinPartitions("_lead", "_key", "_id")
     pairs = dealt.mapInArrow(lean(pair_batches(percent, True)), f"a {kind}, b {kind}")
     more = verified(save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2", True), once, kind, size, percent)
 
