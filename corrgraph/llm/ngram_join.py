@@ -45,6 +45,8 @@ LEAF = 64
 LOOKS = 16
 #: A block of the grouping pass above this many documents is split; all parts get its first document.
 BLOCK = 4096
+#: Rows of one lead that the completing pass keeps together.
+LEAD_ROWS = 1024
 #: Counters of a task, and common shingles that the order knows at most.
 COUNTERS = 1 << 16
 COMMON = 1 << 16
@@ -455,8 +457,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = keyed.repartition(partitions(spark), "_key").sortWithinPartitions("_key")
     mixed = save(dealt.mapInArrow(lean(mixed_batches), f"_key long, _lead {kind}, _id {kind}, _label {kind}").distinct(), "mixed")
     points = known.select(F.col("_id").alias("_p"), "_n", "_point")
-    rows = mixed.join(points, F.col("_id") == F.col("_p")).select("_key", F.lit(0).cast("long").alias("_part"), "_lead", "_id", "_n", "_point", "_label")
-    dealt = rows.repartition(partitions(spark), "_lead").sortWithinPartitions("_lead", "_key", "_id")
+    # leads with many rows are split by block, so that no task gets more than LEAD_ROWS of one, or one block
+    hot = mixed.groupBy(F.col("_lead").alias("_hot")).agg(F.ceil(F.count("*") / F.lit(LEAD_ROWS)).alias("_parts")).filter("_parts > 1")
+    parted = mixed.join(hot, F.col("_lead") == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64("_key"), F.coalesce(F.col("_parts").cast("long"), F.lit(1).cast("long"))))
+    rows = parted.join(points, F.col("_id") == F.col("_p")).select("_key", "_part", "_lead", "_id", "_n", "_point", "_label")
+    dealt = rows.repartition(partitions(spark), "_lead", "_part").sortWithinPartitions("_lead", "_part", "_key", "_id")
     pairs = dealt.mapInArrow(lean(pair_batches(percent, True)), f"a {kind}, b {kind}")
     more = verified(save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2", True), once, kind, size, percent)
 

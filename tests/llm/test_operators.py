@@ -182,7 +182,7 @@ def jaccard_components(rows):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def test_ngram_join(spark, corpus):
+def test_ngram_join(spark, corpus, monkeypatch):
     r = random.Random(4)
     rows = list(corpus)
     base = prose(77, 200).split()
@@ -195,6 +195,9 @@ def test_ngram_join(spark, corpus):
     rows += [(700, "Ab cd", "en", "s"), (701, "aB CD ", "en", "s"), (702, "ÄB cd", "en", "s")]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(docs(spark, rows)).collect()}
     assert got == jaccard_components(rows)
+    monkeypatch.setattr(ngram_join, "LEAD_ROWS", 4)  # small limits, so that blocks and leads are split
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(docs(spark, rows)).collect()} == got
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     left = ngram_join.drop_near_duplicates(docs(spark, rows))
     assert {x.doc_id for x in left.collect()} == {d for d, (_, c) in got.items() if d == c}
