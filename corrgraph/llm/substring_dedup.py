@@ -2,9 +2,13 @@
 
 A unit is a line, or a sentence of it. Units are normalised (lower case, white space made one blank)
 and hashed to 128 bits. The earliest occurrence of a digest, by (id, start), is kept; every later one
-is a repeat. Repeats that follow each other in a document form a run, and a run with
-MIN_RUN_WORDS words or more in units of MIN_UNIT_WORDS or more is removed: short phrases that recur by
-chance stay, and so do strings of them.
+is a repeat. Repeats that follow each other in a document form a run. A run is removed if it has
+MIN_RUN_WORDS words or more in units of MIN_UNIT_WORDS or more, or if units of any length that follow
+each other in it, and in the same order in an earlier document, have as many: short phrases that recur
+by chance stay, and so do strings of them that no other document has in their order.
+
+For the second test each unit also carries a digest of its string: the units from it on until they have
+MIN_RUN_WORDS words. Strings that the first test decides carry none.
 
 Digests above HEAVY_SHARE of all units are found with a Misra-Gries sketch, verified by one exact
 aggregate and broadcast (at most 1 / HEAVY_SHARE of them), so that common lines are decided where they
@@ -16,8 +20,10 @@ rows that repeat an id count as one document; removed spans are offsets in the o
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +46,29 @@ def units_of(text: str) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def unit_batches(id_type: str):
+def strings_of(units: list, least: int) -> list[tuple[int | None, int | None]]:
+    """Two halves of the digest of each unit's string: the units from it on, until they have `least` words.
+
+    None where too few follow, and where units of MIN_UNIT_WORDS have as many by themselves.
+    """
+    digests = np.array([u[3:] for u in units], np.int64).tobytes()
+    out, j, words, long = [], 0, 0, 0
+    for i, u in enumerate(units):
+        while j < len(units) and words < least:
+            words += units[j][2]
+            long += units[j][2] if units[j][2] >= MIN_UNIT_WORDS else 0
+            j += 1
+        if words < least or long >= least:
+            out.append((None, None))
+        else:
+            digest = xxhash.xxh3_128_intdigest(digests[16 * i : 16 * j])
+            out.append(((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)))
+        words -= u[2]
+        long -= u[2] if u[2] >= MIN_UNIT_WORDS else 0
+    return out
+
+
+def unit_batches(id_type: str, least: int):
     def run(batches):
         import pyarrow as pa
 
@@ -50,9 +78,9 @@ def unit_batches(id_type: str):
                 for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = units_of(t)
                     ids += [d] * len(found)
-                    rows += [(k, *u) for k, u in enumerate(found)]
-                columns = [pa.array([r[k] for r in rows], pa.int64() if k >= 4 else pa.int32()) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), *columns], names=["_id", "_nth", "_start", "_end", "_words", "_high", "_low"])
+                    rows += [(k, *u, *s) for k, (u, s) in enumerate(zip(found, strings_of(found, least), strict=True))]
+                columns = [pa.array([r[k] for r in rows], pa.int64() if k >= 4 else pa.int32()) for k in range(8)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), *columns], names=["_id", "_nth", "_start", "_end", "_words", "_high", "_low", "_string_high", "_string_low"])
 
     return run
 
@@ -77,13 +105,38 @@ def repeats(units: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     return near.unionByName(rest).filter(again).select("_id", "_nth", "_start", "_end", "_words", "_of")
 
 
+def repeated_strings(units: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """(_id, _nth, _of) of the units whose string an earlier document has: the id of the first of those.
+
+    Heavy strings are found as heavy digests are. Their rows know their first from the broadcast and are
+    spread over parts, so that no group of the window exceeds HEAVY_SHARE of the strings.
+    """
+    key = ["_string_high", "_string_low"]
+    strings = units.filter("_string_high IS NOT NULL").select("_id", "_nth", *key)
+    total = strings.count()
+    candidates = strings.stat.freqItems(["_string_high"], share).select(F.explode("_string_high_freqItems").alias("_string_high"))
+    own = F.struct("_id")  # as min passes over null
+    heavy = save(
+        strings.join(F.broadcast(candidates), "_string_high", "left_semi").groupBy(*key).agg(F.min(own).alias("_told"), F.count("*").alias("_n")).filter(F.col("_n") > share * total).drop("_n"),
+        "heavy_strings",
+    )
+    told = strings.join(F.broadcast(heavy), key, "left").withColumn("_part", F.when(F.col("_told").isNotNull(), F.pmod(F.xxhash64("_id", "_nth"), F.lit(math.ceil(1 / share)))))
+    told = told.withColumn("_first", F.coalesce("_told", F.min(own).over(Window.partitionBy(*key, "_part"))))
+    return told.filter(own != F.col("_first")).select("_id", "_nth", F.col("_first._id").alias("_of"))
+
+
 def runs(found: list, least: int) -> list[tuple[int, int, int, int, list]]:
-    """(first unit's start, last unit's end, units, words, ids of the first occurrences) of the runs to remove."""
+    """(first unit's start, last unit's end, units, words, ids of the first occurrences) of the runs to remove.
+
+    Rows of found without a start are repeated strings; all units of one are repeats.
+    """
     out, now = [], []
-    for u in [*sorted(found, key=lambda u: (u["_nth"], u["_start"])), None]:
+    strings = {u["_nth"]: u["_of"] for u in found if u["_start"] is None}
+    for u in [*sorted((u for u in found if u["_start"] is not None), key=lambda u: (u["_nth"], u["_start"])), None]:
         if now and (u is None or u["_nth"] > now[-1]["_nth"] + 1):
-            if sum(x["_words"] for x in now if x["_words"] >= MIN_UNIT_WORDS) >= least:
-                out.append((now[0]["_start"], now[-1]["_end"], len(now), sum(x["_words"] for x in now), [x["_of"] for x in now]))
+            ordered = [strings[x["_nth"]] for x in now if x["_nth"] in strings]
+            if ordered or sum(x["_words"] for x in now if x["_words"] >= MIN_UNIT_WORDS) >= least:
+                out.append((now[0]["_start"], now[-1]["_end"], len(now), sum(x["_words"] for x in now), [x["_of"] for x in now] + ordered))
             now = []
         if u is not None and not (now and u["_nth"] == now[-1]["_nth"]):
             now.append(u)
@@ -119,8 +172,8 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     """id, n_removed (units), removed_words, removed_spans, kept_spans, first_docs, text of every row of df."""
     kind = dict(df.dtypes)[id_col]
     texts = df.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
-    units = save(texts.mapInArrow(lean(unit_batches(kind)), f"_id {kind}, _nth int, _start int, _end int, _words int, _high long, _low long"), "units")
-    found = repeats(units).groupBy("_id").agg(F.collect_list(F.struct("_nth", "_start", "_end", "_words", "_of")).alias("_found"))
+    units = save(texts.mapInArrow(lean(unit_batches(kind, least)), f"_id {kind}, _nth int, _start int, _end int, _words int, _high long, _low long, _string_high long, _string_low long"), "units")
+    found = repeats(units).unionByName(repeated_strings(units), allowMissingColumns=True).groupBy("_id").agg(F.collect_list(F.struct("_nth", "_start", "_end", "_words", "_of")).alias("_found"))
     found = found.withColumnRenamed("_id", "_of_id")
     both = texts.join(found, F.col("_id").eqNullSafe(F.col("_of_id")), "left").select("_id", "_text", "_found")
     out = both.mapInArrow(lean(cut_batches(least)), f"_id {kind}, n_removed long, removed_words long, removed_spans string, kept_spans string, first_docs array<{kind}>, text string")

@@ -92,6 +92,24 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.drop_repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_short_units(spark):
+    r = random.Random(8)
+    names = [f"w{k}." for k in range(70)]
+    passage = "\n".join(names)  # 70 units of one word
+    rows = [(1, "Seldom. " + "\n".join(r.sample(names, 70)), "en", "s")]  # has every unit first, in another order
+    rows += [(2 + k, f"Start of text {k} here.\n{passage}\nEnd of text {k} here.", "en", "s") for k in range(4)]
+    rows += [(10, "\n".join(r.sample(names, 70)), "en", "s")]  # a string of short units in an order of its own stays
+    rows += [(11, "ha. " * 90, "en", "s")]  # and one that only its own document repeats
+    rows += [(12, "Before it. " + " ".join(names[:19]) + " After it.", "en", "s")]  # below 20 words
+    rows += [(13, " ".join(["One two three."] + names[:10] + ["This has some five words."] + names[10:20]), "en", "s")]
+    rows += [(14, rows[-1][1] + " New.", "en", "s")]  # short and long units, the long ones below 20 words
+    got = {x.doc_id: x for x in substring_dedup.drop_repeated_passages(docs(spark, rows)).collect()}
+    assert {d for d, x in got.items() if x.n_removed} == {3, 4, 5, 14}
+    for k in (1, 2, 3):
+        assert got[2 + k].text == f"Start of text {k} here.\nEnd of text {k} here." and got[2 + k].removed_words == 70 and 2 in got[2 + k].first_docs
+    assert got[14].text == "New." and 13 in got[14].first_docs
+
+
 @pytest.fixture(scope="module")
 def pieces():
     import public_tokenizers
