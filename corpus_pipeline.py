@@ -2,7 +2,7 @@
 
 1. toxicity: documents the classifier rejects go;
 2. exact dedup: of equal texts one stays;
-3. n-gram join: of each component of near duplicates one document stays;
+3. n-gram join: of each component of near duplicates (five words, similarity 0.8 or more) one document stays;
 4. mixing: every document is repeated as often as the mix of sources takes it;
 5. SentencePiece: every text is encoded and decoded again.
 
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from corrgraph.llm import exact_dedup, mixing, ngram_join, sentencepiece_scan, toxicity
 from corrgraph.llm.common import save, without_ids
 
+#: Words of a shingle, and percent of similarity, of the near-duplicate stage; op5 has its own contract.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 #: Training, and pairing in the mix, cannot be said in SQL.
 ORACLE_SQL = None
 
@@ -35,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.drop_near_duplicates(docs)
+    return ngram_join.drop_near_duplicates(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,19 @@ def test_ngram_join(spark, corpus):
     assert {x.doc_id for x in left.collect()} == {d for d, (_, c) in got.items() if d == c}
 
 
+def test_near_copies_of_pipeline(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    edited = lambda n: " ".join("new" + w if k % 20 == 10 and k < 20 * n else w for k, w in enumerate(words))
+    added = lambda n: " ".join([*words, *(f"more{k}" for k in range(n))])
+    # on five words: 4 edits 176/216, 5 edits 171/221, 45 words more 196/241, 52 words more 196/248
+    rows = [(1, " ".join(words), "en", "s"), (2, edited(4), "en", "s"), (3, edited(5), "en", "s"), (4, added(45), "en", "s")]
+    kept = lambda rows: {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()}
+    assert kept([rows[0], rows[1], rows[3]]) == {1}
+    assert kept([rows[0], rows[2], (5, added(52), "en", "s")]) == {1, 3, 5}
+
+
 def test_count_tree_loses_nothing():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 2**63, 150).astype(np.uint64)) for _ in range(100)]
