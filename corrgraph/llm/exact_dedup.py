@@ -1,7 +1,8 @@
 """Exact deduplication with a split for heavy hitters. DataFrame operations only.
 
-A Misra-Gries sketch (DataFrameStatFunctions.freqItems) over the digests names every digest that
-holds more than HEAVY_SHARE of the rows, and perhaps others. One exact aggregate over the candidates
+A Misra-Gries sketch (DataFrameStatFunctions.freqItems) over 64-bit hashes of the digests (it keeps
+bytes by identity, so equal digests would not meet in it) names every one that holds more than
+HEAVY_SHARE of the rows, and perhaps others. One exact aggregate over the candidates
 verifies them and picks their winners; the verified ones number 1 / HEAVY_SHARE at most, so they are
 broadcast and their copies are decided where they lie. All other digests are shuffled, and none of
 their groups exceeds HEAVY_SHARE of the rows.
@@ -35,10 +36,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def heavy_winners(prints: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     """(_digest, _keep, _size) of the digests that hold more than `share` of the rows."""
     total = prints.count()
-    candidates = prints.stat.freqItems(["_digest"], share).select(F.explode("_digest_freqItems").alias("_digest"))
+    keyed = prints.withColumn("_hash", F.xxhash64("_digest"))
+    candidates = keyed.stat.freqItems(["_hash"], share).select(F.explode("_hash_freqItems").alias("_hash"))
     best = F.min(F.struct(-F.col("_length"), F.col("_id").isNull(), F.col("_id").alias("_keep")))
     return (
-        prints.join(F.broadcast(candidates), "_digest", "left_semi")
+        keyed.join(F.broadcast(candidates), "_hash", "left_semi")
         .groupBy("_digest")
         .agg(best.alias("_best"), F.count("*").alias("_size"))
         .filter((F.col("_size") > share * total) & (F.col("_size") > 1))

@@ -60,6 +60,15 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_sketch_counts(spark):
+    from pyspark.sql import functions as F
+
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    df = spark.range(0, 6006, 1, 1).select(F.col("id").alias("doc_id"), hot.alias("text"))  # a task with more digests than the sketch holds
+    prints = exact_dedup.fingerprints(df)
+    assert [(bytes(r._digest), r._keep, r._size) for r in exact_dedup.heavy_winners(prints).collect()] == [(hashlib.sha256(b"hot").digest(), 0, 2002)]
+
+
 def passages(rows, least):
     seen, out = set(), {}
     for d, t, *_ in sorted(rows, key=lambda r: r[0]):
