@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode alone."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corrgraph-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,7 +43,9 @@ def save(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     (df.hint("rebalance") if small else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path.rsplit("/", 1)[0]  # for drop_saved()
+    return out
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -50,11 +55,14 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the folder behind a table that save() returned."""
-    files = df.inputFiles()
-    if files:
-        drop_dir(df.sparkSession, files[0].rsplit("/", 1)[0])
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete the folders of tables that save() returned, once every table made from them is written.
+
+    Nothing may read them again, not even to work out anew what a lost executor held: so only tables
+    that saved tables alone are read from go.
+    """
+    for df in tables:
+        drop_dir(df.sparkSession, df._saved_at)  # type: ignore[attr-defined]
 
 
 def text_of(name: str) -> Column:
@@ -83,6 +91,28 @@ def with_group_first(rows: DataFrame, key: list[str], value: str, name: str, sha
     return near.unionByName(rest)
 
 
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own; no row has null."""
+    same = df.groupBy(F.col(f"`{id_col}`").alias("_id")).count()
+    return not same.filter("_id IS NULL OR count > 1").limit(1).count()
+
+
+#: The name of the key that with_row_key() adds.
+ROW = "__cg_row"
+
+
+def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df, written once, with a key for each row (bigint, ROW) that sorts as (id, nulls last; hash of the text).
+
+    Where ids repeat, are null or are no bigint, operators decide on these keys, so rows of one id are
+    rows of their own. A range of ids with many rows is parted by the hash.
+    """
+    key, salt = F.col(f"`{id_col}`"), F.xxhash64(text_of(text_col))
+    order = [key.isNull().asc(), key.asc(), salt.asc()]
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return save(dealt.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b); a component is named by its smallest node.
 
@@ -91,14 +121,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     edges = save(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").distinct(), "edges", True)
-    names = save(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "names")
+    last = names = save(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "names")
     while True:
         near = edges.join(names.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
         closer = names.join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         jump = names.select(F.col("node").alias("c"), F.col("component").alias("m"))
         new = save(closer.join(jump, "c", "left").select("node", F.least("c", "m").alias("component"), "old"), "names", True)
-        names = new.select("node", "component")
+        drop_saved(last)
+        last, names = new, new.select("node", "component")
         if not new.filter("component <> old").limit(1).count():
+            drop_saved(edges)
             return names
 
 
