@@ -8,8 +8,10 @@ broadcast and their copies are decided where they lie. All other digests are shu
 their groups exceeds HEAVY_SHARE of the rows.
 
 Defined results: null text equals empty text; texts are equal when they agree without white space;
-the longest original (code points) stays, then the smallest id, ids that are null coming last. Rows
-that repeat an id share one decision. An empty table gives an empty result.
+the longest original (code points) stays, then the smallest id, ids that are null coming last. Each
+row is decided by itself: of rows that repeat an id, the ones whose text another row holds go, those
+with a text of their own stay. Ids may be of any type that has an order. An empty table gives an
+empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -17,34 +19,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import SPACE, documents, save, text_of, without_ids
+from corrgraph.llm.common import ROW, SPACE, documents, save, text_of, unique_ids, with_row_key, without_ids
 
 #: A digest with more than this share of the rows is heavy; so at most 1000 are broadcast.
 HEAVY_SHARE = 0.001
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _length, _digest): code points of the text, and sha256 of the text without white space."""
+    """(_id, _length, _digest, _row): code points of the text, sha256 of the text without white space, a number of the row's own."""
     text = text_of(text_col)
     return df.select(
         F.col(f"`{id_col}`").alias("_id"),
         F.length(text).alias("_length"),
         F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)).alias("_digest"),
+        F.monotonically_increasing_id().alias("_row"),  # for ties alone; it holds once the table is written
     )
 
 
 def heavy_winners(prints: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
-    """(_digest, _keep, _size) of the digests that hold more than `share` of the rows."""
+    """(_digest, _keep, _keep_row, _size) of the digests that hold more than `share` of the rows."""
     total = prints.count()
     keyed = prints.withColumn("_hash", F.xxhash64("_digest"))
     candidates = keyed.stat.freqItems(["_hash"], share).select(F.explode("_hash_freqItems").alias("_hash"))
-    best = F.min(F.struct(-F.col("_length"), F.col("_id").isNull(), F.col("_id").alias("_keep")))
+    best = F.min(F.struct(-F.col("_length"), F.col("_id").isNull(), F.col("_id").alias("_keep"), F.col("_row").alias("_keep_row")))
     return (
         keyed.join(F.broadcast(candidates), "_hash", "left_semi")
         .groupBy("_digest")
         .agg(best.alias("_best"), F.count("*").alias("_size"))
         .filter((F.col("_size") > share * total) & (F.col("_size") > 1))
-        .select("_digest", F.col("_best._keep").alias("_keep"), "_size")
+        .select("_digest", F.col("_best._keep").alias("_keep"), F.col("_best._keep_row").alias("_keep_row"), "_size")
     )
 
 
@@ -55,23 +58,26 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = prints.join(F.broadcast(heavy), "_digest")
     rest = prints.join(F.broadcast(heavy), "_digest", "left_anti")
     group = Window.partitionBy("_digest")
-    ranked = group.orderBy(F.col("_length").desc(), F.col("_id").asc_nulls_last())
-    rest = rest.withColumn("_keep", F.first("_id").over(ranked)).withColumn("_size", F.count("*").over(group))
+    ranked = group.orderBy(F.col("_length").desc(), F.col("_id").asc_nulls_last(), "_row")
+    first = F.first(F.struct("_id", "_row")).over(ranked)
+    rest = rest.withColumn("_first", first).withColumns({"_keep": F.col("_first._id"), "_keep_row": F.col("_first._row")}).drop("_first").withColumn("_size", F.count("*").over(group))
     return near.unionByName(rest).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_size").cast("long").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
+        (F.col("_row") == F.col("_keep_row")).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the copies. Of rows that repeat both id and text, one stays."""
-    decided = save(exact_duplicates(df, id_col, text_col), "decided")
-    left = without_ids(df, id_col, decided.filter(~F.col("kept")), id_col)
-    repeated = decided.filter("kept").groupBy(id_col).count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates([id_col, text_col]) if repeated else left
+    """df with one row of each group of equal texts: the one that op1 keeps."""
+    if dict(df.dtypes)[id_col] == "bigint" and unique_ids(df, id_col):
+        gone = save(exact_duplicates(df, id_col, text_col).filter("NOT kept").select(F.col(f"`{id_col}`").alias("_gone")), "copies")
+        return without_ids(df, id_col, gone, "_gone")
+    rows = with_row_key(df, id_col, text_col)
+    gone = save(exact_duplicates(rows, ROW, text_col).filter("NOT kept").select(F.col(ROW).alias("_gone")), "copies")
+    return without_ids(rows, ROW, gone, "_gone").drop(ROW)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
