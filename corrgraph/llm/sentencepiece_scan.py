@@ -6,17 +6,25 @@ encoding is the best path, and a chunk of text acts on what enters it as a max-p
 and columns are boundary states: the pieces that may lie across (or end at) the chunk's two borders.
 With scores of 0 and minus infinity, a row of the matrix is a set, kept as bits of an integer.
 
-Giant documents (GIANT code points or more) are cut into chunks of CHUNK, whatever is there. Each
-chunk yields its matrix; prefix and suffix products of a document's matrices, which are associative,
-leave one state on every border; then each chunk traces its own pieces back, by itself. Where no piece
-can cross (before a gap after a non-gap, around a line end) everything has to pass, so inside a
-chunk the stretch between the first and the last such place goes to the library as it is. Other
-documents go to the library whole.
+Giant documents (GIANT code points or more) are cut into chunks of CHUNK, whatever is there. Each chunk
+yields its matrix. Matrices are multiplied up a tree, FAN_IN neighbours a task, to one matrix for a
+document; the one path through it then goes down the same tree and leaves a state on every border. Each
+chunk traces its own pieces back, by itself. No task takes more than FAN_IN matrices or one chunk.
+
+A place that no piece crosses (no piece has its two characters side by side) has a single state, so a
+chunk's matrix is the product of its part before the first such place, which is a column, and of its
+part after the last one, which is a row; what lies between is a stretch from one state to one state,
+whose score is 0, as every text has an encoding. The trace runs the scan over each such stretch, stretch
+by stretch, all of a chunk side by side; equal stretches of a task are traced once.
+
+Documents below GIANT go to the library whole. Where the pairs leave no single path, which the tests
+have never seen, a stretch or a document goes to the library too.
 
 Decoding joins pieces: it gives the text back with U+2581 read as a blank, as the library does.
 
-Defined results: null encodes as empty; empty texts have no ids; rows that repeat an id with the same
-text give repeated results; bytes that are no valid text decode as U+FFFD.
+Defined results: null encodes as empty; empty texts have no ids; rows that repeat an id are rows of
+their own, and null ids stay null; bytes that are no valid text decode as U+FFFD; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,20 +32,21 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-import re
+import operator
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import documents, lean, partitions, save, text_of
+from corrgraph.llm.common import documents, drop_saved, lean, partitions, save, text_of
 
 GIANT = 32_768
 CHUNK = 8_192
+FAN_IN = 16
+#: Pairs and stretches that a worker keeps while a task runs.
+KNOWN_PAIRS, KNOWN_STRETCHES = 300_000, 150_000
 GAP = "▁"
-#: A place that no piece crosses: a gap after something else, and both sides of a line end.
-HARD = re.compile(f"(?<=[^{GAP}])(?={GAP})|(?<=\n)|(?=\n)")
 #: The state before the first piece, and the states' part that is no piece.
 START = (0, 0, "")
 
@@ -58,12 +67,21 @@ class Model:
             if not (m.is_control(i) or m.is_byte(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.pieces[m.id_to_piece(i)] = i
         self.reach = max(map(len, self.pieces))
-        self.lengths = {}
+        lengths: dict[str, set[int]] = {}
         for p in self.pieces:
-            self.lengths.setdefault(p[0], set()).add(len(p))
-        self.lengths = {c: sorted(n) for c, n in self.lengths.items()}
+            if len(p) > 1:
+                lengths.setdefault(p[:2], set()).add(len(p))
+        self.lengths = {c: sorted(n) for c, n in lengths.items()}
+        self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.head = m.encode("\n")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.number = dict(self.pieces)
+        self.traced: dict[str, tuple[int, ...]] = {}
+        self.misses = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what a task has learned, but for a bounded table of stretches; workers outlive their tasks."""
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def bare(self, text: str) -> list[int]:
@@ -76,20 +94,80 @@ class Model:
             self.known[piece] = (self.pieces[piece],) if piece in self.pieces else tuple(self.bare(piece))
         return self.known[piece]
 
+    def key(self, u: str, v: str) -> int:
+        """A number for a pair; characters that are no pieces are numbered by their code points."""
+        a = self.number.get(u)
+        b = self.number.get(v)
+        return (a if a is not None else ord(u) + (1 << 21) if u else 1 << 23) << 24 | (b if b is not None else ord(v) + (1 << 21))
+
+    def learn(self, wanted: dict[int, tuple[str, str]]) -> dict[int, bool]:
+        """Ask the library about pairs, in one call."""
+        if len(self.pairs) > KNOWN_PAIRS:
+            self.pairs.clear()
+        told = self.lib.encode(["\n" + (u + v).replace(GAP, " ") for u, v in wanted.values()], num_threads=1)
+        n = len(self.head)
+        out = {k: tuple(ids[n:]) == ((*self.ids(u), *self.ids(v)) if u else self.ids(v)) for (k, (u, v)), ids in zip(wanted.items(), told, strict=True)}
+        self.pairs.update(out)
+        return out
+
     def stays(self, u: str, v: str) -> bool:
         """Whether encoding u + v gives u, v."""
-        key = (u, v)
-        if key not in self.pairs:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            self.pairs[key] = tuple(self.bare(u + v)) == ((*self.ids(u), *self.ids(v)) if u else self.ids(v))
-        return self.pairs[key]
+        key = self.key(u, v)
+        return self.pairs[key] if key in self.pairs else self.learn({key: (u, v)})[key]
 
     def starting(self, text: str, at: int) -> list[str]:
         """The pieces that the text has at a place; a character that is no piece stands for itself."""
-        c = text[at]
-        found = [p for n in self.lengths.get(c, ()) if (p := text[at : at + n]) in self.pieces and len(p) == n]
-        return found if c in self.pieces else [c, *found]
+        found, have = [text[at]], self.number
+        for n in self.lengths.get(text[at : at + 2], ()):
+            if (p := text[at : at + n]) in have and len(p) == n:
+                found.append(p)
+        return found
+
+    def trace_all(self, stretches: list[str]) -> list[tuple[int, ...]]:
+        """The ids of stretches between places that no piece crosses, by the scan from one state to one state.
+
+        All stretches advance place by place together, so that the pairs a step needs are one question. From
+        one state, one piece at most ends at each place on paths that stay; it is the state of that place.
+        """
+        new = [t for t in dict.fromkeys(stretches) if t not in self.traced]
+        if len(self.traced) + len(new) > KNOWN_STRETCHES:
+            self.traced.clear()
+            new = list(dict.fromkeys(stretches))
+        ends = [[None] * (len(t) + 1) for t in new]  # of each place the piece that ends there
+        for e in ends:
+            e[0] = ""
+        known = self.pairs.get
+        for group in range(0, len(new), 4096):
+            rows = range(group, min(len(new), group + 4096))
+            for place in range(max((len(new[k]) for k in rows), default=0)):
+                late, unknown = [], {}
+                for k in rows:
+                    t, end = new[k], ends[k]
+                    if (u := end[place]) is None:
+                        continue
+                    for v in self.starting(t, place):
+                        key = self.key(u, v)
+                        good = known(key)
+                        if good:
+                            end[place + len(v)] = v
+                        elif good is None:
+                            late.append((key, end, v))
+                            unknown[key] = (u, v)
+                if unknown:
+                    answers = self.learn(unknown)
+                    for key, end, v in late:
+                        if answers[key]:
+                            end[place + len(v)] = v
+                rows = [k for k in rows if len(new[k]) > place + 1]
+        for t, e in zip(new, ends, strict=True):
+            out, at = [], len(t)
+            while at > 0 and e[at]:
+                out.append(self.ids(e[at]))
+                at -= len(e[at])
+            if at:
+                self.misses += 1
+            self.traced[t] = tuple(self.bare(t)) if at else tuple(i for ids in reversed(out) for i in ids)
+        return [self.traced[t] for t in stretches]
 
 
 def states(m: Model, text: str, border: int) -> list[tuple[int, int, str]]:
@@ -128,17 +206,17 @@ def advance(m: Model, text: str, reached: dict, stop: int, until: int | None = N
     return out
 
 
-def hard_places(text: str, first: int, last: int) -> tuple[int, int] | None:
-    """The first and the last place in [first, last) that no piece crosses."""
-    a = HARD.search(text, first)
-    if a is None or a.start() >= last:
-        return None
-    lo = a.start()
-    for back in (256, 4096, last - lo):
-        found = [x.start() for x in HARD.finditer(text, max(lo, last - back), last) if x.start() < last]
-        if found:
-            return lo, found[-1]
-    return lo, lo
+def hard_places(m: Model, text: str, first: int, last: int) -> list[int]:
+    """The places in [first, last) that no piece crosses."""
+    inside = m.inside
+    return [k for k, (a, b) in enumerate(itertools.pairwise(text[first - 1 : last]), first) if a + b not in inside]
+
+
+def hard_edges(m: Model, text: str, first: int, last: int) -> tuple[int, int] | None:
+    """The first and the last of hard_places()."""
+    hard = lambda k: text[k - 1 : k + 1] not in m.inside
+    lo = next((k for k in range(first, last) if hard(k)), None)
+    return None if lo is None else (lo, next(k for k in range(last - 1, lo - 1, -1) if hard(k)))
 
 
 class Chunk:
@@ -149,7 +227,7 @@ class Chunk:
         self.enter = [START] if opens else states(m, text, first)
         self.leave = [(0, 0, "end")] if closes else states(m, text, last)
         self.closes = closes
-        self.hard = hard_places(text, first + m.reach, last - m.reach) if last - first > 3 * m.reach else None
+        self.hard = hard_edges(m, text, first + m.reach, last - m.reach) if last - first > 3 * m.reach else None
 
     def seeds(self, only: int | None = None) -> dict:
         return {(self.first + e, p): 1 << k for k, (_, e, p) in enumerate(self.enter) if only is None or k == only}
@@ -174,29 +252,32 @@ class Chunk:
         if not self.hard:
             return self.finish(advance(m, text, self.seeds(), self.last))
         lo, hi = self.hard
-        bits = 0
-        for (end, _), b in advance(m, text, self.seeds(), self.last, lo).items():
-            bits |= b if end == lo else 0
-        return [bits if b else 0 for b in self.finish(advance(m, text, {(hi, ""): 1}, self.last))]
+        arrived = advance(m, text, self.seeds(), self.last, lo)
+        head = [functools.reduce(operator.or_, (b for (end, _), b in arrived.items() if end == lo), 0)]
+        return times(head, self.finish(advance(m, text, {(hi, ""): 1}, self.last)))
 
-    def trace(self, reached: dict, stop: int, wanted, until: int | None = None) -> list[int]:
+    def trace(self, reached: dict, stop: int, wanted, until: int | None = None) -> list[int] | None:
         back: dict = {}
         ends = advance(self.m, self.text, reached, stop, until, back)
-        key = next(k for k in ends if wanted(k))
+        key = next((k for k in ends if wanted(k)), None)
+        if key is None:
+            return None
         ids = []
         while key in back and key not in reached:
             ids.append(self.m.ids(key[1]))
             key = back[key]
         return [i for p in reversed(ids) for i in p]
 
-    def ids(self, enter: int, leave: int) -> list[int]:
-        """The ids of the pieces after the entering one, up to and with the leaving one."""
+    def ids(self, enter: int, leave: int) -> list[int] | None:
+        """The ids of the pieces after the entering one, up to and with the leaving one; None if there is no way."""
         goal = (lambda k: k[0] == self.last) if self.closes else (lambda k: k == (self.last + self.leave[leave][1], self.leave[leave][2]))
         if not self.hard:
             return self.trace(self.seeds(enter), self.last, goal)
         lo, hi = self.hard
         head = self.trace(self.seeds(enter), self.last, lambda k: k[0] == lo, lo)
-        return head + self.m.bare(self.text[lo:hi]) + self.trace({(hi, ""): 1}, self.last, goal)
+        middle = self.m.trace_all([self.text[a:b] for a, b in itertools.pairwise([*hard_places(self.m, self.text, lo, hi), hi])])
+        tail = self.trace({(hi, ""): 1}, self.last, goal)
+        return None if head is None or tail is None else [*head, *itertools.chain.from_iterable(middle), *tail]
 
 
 def times(a: list[int], b: list[int]) -> list[int]:
@@ -212,23 +293,24 @@ def times(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def borders(matrices: list[list[int]]) -> list[tuple[int, int]]:
-    """(entering, leaving) state of each chunk on the one path, from the products before and after each border."""
-    before, row = [], [1]
+def ways(matrices: list[list[int]], enter: int, leave: int) -> list[tuple[int, int]]:
+    """(entering, leaving) state of each of some neighbours on the one path from `enter` to `leave`; -1 where there is none or another.
+
+    The products from the left and from the right meet on every border.
+    """
+    row = lambda m, rows: [int(any(rows[k] for k in range(len(rows)) if b >> k & 1)) for b in m]
+    before, now = [], [int(k == enter) for k in range(enter + 1)]
     for m in matrices:
-        row = [1 if b & sum(1 << k for k, x in enumerate(row) if x) else 0 for b in m]
-        before.append(row)
-    after, wanted = [0] * len(matrices), 1
-    for k in range(len(matrices) - 1, -1, -1):
-        after[k] = wanted
-        wanted = functools.reduce(lambda x, y: x | y, (b for j, b in enumerate(matrices[k]) if wanted >> j & 1), 0)
-    at = []
-    for row, good in zip(before, after, strict=True):
-        both = [j for j, x in enumerate(row) if x and good >> j & 1]
-        if len(both) != 1:
-            raise ValueError(f"{len(both)} states on a border")
-        at.append(both[0])
-    return list(zip([0, *at[:-1]], at, strict=True))
+        now += [0] * (max((b.bit_length() for b in m), default=0) - len(now))
+        now = row(m, now)
+        before.append(now)
+    wanted, at = 1 << leave if leave >= 0 else 0, []
+    for m, reached in zip(reversed(matrices), reversed(before), strict=True):
+        both = [j for j, x in enumerate(reached) if x and wanted >> j & 1]
+        at.append(both[0] if len(both) == 1 else -1)
+        wanted = functools.reduce(operator.or_, (b for j, b in enumerate(m) if wanted >> j & 1), 0)
+    at.reverse()
+    return list(zip([enter, *at[:-1]], at, strict=True)) if -1 not in at and enter >= 0 else [(-1, -1)] * len(at)
 
 
 def cut(text: str, reach: int, chunk: int) -> list[tuple[int, str, int, int, bool, bool]]:
@@ -250,8 +332,14 @@ def encode_giant(m: Model, text: str, chunk: int = CHUNK) -> list[int]:
     if not text:
         return []
     chunks = [Chunk(m, *c[1:]) for c in cut(text, m.reach, chunk)]
-    path = borders([c.matrix() for c in chunks])
-    return [i for c, (a, b) in zip(chunks, path, strict=True) for i in c.ids(a, b)]
+    levels = [[c.matrix() for c in chunks]]
+    while len(levels[-1]) > 1:
+        levels.append([functools.reduce(times, levels[-1][k : k + FAN_IN]) for k in range(0, len(levels[-1]), FAN_IN)])
+    path = [(0, 0)]
+    for level in reversed(levels[:-1]):
+        path = [w for k, (a, b) in enumerate(path) for w in ways(level[k * FAN_IN : (k + 1) * FAN_IN], a, b)]
+    found = [c.ids(a, b) if a >= 0 else None for c, (a, b) in zip(chunks, path, strict=True)]
+    return m.lib.encode(text) if None in found else [i for ids in found for i in ids]
 
 
 # --- on tables --------------------------------------------------------------------------------
@@ -265,6 +353,18 @@ def lists(ids: list[list[int]]):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def forgetting(path: str, run):
+    """run, with the worker's model emptied of what it has learned at the end."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            model(path).forget()
+
+    return lean(go)
+
+
 def encode_batches(path: str):
     """mapInArrow over (_id, _hash, _text): whole texts through the library."""
 
@@ -277,22 +377,23 @@ def encode_batches(path: str):
                 found = model(path).lib.encode(part.column(2).to_pylist(), num_threads=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(found), pa.array([1] * len(found), pa.int32())], names=["_id", "_hash", "ids", "n_chunks"])
 
-    return run
+    return lean(run)
 
 
 def cut_batches(path: str, chunk: int):
+    """mapInArrow over (_hash, _text): the chunks of each text."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for d, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = cut(t, model(path).reach, chunk)
-                columns = [pa.array([d] * len(rows), batch.column(0).type), pa.array([h] * len(rows))]
-                kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-                columns += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_hash", "_nth", "_slice", "_first", "_last", "_opens", "_closes"])
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+                columns = [pa.array([h] * len(rows)), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_hash", "_nth", "_slice", "_first", "_last", "_opens", "_closes"])
 
-    return run
+    return lean(run)
 
 
 def matrix_batches(path: str):
@@ -300,17 +401,27 @@ def matrix_batches(path: str):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [["%x" % b for b in Chunk(model(path), *r).matrix()] for r in zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.string()))], names=["_id", "_hash", "_nth", "_matrix"])
+            rows = [["%x" % b for b in Chunk(model(path), *r).matrix()] for r in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.string()))], names=["_hash", "_nth", "_matrix"])
 
-    return run
+    return forgetting(path, run)
+
+
+def unpacked(pdf) -> list[list[int]]:
+    return [[int(x, 16) for x in row] for row in pdf["_matrix"]]
 
 
-def combine(pdf):
-    """applyInPandas over one document's matrices, which take less room than the text they came from."""
-    pdf = pdf.sort_values("_nth").drop_duplicates("_nth")
-    path = borders([[int(x, 16) for x in row] for row in pdf["_matrix"]])
-    return pdf[["_id", "_hash", "_nth"]].assign(_in=[a for a, _ in path], _out=[b for _, b in path])
+def multiply(pdf):
+    """applyInPandas over FAN_IN neighbours at most, which share _of: their product."""
+    product = functools.reduce(times, unpacked(pdf.sort_values("_nth")))
+    return pdf[["_hash", "_of"]].head(1).rename(columns={"_of": "_nth"}).assign(_matrix=[["%x" % b for b in product]])
+
+
+def part_ways(pdf):
+    """applyInPandas over FAN_IN neighbours at most, which all name the way of their product: the way of each."""
+    pdf = pdf.sort_values("_nth")
+    found = ways(unpacked(pdf), int(pdf["_in"].iloc[0]), int(pdf["_out"].iloc[0]))
+    return pdf[["_hash", "_nth"]].assign(_in=[a for a, _ in found], _out=[b for _, b in found])
 
 
 def trace_batches(path: str):
@@ -318,32 +429,50 @@ def trace_batches(path: str):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [Chunk(model(path), *r[:5]).ids(*r[5:]) for r in zip(*(batch.column(k).to_pylist() for k in range(3, 10)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists(rows)], names=["_id", "_hash", "_nth", "_ids"])
-
-    return run
+            rows = [Chunk(model(path), *r[:5]).ids(*r[5:]) if r[5] >= 0 else None for r in zip(*(batch.column(k).to_pylist() for k in range(2, 9)), strict=True)]
+            lost = pa.array([r is None for r in rows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists([r or [] for r in rows]), lost], names=["_hash", "_nth", "_ids", "_lost"])
+
+    return forgetting(path, run)
+
+
+def scan(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
+    """(_hash, ids, n_chunks, lost) of texts (_hash, _text), each once, by the scan; lost where it found no single path."""
+    spark = texts.sparkSession
+    pieces = save(texts.mapInArrow(cut_batches(model_path, chunk), "_hash string, _nth long, _slice string, _first int, _last int, _opens boolean, _closes boolean"), "chunks")
+    found = pieces.repartition(partitions(spark)).mapInArrow(matrix_batches(model_path), "_hash string, _nth long, _matrix array<string>")
+    levels = [save(found, "matrices")]
+    while (levels[-1].agg(F.max("_nth")).first()[0] or 0) > 0:
+        above = levels[-1].withColumn("_of", F.floor(F.col("_nth") / FAN_IN)).groupBy("_hash", "_of").applyInPandas(multiply, "_hash string, _nth long, _matrix array<string>")
+        levels.append(save(above, "matrices"))
+    way = levels[-1].select("_hash", "_nth", F.lit(0).cast("long").alias("_in"), F.lit(0).cast("long").alias("_out"))
+    for level in reversed(levels[:-1]):
+        of = way.select(F.col("_hash").alias("_h"), F.col("_nth").alias("_of"), "_in", "_out")
+        both = level.join(of, (F.col("_hash") == F.col("_h")) & (F.floor(F.col("_nth") / FAN_IN) == F.col("_of"))).drop("_h")
+        way = both.groupBy("_hash", "_of").applyInPandas(part_ways, "_hash string, _nth long, _in long, _out long")
+    way = save(way, "ways")
+    drop_saved(*levels)
+    on = (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n"))
+    both = pieces.join(way.select(F.col("_hash").alias("_h"), F.col("_nth").alias("_n"), "_in", "_out"), on).select(*pieces.columns, "_in", "_out")
+    traced = both.mapInArrow(trace_batches(model_path), "_hash string, _nth long, _ids array<int>, _lost boolean")
+    whole = traced.groupBy("_hash").agg(F.sort_array(F.collect_list(F.struct("_nth", "_ids"))).alias("_all"), F.max("_lost").alias("lost"))
+    out = save(whole.select("_hash", F.flatten(F.transform("_all", lambda x: x["_ids"])).alias("ids"), F.size("_all").alias("n_chunks"), "lost"), "traced")
+    drop_saved(pieces, way)
+    return out
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """id, text_sha256 (of the text with U+2581 as a blank), ids, n_chunks of every row of df."""
-    spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
-    text = text_of(text_col)
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.sha2(F.replace(text, F.lit(GAP), F.lit(" ")), 256).alias("_hash"), text.alias("_text"))
-    head = f"_id {kind}, _hash string"
-    plain = rows.filter(F.length("_text") < giant).mapInArrow(lean(encode_batches(model_path)), head + ", ids array<int>, n_chunks int")
-    pieces = save(rows.filter(F.length("_text") >= giant).dropDuplicates(["_id", "_hash"]).mapInArrow(lean(cut_batches(model_path, chunk)), head + ", _nth int, _slice string, _first int, _last int, _opens boolean, _closes boolean"), "chunks")
-    dealt = pieces.repartition(partitions(spark))
-    found = dealt.mapInArrow(lean(matrix_batches(model_path)), head + ", _nth int, _matrix array<string>")
-    path = found.groupBy("_id", "_hash").applyInPandas(combine, head + ", _nth int, _in int, _out int")
-    keys = ["_id", "_hash", "_nth"]
-    ways = save(path, "ways").withColumnsRenamed({k: k + "2" for k in keys})
-    on = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(k + "2")) for k in keys))
-    traced = pieces.join(ways, on).select(*pieces.columns, "_in", "_out").mapInArrow(lean(trace_batches(model_path)), head + ", _nth int, _ids array<int>")
-    joined = traced.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(F.struct("_nth", "_ids"))).alias("_all"))
-    long = joined.select("_id", "_hash", F.flatten(F.transform("_all", lambda x: x["_ids"])).alias("ids"), F.size("_all").alias("n_chunks"))
-    twice = rows.filter(F.length("_text") >= giant).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
-    long = twice.join(long, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).select("_id", "_hash", "ids", "n_chunks")
-    return plain.unionByName(long).withColumnsRenamed({"_id": id_col, "_hash": "text_sha256"})
+    """id, text_sha256, ids, n_chunks of every row of df."""
+    kind, text = dict(df.dtypes)[id_col], text_of(text_col)
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.sha2(text, 256).alias("_hash"), text.alias("_text"))
+    by_library = lambda rows: rows.mapInArrow(encode_batches(model_path), f"_id {kind}, _hash string, ids array<int>, n_chunks int")
+    plain, long = rows.filter(F.length("_text") < giant), rows.filter(F.length("_text") >= giant)
+    found = scan(long.select("_hash", "_text").dropDuplicates(["_hash"]), model_path, chunk)
+    keys = long.select("_id", F.col("_hash").alias("_own"))
+    out = by_library(plain).unionByName(keys.join(found.filter("NOT lost"), F.col("_own") == F.col("_hash")).select("_id", "_hash", "ids", "n_chunks"))
+    if found.filter("lost").limit(1).count():
+        out = out.unionByName(by_library(long.join(found.filter("lost").select(F.col("_hash").alias("_own")), F.col("_hash") == F.col("_own"), "left_semi")))
+    return out.withColumnsRenamed({"_id": id_col, "_hash": "text_sha256"})
 
 
 def decode_batches(path: str, keep_ids: bool):
@@ -369,14 +498,22 @@ def decode_batches(path: str, keep_ids: bool):
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """id, text_sha256, n_chunks, n_ids, ids_crc32, decoded_sha256, decoded, and ids if they are to be kept, of every row of encode()'s result."""
     kind = dict(encoded.dtypes)[id_col]
-    rows = encoded.select(F.col(id_col).alias("_id"), "ids", "text_sha256", "n_chunks")
+    rows = encoded.select(F.col(f"`{id_col}`").alias("_id"), "ids", "text_sha256", "n_chunks")
     out = rows.mapInArrow(lean(decode_batches(model_path, keep_ids)), f"_id {kind}, text_sha256 string, n_chunks int, n_ids long, ids_crc32 long, decoded_sha256 string, {'ids array<int>, ' if keep_ids else ''}decoded string")
     return out.withColumnRenamed("_id", id_col)
 
 
+def round_trips(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, digests of ids and texts (and the ids, if they are to be kept), and whether decoding gave the very text back.
+
+    The ids are written before they are decoded, so a lost executor costs one of the two, and a task has one worker.
+    """
+    encoded = save(encode(docs, model_path), "encoded")
+    out = decode(encoded, model_path, keep_ids=keep_ids).drop("decoded")
+    return out.withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256"))
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(documents(spark, sf_dir), path), path)
-    return out.drop("decoded").withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256"))
+    return round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
