@@ -8,12 +8,14 @@ access(), rank() and select() read a few blocks of each plane of the one file.
 File: magic, a JSON header with its length (documents' ids and lengths live in compressed arrays),
 then the blocks. All integers are little-endian.
 
-Documents are dealt by ranges of their id and sorted within, so shards follow the ids; a shard ends
-at SHARD_TOKENS ids or at its range's end. A file is written under a temporary name and renamed, and
-its bytes depend on its rows alone: a task that runs twice writes the same file twice.
+Documents are dealt by ranges of (id, hash of the text), a range a task, and sorted within, so shards
+follow the ids, and many rows of one id are parted; a shard ends at SHARD_TOKENS ids or at its range's
+end. A file is written under a temporary name and renamed, and its bytes depend on its rows alone: a
+task that runs twice writes the same file twice.
 
 Defined results: null and empty texts hold the end id alone; a document longer than a shard has a
-shard to itself; rows that repeat an id follow each other; an empty table has no files and no rows.
+shard to itself; rows that repeat an id follow each other, and null ids come first; ids are integers or
+strings; an empty table has no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ BLOCK_BITS = 1 << 16
 END_ID = 1
 MAGIC = b"WVM1"
 CACHE_WORDS = 400_000
+MARKS = (b"\xcc", b"\xcd")
 GAPS = re.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -200,8 +203,9 @@ class WordEncoder:
 
     The vocabulary's rules drop white space, never look across it, lower-case, and part letters from
     punctuation. So a text's ids are those of its chunks in turn, and a chunk of letters that ends in
-    a comma or a full stop has the ids of the letters and of the mark. Letters in composed form go
-    straight to the library's BPE model; all other chunks take its whole way.
+    a comma or a full stop has the ids of the letters and of the mark. Letters whose normal form is
+    themselves go straight to the library's BPE model; all other chunks take its whole way, so no
+    chunk's ids depend on what was met before.
     """
 
     def __init__(self, path: str):
@@ -222,12 +226,12 @@ class WordEncoder:
         core, tail = (chunk[:-1], self.marks[chunk[-1]]) if chunk[-1] in ",." else (chunk, b"")
         if not core.isalpha() or core != core.lower():
             return self.whole(chunk)
+        if not core.isascii() and not unicodedata.is_normalized("NFC", core):
+            return self.whole(chunk)
         if tail and core in self.known:
             return self.known[core] + tail
         if core.isascii():
             return b"".join([self.packed[t.id] for t in self.tokenize(core)]) + tail
-        if not unicodedata.is_normalized("NFC", core):
-            return self.whole(chunk)
         return b"".join([self.packed[t.id] for t in self.tokenize(core.encode().decode("latin-1").translate(self.letters))]) + tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -236,8 +240,10 @@ class WordEncoder:
             self.known = Known(self, dict(self.known))
         out, ids = [], self.known.__getitem__
         for text in texts:
-            # Python's lower case is the library's, but for the capital sigma and the dotted I
-            text = text if "\u03a3" in text or "\u0130" in text else text.lower()
+            # Python's lower case is the library's, but for the capital sigma and the dotted I; the library
+            # composes first, so capitals with marks (U+0300 to U+037F, by their first byte) are left to it
+            if text.isascii() or not any(map(text.encode("utf-8", "replace").__contains__, MARKS)) and "\u03a3" not in text and "\u0130" not in text:
+                text = text.lower()
             # Python splits at four separators that are no white space to the library
             chunks = text.split() if not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else [w for w in GAPS.split(text) if w]
             out.append(b"".join(map(ids, chunks)))
@@ -320,14 +326,9 @@ def read_shards(folder: str, id_type):
 def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Write the shards of df to a folder all executors share; (_range, _number, _file, _docs, _tokens) of each file."""
     spark = df.sparkSession
-    # ranges of the id by its own quantiles: a pass over the id column alone, so texts are read once
-    n = max(1, 2 * partitions(spark))
-    at = [k / n for k in range(1, n)]
-    bounds = sorted(set(df.select(F.percentile_approx(F.col(f"`{id_col}`"), at, 20 * n)).first()[0] or [])) if at else []
-    key = F.col(f"`{id_col}`")
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
-    dealt = df.select(F.coalesce(part, F.lit(0)).cast("long").alias("_range"), key.alias("_id"), text_of(text_col).alias("_text"))
-    dealt = dealt.repartition(partitions(spark), "_range").sortWithinPartitions("_range", "_id", "_text")
+    order = F.col("_id"), F.xxhash64("_text")
+    dealt = df.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).repartitionByRange(partitions(spark), *order)
+    dealt = dealt.sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("_range"), "_id", "_text")
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
     return save(dealt.mapInArrow(lean(write_shards(folder, tokenizer_path, shard_tokens, end_id)), "_range long, _number long, _file string, _docs long, _tokens long"), "shards")
