@@ -18,12 +18,20 @@ Points meet in blocks, dealt by shingles, in two passes:
    searched by tree for all pairs of different labels. So every link is found, or joins documents that
    are linked by others already; components come out whole.
 
+No task takes a block of unbounded size. Shingles that the count below finds in HOT documents or more
+are told mixed from one label by an aggregate, the others where their rows meet. Blocks that share their
+smallest document meet in one task, which tells each pair once; where those have more than LEAD rows,
+they are cut into parts of PART documents, every pair of parts is a task, and a pair of documents is
+told by the smallest of the blocks that both are in.
+
 The order puts shingles that many documents have last; a Misra-Gries count in each task finds them.
 Any order gives the same links; this one keeps common passages from making large blocks. Candidates
 are verified on the shingles of the whole texts. Equal sets are one class, compared once.
 
 Defined results: null and empty texts and those without words have no shingles and stand alone; a
-text of fewer words than SHINGLE is one shingle; rows that repeat an id count as one document.
+text of fewer words than SHINGLE is one shingle; rows that repeat an id, or have none, are documents of
+their own, and a component is named by the smallest id in it (null if it has none). Ids may be of any
+type that has an order; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.llm.common import components, documents, id_filter, lean, partitions, save, text_of, with_group_first, without_ids
+from corrgraph.llm.common import ROW, components, documents, drop_saved, id_filter, lean, partitions, save, text_of, unique_ids, with_group_first, with_row_key, without_ids
 
 SHINGLE = 4
 PERCENT = 85
@@ -45,6 +53,15 @@ LEAF = 64
 LOOKS = 16
 #: A block of the grouping pass above this many documents is split; all parts get its first document.
 BLOCK = 4096
+#: Documents from which a shingle is hot, rows of blocks with one smallest document that one task takes,
+#: documents of a part of larger ones, and the blocks a document names there to tell a pair once.
+HOT = 4096
+LEAD = 4096
+PART = 1024
+NAMED = 64
+#: Pairs that a task remembers as told, and pairs of an Arrow batch.
+TOLD = 1 << 19
+PAIRS = 1 << 14
 #: Counters of a task, and common shingles that the order knows at most.
 COUNTERS = 1 << 16
 COMMON = 1 << 16
@@ -202,19 +219,22 @@ def forest(packed: list[bytes], sizes: np.ndarray, percent: int) -> list[tuple[i
     return out
 
 
-def across(packed: list[bytes], sizes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """All candidate pairs of different labels."""
-    out = []
+def across(packed: list[bytes], sizes: np.ndarray, labels: np.ndarray, percent: int, sides: np.ndarray | None = None):
+    """All candidate pairs (i, j) of different labels, and of different sides where there are sides."""
     for g, own, larger in classes_of(sizes):
         rows = np.concatenate([own, larger])
         if len(rows) < 2:
             continue
         points, n, names = unpack_points([packed[k] for k in rows], sizes[rows], g), sizes[rows], labels[rows]
+        side = None if sides is None else sides[rows]
         tree = CountTree(points, n, percent) if len(rows) > LEAF else None
         for k in range(len(own)):
             for part in tree.search(points[k], int(n[k])) if tree else [np.flatnonzero(bounds(points, n, percent, k))]:
-                out += [(int(rows[k]), int(rows[j])) for j in part[part > k] if names[j] != names[k]]
-    return out
+                good = (part > k) & (names[part] != names[k])
+                if side is not None:
+                    good &= side[part] != side[k]
+                for j in part[good].tolist():
+                    yield int(rows[k]), int(rows[j])
 
 
 # --- batches ----------------------------------------------------------------------------------
@@ -254,14 +274,17 @@ def info_batches(size: int):
     return run
 
 
-def print_batches(size: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
-    """mapInArrow over (_id, _text): size, point, keys of the grouping pass, keys of the completing pass."""
+def print_batches(size: int, percent: int, common: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """mapInArrow over (_id, _text): size, point, keys of the grouping pass, keys of the completing pass, hot ones apart.
+
+    common: shingles that many documents have, in order; their places in the total order; whether they are hot.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         words = Words()
-        hashes, ranks = common
+        hashes, ranks, hot = common
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -270,17 +293,17 @@ def print_batches(size: int, percent: int, common: tuple[np.ndarray, np.ndarray]
                     s = shingles(t, words, size)
                     n = len(s)
                     if not n:
-                        rows.append((0, None, None, None))
+                        rows.append((0, None, None, None, None))
                         continue
                     first = [int(s[(s * m).argmin()].view(np.int64)) for m in ORDERS[:PERMUTATIONS]]
-                    rank = np.zeros(n, np.int64)
+                    rank, many = np.zeros(n, np.int64), np.zeros(n, bool)
                     if len(hashes):
                         at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                        rank = np.where(hashes[at] == s, ranks[at], 0)
-                    take = n - -(-percent * n // 100) + 1
-                    keys = s[np.lexsort((s, rank))[:take]].view(np.int64)
-                    rows.append((n, pack_point(s), first, keys))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["_id", "_n", "_point", "_first", "_keys"])
+                        rank, many = np.where(hashes[at] == s, ranks[at], 0), (hashes[at] == s) & hot[at]
+                    chosen = np.lexsort((s, rank))[: n - -(-percent * n // 100) + 1]
+                    keys, many = s[chosen].view(np.int64), many[chosen]
+                    rows.append((n, pack_point(s), first, keys[~many], keys[many]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4))], names=["_id", "_n", "_point", "_first", "_keys", "_hot"])
 
     return run
 
@@ -305,29 +328,49 @@ def blocks(batches, key_columns: int, columns: int):
         yield held
 
 
+def tells(key: int, a: list[int] | None, b: list[int] | None) -> bool:
+    """Whether block `key` tells a pair: the smallest of the blocks that both documents name, or any if they name none in common."""
+    both = set(a or ()).intersection(b or ())
+    return not both or min(both) == key
+
+
 def pair_batches(percent: int, labelled: bool):
-    """mapInArrow over (_key, _part, _hub or _lead, _id, _n, _point, _label) sorted: candidate pairs of each block."""
+    """mapInArrow over (_key, _part, _hub or _lead, _id, _n, _point, _label[, _side, _named]) sorted: candidate pairs of each block."""
+
+    def found(held):
+        ids, sizes = held[3], np.array(held[4], np.int64)
+        if not labelled:
+            yield from forest(held[5], sizes, percent)
+            return
+        sides = np.array(held[7], np.int64)
+        for i, j in across(held[5], sizes, np.array(held[6]), percent, sides if sides[0] >= 0 else None):
+            if tells(held[0][0], held[8][i], held[8][j]):
+                yield i, j
 
     def run(batches):
         import pyarrow as pa
 
-        lead, told = None, set()
-        for held in blocks(batches, 2, 7):
-            ids, sizes = held[3], np.array(held[4], np.int64)
+        lead, told, a, b = None, set(), [], []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for held in blocks(batches, 2, 9 if labelled else 7):
+            ids = held[3]
             if len(ids) < 2:
                 continue
-            pairs = across(held[5], sizes, np.array(held[6]), percent) if labelled else forest(held[5], sizes, percent)
-            pairs = [(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for i, j in pairs]
-            if labelled:  # blocks of one lead come one after the other, and often hold the same pairs
-                if held[2][0] != lead:
-                    lead, told = held[2][0], set()
-                pairs = [p for p in dict.fromkeys(pairs) if p not in told]
-                told.update(pairs)
-            if not pairs:
-                continue
-            a, b = [x for x, _ in pairs], [y for _, y in pairs]
-            kind = pa.int64() if isinstance(ids[0], int) else pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+            if labelled and (held[2][0] != lead or len(told) > TOLD):  # blocks of one lead come one after the other, and often hold the same pairs
+                lead, told = held[2][0], set()
+            for i, j in found(held):
+                pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+                if labelled:
+                    if pair in told:
+                        continue
+                    told.add(pair)
+                a.append(pair[0])
+                b.append(pair[1])
+                if len(a) >= PAIRS:
+                    yield out()
+                    a, b = [], []
+        if a:
+            yield out()
 
     return run
 
@@ -335,7 +378,7 @@ def pair_batches(percent: int, labelled: bool):
 def mixed_batches(batches):
     """mapInArrow over (_key, _id, _label) sorted by key: the rows of blocks that have two labels or more.
 
-    Their new key is a sum over the hashes of the block's ids: blocks of the same documents get the same
+    No block here is hot, so what is held of one is bounded. Their new key is a sum over the hashes of the block's ids: blocks of the same documents get the same
     key and need one search. Blocks that differ and meet by chance only give more candidates. Blocks are
     dealt by their lead, the smallest id, so that those which share documents mostly meet in one task.
     """
@@ -354,7 +397,7 @@ def mixed_batches(batches):
         good = np.zeros(len(starts), bool)
         good[block[differs]] = True
         keep = np.flatnonzero(good[block[:end]])
-        sums = np.add.reduceat(pd.util.hash_array(ids), starts).view(np.int64)
+        sums = np.add.reduceat(pd.util.hash_array(ids), starts).view(np.int64)  # hot blocks have a hash of their key
         leads = np.minimum.reduceat(ids, starts)
         out = table.take(pa.array(keep))
         return pa.RecordBatch.from_arrays([pa.array(sums[block[keep]]), pa.array(leads[block[keep]], out.column(1).type), out.column(1), out.column(2)], names=["_key", "_lead", "_id", "_label"]), None if last else table.slice(end)
@@ -399,42 +442,56 @@ def verify_batches(size: int, percent: int):
 # --- the join ---------------------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, texts: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that are links, by the sets of their whole texts.
 
     Pairs are dealt by a, which is compared with its partners as they stream by; one with many
-    partners is dealt in parts, each with its own copy of a's text.
+    partners is dealt in parts, each with its own copy of a's text. The table of pairs goes once it is read.
     """
     spark = pairs.sparkSession
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(512)).alias("_parts"))
     rows = pairs.join(hubs, "a").select(F.col("a").alias("_hub"), F.pmod(F.xxhash64("b"), F.col("_parts").cast("long")).alias("_part"), F.col("b").alias("_member"), F.col("b").alias("_of"))
-    heads = hubs.select(F.col("a").alias("_hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)).alias("_part"), F.lit(None).cast(kind).alias("_member"), F.col("a").alias("_of"))
+    heads = hubs.select(F.col("a").alias("_hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)).alias("_part"), F.lit(None).cast("long").alias("_member"), F.col("a").alias("_of"))
     wanted = save(rows.unionByName(heads), "wanted")
     asked, _ = id_filter(texts, "_id", wanted, "_of")
     dealt = wanted.join(asked, F.col("_of") == F.col("_id")).select("_hub", "_part", "_member", "_text")
     dealt = dealt.repartition(partitions(spark), "_hub", "_part").sortWithinPartitions("_hub", "_part", F.col("_member").asc_nulls_first())
-    return save(dealt.mapInArrow(lean(verify_batches(size, percent)), f"a {kind}, b {kind}"), "links", True)
+    links = save(dealt.mapInArrow(lean(verify_batches(size, percent)), "a long, b long"), "links", True)
+    drop_saved(wanted, pairs)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id of every row of df; component_id is the smallest id reachable by links."""
-    spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
+    if dict(df.dtypes)[id_col] == "bigint" and unique_ids(df, id_col):
+        found = joined(df, id_col, text_col, size, percent)
+        return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
+    rows = with_row_key(df.select(F.col(f"`{id_col}`").alias("_own"), text_of(text_col).alias("_text")), "_own", "_text")
+    found = joined(rows, ROW, "_text", size, percent)
+    names = rows.select(F.col(ROW).alias("_row"), "_own")  # keys sort as ids do, so the smallest key has the smallest id
+    told = found.join(names, F.col("_id") == F.col("_row")).select(F.col("_own").alias(id_col), F.col("_n").alias("n_shingles"), "_component")
+    return told.join(names, F.col("_component") == F.col("_row")).select(id_col, "n_shingles", F.col("_own").alias("component_id"))
+
+
+def joined(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(_id, _n, _component) of every row of df, whose id is a bigint that no two rows share."""
+    spark = df.sparkSession
     texts = df.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
-    told = save(texts.mapInArrow(lean(info_batches(size)), f"_id {kind}, _n long, _high long, _low long, _shingle long, _count long"), "info", True)
+    told = save(texts.mapInArrow(lean(info_batches(size)), "_id long, _n long, _high long, _low long, _shingle long, _count long"), "info", True)
     info = told.filter("_n IS NOT NULL").drop("_shingle", "_count")
     counted = told.filter("_shingle IS NOT NULL").groupBy("_shingle").agg(F.sum("_count").alias("c"))
-    # at most COMMON rows of two numbers: only the order of shingles depends on them, no result does
+    # at most COMMON rows of two numbers: only the order of shingles and the way of a block depend on them, no result does
     common = counted.filter("c >= 16").orderBy(F.col("c").desc(), "_shingle").limit(COMMON).toPandas()
-    hashes = common["_shingle"].to_numpy(np.int64).view(np.uint64)
-    ranks = np.lexsort((hashes, common["c"].to_numpy())).argsort() + 1 if len(hashes) else np.zeros(0, np.int64)
+    hashes, counts = common["_shingle"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64)
+    ranks = np.lexsort((hashes, counts)).argsort() + 1 if len(hashes) else np.zeros(0, np.int64)
     place = np.argsort(hashes)
-    order = (hashes[place], ranks[place])
+    order = (hashes[place], ranks[place], counts[place] >= HOT)
 
-    full, empty = info.filter("_n > 0 AND _id IS NOT NULL"), info.filter("_n = 0 OR _id IS NULL")
-    classes = save(with_group_first(full, ["_high", "_low"], "_id", "_class"), "classes")
-    once = texts.dropDuplicates(["_id"]) if has_repeats(classes) else texts
-    firsts = without_ids(once.filter("_id IS NOT NULL"), "_id", classes.filter("_id <> _class"), "_id")
-    prints = firsts.mapInArrow(lean(print_batches(size, percent, order)), f"_id {kind}, _n long, _point binary, _first array<long>, _keys array<long>")
+    alone = save(info.filter("_n = 0").select("_id", "_n", F.col("_id").alias("_component")), "alone", True)
+    classes = save(with_group_first(info.filter("_n > 0"), ["_high", "_low"], "_id", "_class"), "classes")
+    drop_saved(told)
+    firsts = without_ids(texts, "_id", classes.filter("_id <> _class"), "_id")
+    prints = firsts.mapInArrow(lean(print_batches(size, percent, order)), "_id long, _n long, _point binary, _first array<long>, _keys array<long>, _hot array<long>")
     prints = save(prints.filter("_n > 0"), "prints")
 
     # pass 1: grouping
@@ -444,37 +501,66 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = F.when(F.col("_part").isNull(), F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.lit(BLOCK)).cast("long") - 1)).otherwise(F.array(F.col("_part").cast("long")))
     keyed = keyed.select("_key", F.explode(parts).alias("_part"), (F.col("_id") != F.col("_hub")).cast("int").alias("_hub"), "_id", "_n", "_point", F.lit(0).alias("_label"))
     dealt = keyed.repartition(partitions(spark), "_key", "_part").sortWithinPartitions("_key", "_part", "_hub", "_id")
-    pairs = dealt.mapInArrow(lean(pair_batches(percent, False)), f"a {kind}, b {kind}").distinct()
-    links = verified(save(pairs, "pairs", True), once, kind, size, percent)
-    labels = components(links)
+    pairs = dealt.mapInArrow(lean(pair_batches(percent, False)), "a long, b long").distinct()
+    links = verified(save(pairs, "pairs", True), texts, size, percent)
+    labels = components(links).withColumnsRenamed({"node": "_node", "component": "_label"})
 
     # pass 2: completing
-    named = labels.withColumnsRenamed({"node": "_node", "component": "_label"})
-    known = save(prints.join(named, F.col("_id") == F.col("_node"), "left").withColumn("_label", F.coalesce("_label", "_id")).drop("_node", "_first"), "labelled")
-    keyed = known.select(F.explode("_keys").alias("_key"), "_id", "_label")
-    dealt = keyed.repartition(partitions(spark), "_key").sortWithinPartitions("_key")
-    mixed = save(dealt.mapInArrow(lean(mixed_batches), f"_key long, _lead {kind}, _id {kind}, _label {kind}").distinct(), "mixed")
-    points = known.select(F.col("_id").alias("_p"), "_n", "_point")
-    rows = mixed.join(points, F.col("_id") == F.col("_p")).select("_key", F.lit(0).cast("long").alias("_part"), "_lead", "_id", "_n", "_point", "_label")
-    dealt = rows.repartition(partitions(spark), "_lead").sortWithinPartitions("_lead", "_key", "_id")
-    pairs = dealt.mapInArrow(lean(pair_batches(percent, True)), f"a {kind}, b {kind}")
-    more = verified(save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2", True), once, kind, size, percent)
+    mixed = save(mixed_blocks(prints, labels).distinct(), "mixed")
+    points = prints.select(F.col("_id").alias("_p"), "_n", "_point")
+    columns = ["_key", "_part", "_lead", "_id", "_n", "_point", "_label", "_side", "_named"]
+    whole = F.lit(0).cast("long").alias("_part"), F.lit(-1).alias("_side"), F.lit(None).cast("array<long>").alias("_named")
+    large = save(mixed.groupBy("_lead").count().filter(F.col("count") > LEAD).select("_lead"), "large", True)
+    small = mixed.join(large, "_lead", "left_anti").select("*", *whole).join(points, F.col("_id") == F.col("_p")).select(*columns)
+    dealt = small.repartition(partitions(spark), "_lead").sortWithinPartitions("_lead", "_key", "_id")
+    pairs = dealt.mapInArrow(lean(pair_batches(percent, True)), "a long, b long")
+    if large.limit(1).count():
+        cut = in_parts(mixed.join(large, "_lead", "left_semi")).join(points, F.col("_id") == F.col("_p")).select(*columns)
+        dealt = cut.repartition(partitions(spark), "_key", "_part").sortWithinPartitions("_key", "_part", "_id")
+        pairs = pairs.unionByName(dealt.mapInArrow(lean(pair_batches(percent, True)), "a long, b long"))
+    pairs = save(pairs.distinct(), "pairs2", True)
+    drop_saved(prints, mixed, large)
+    more = verified(pairs, texts, size, percent)
 
     # equal sets are linked too, and components are named by the smallest id of all
     final = components(links.unionByName(more)).withColumnsRenamed({"node": "_node", "component": "_component"})
+    drop_saved(links, more)
     out = classes.join(final, F.col("_class") == F.col("_node"), "left").select("_id", "_n", F.coalesce("_component", "_class").alias("_component"))
-    alone = empty.select("_id", "_n", F.col("_id").alias("_component"))
-    return out.unionByName(alone).select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
-
-
-def has_repeats(classes: DataFrame) -> bool:
-    return bool(classes.groupBy("_id").count().filter("count > 1").limit(1).count())
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """df with one document of each component: the one that names it."""
-    found = save(near_duplicates(df, id_col, text_col, **more), "near")
-    return without_ids(df, id_col, found.filter(F.col(id_col) != F.col("component_id")), id_col)
+    return out.unionByName(alone)
+
+
+def mixed_blocks(prints: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_key, _lead, _id, _label): the rows of the completing pass's blocks that have more than one label."""
+    spark = prints.sparkSession
+    maybe, rest = id_filter(prints.select("_id", "_keys", "_hot"), "_id", labels, "_node")  # few documents have a label of another
+    maybe = maybe.join(labels, F.col("_id") == F.col("_node"), "left").withColumn("_label", F.coalesce("_label", "_id")).drop("_node")
+    known = rest.withColumn("_label", F.col("_id")).unionByName(maybe)
+    dealt = known.select(F.explode("_keys").alias("_key"), "_id", "_label").repartition(partitions(spark), "_key").sortWithinPartitions("_key")
+    cold = dealt.mapInArrow(lean(mixed_batches), "_key long, _lead long, _id long, _label long")
+    hot = known.select(F.explode("_hot").alias("_hot_key"), "_id", "_label")
+    leads = hot.groupBy("_hot_key").agg(F.min("_id").alias("_lead"), F.min("_label").alias("_x"), F.max("_label").alias("_y")).filter("_x <> _y")
+    both = hot.join(F.broadcast(leads), "_hot_key")  # at most COMMON rows
+    return cold.unionByName(both.select(F.xxhash64("_hot_key").alias("_key"), "_lead", "_id", "_label"))
+
+
+def in_parts(mixed: DataFrame) -> DataFrame:
+    """Blocks as pairs of parts: a row for each part that its own one meets, with its side there and the blocks its document names."""
+    named = mixed.groupBy("_lead", "_id").agg(F.slice(F.array_sort(F.collect_set("_key")), 1, NAMED).alias("_named"))
+    sizes = mixed.groupBy("_key", "_lead").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("_parts"))
+    rows = mixed.join(named, ["_lead", "_id"]).join(sizes, ["_key", "_lead"]).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_parts").cast("long")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    part = F.least("_own", "_other").cast("long") * (1 << 31) + F.greatest("_own", "_other")
+    side = F.when(F.col("_parts") == 1, -1).when(F.col("_own") == F.col("_other"), -1).otherwise((F.col("_own") > F.col("_other")).cast("int"))
+    return rows.select("_key", part.alias("_part"), "_lead", "_id", "_label", side.alias("_side"), "_named")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """df with one row of each component: the one that names it."""
+    unique = dict(df.dtypes)[id_col] == "bigint" and unique_ids(df, id_col)
+    rows, key = (df, id_col) if unique else (with_row_key(df, id_col, text_col), ROW)
+    gone = save(joined(rows, key, text_col, size, percent).filter("_id <> _component").select(F.col("_id").alias("_gone")), "near")
+    left = without_ids(rows, key, gone, "_gone")
+    return left if unique else left.drop(ROW)
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
