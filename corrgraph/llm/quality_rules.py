@@ -104,16 +104,16 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = text_of(text_col)
     words = F.filter(F.split(text, SPACE + "+", -1), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda line: words_in(line) > 0)
-    failing = F.filter(F.split(text, "\n", -1), line_fails)
-    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x).cast("long"))
+    judged = F.transform(F.split(text, "\n", -1), lambda line: F.struct(line.alias("line"), line_fails(line).alias("fails")))
+    of = lambda xs, fails: F.transform(F.filter(xs, lambda x: x["fails"] == F.lit(fails)), lambda x: x["line"])
+    lost = lambda xs: F.aggregate(of(xs, True), F.lit(0).cast("long"), lambda a, x: a + word_chars(x).cast("long"))
     measured = df.select(
         F.col(f"`{id_col}`").alias("_id"),
         F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), let(window_hashes(w), covered).alias("r"))).alias("_words"),
-        total(failing, word_chars).alias("lost_chars"),
-        F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~line_fails(line)), "\n").alias("clean_text"),
+        let(judged, lambda xs: F.struct(lost(xs).alias("lost"), F.array_join(of(xs, False), "\n").alias("clean"))).alias("_judged"),
     )
     n, repeated = F.col("_words.n"), F.col("_words.r")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
@@ -125,43 +125,47 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "n_dup_lines",
         repeated.alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & (F.col("lost_chars") <= MAX_LOST * F.col("word_chars"))).alias("kept"),
-        "lost_chars",
-        "clean_text",
+        (~failed & (F.col("_judged.lost") <= MAX_LOST * F.col("word_chars"))).alias("kept"),
+        F.col("_judged.lost").alias("lost_chars"),
+        F.col("_judged.clean").alias("clean_text"),
     )
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir)).drop("clean_text")
+    """quality() with a digest of the cleaned text in its place."""
+    return quality(documents(spark, sf_dir)).withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
-lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(generate_series(1, len(string_split(t, chr(10))))) AS nth FROM d),
 seen AS (
-  SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT doc_id, line, nth, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          len(regexp_extract_all(line, '[#*$%&|<>]')) AS s,
          length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS c
   FROM lines),
+judged AS (
+  SELECT *, n > 0 AND (s >= 0.5 * n OR NOT regexp_matches(line, '[\pL\pN]')
+         OR (n <= 20 AND (regexp_matches(line, '{menu}') OR regexp_matches(line, '{separators}') OR regexp_matches(line, '{notice}')))) AS fails
+  FROM seen),
 lost AS (
   SELECT doc_id,
          sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) - count(DISTINCT CASE WHEN n > 0 THEN line END) AS n_dup_lines,
-         sum(CASE WHEN n > 0 AND (s >= 0.5 * n OR NOT regexp_matches(line, '[\pL\pN]')
-              OR (n <= 20 AND (regexp_matches(line, '{menu}') OR regexp_matches(line, '{separators}') OR regexp_matches(line, '{notice}'))))
-             THEN c ELSE 0 END) AS lost_chars
-  FROM seen GROUP BY doc_id),
+         sum(CASE WHEN fails THEN c ELSE 0 END) AS lost_chars,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT fails), '')) AS clean_sha256
+  FROM judged GROUP BY doc_id),
 win AS (
   SELECT doc_id, i, ws[i:i+4] AS x FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)),
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS k FROM win),
 cov AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM rep WHERE k > 1) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
-         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, n_dup_lines, coalesce(r, 0) AS n_repeat_words, lost_chars
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, n_dup_lines, coalesce(r, 0) AS n_repeat_words, lost_chars, clean_sha256
   FROM w JOIN lost USING (doc_id) LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept, CAST(lost_chars AS BIGINT) AS lost_chars
+       NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept, CAST(lost_chars AS BIGINT) AS lost_chars, clean_sha256
 FROM b
 """.replace("{menu}", MENU).replace("{separators}", SEPARATORS).replace("{notice}", NOTICE)
