@@ -1,18 +1,25 @@
 """Secret scans: fixed patterns, and novelty against a primed zstandard dictionary.
 
-Patterns find assignments, access keys and long hexadecimal runs. The novelty test then looks at long
-tokens that follow a sensitive word: the text before the token and the token are compressed after a
-dictionary of code and identifiers, and the bytes that the token adds are its novelty. Identifiers and
-words add little; random strings add about a byte a character, and are reported as kind `novel`.
+Patterns find assignments, access keys and long hexadecimal runs. The novelty test measures every
+candidate in a sensitive context: its surroundings and the candidate are compressed after a dictionary of
+code and identifiers, and the bytes that the candidate adds are its novelty. Identifiers and words add
+little; random strings add about a byte a character, and are reported as kind `novel`.
+
+A candidate is a run of CANDIDATE characters or more from the alphabets of keys that is no plain word:
+it has a digit and a letter, or changes between capitals and small letters more often than every fourth
+character. Its context is sensitive if a sensitive word stands in it, or ends at most REACH characters
+before it, or begins at most REACH characters after it. Its surroundings are the CONTEXT characters on
+either side, so a text takes time in proportion to its length, whatever stands in it.
 
 Spans are counted in code points, end exclusive. Only rows flow through: nothing is shuffled.
 
-Defined results: null and empty texts have no spans; other columns are left alone; repeated rows give
-repeated results.
+Defined results: null and empty texts have no spans; other columns are not read; rows that repeat an id
+are judged one by one, and ids may be of any type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -32,7 +39,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"(?i:secret|token|passw|api[_-]?key|credential|private[_-]?key|bearer|auth[_-]?key|signature|access[_-]?key|client[_-]?id)", re.A)
 SENSITIVE_WORDS = ("secret", "token", "passw", "key", "credential", "bearer", "signature", "client")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: How far before a token a sensitive word counts, and the context that is compressed with it.
+MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+TURNS = re.compile(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])")
+#: How far from a token a sensitive word counts, and the context on each side that is compressed with it.
 REACH, CONTEXT = 48, 256
 #: Bytes that a token must add for each of its characters.
 NOVELTY = 0.7
@@ -78,23 +87,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def plain(token: str) -> bool:
+    """Whether a token is left alone as a word or an identifier."""
+    return not MIXED.match(token) and len(TURNS.findall(token)) * 4 < len(token)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Tokens in a sensitive context that the primed compressor cannot shorten."""
+    """Candidates in a sensitive context that the primed compressor cannot shorten, apart from base spans."""
     low = text.lower()
     if not any(map(low.__contains__, SENSITIVE_WORDS)):
         return []
-    out, seen = [], -1
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), seen)):
-            if m.start() > word.end() + REACH:
-                break
-            seen = m.end()
-            token = m[0]
-            mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-            if not mixed or any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            if novelty(token, text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]) >= NOVELTY:
-                out.append((m.start(), 3, m.end()))
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    out, at, reached = [], 0, -1  # base spans that begin before the candidate's end, and how far they go
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        while at < len(base) and base[at][0] < b:
+            reached = max(reached, base[at][2])
+            at += 1
+        if reached > a or plain(m[0]):
+            continue
+        k = bisect.bisect_left(ends, a - REACH)  # the first word that ends late enough
+        if k == len(words) or starts[k] > b + REACH:
+            continue
+        if novelty(m[0], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) >= NOVELTY:
+            out.append((a, 3, b))
     return out
 
 
