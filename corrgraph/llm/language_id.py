@@ -1,20 +1,25 @@
 """Language identification with hyperdimensional profiles.
 
-Every symbol (a letter of the Latin script, a hash bucket of other letters, or the gap between words)
-has a random vector of +1 and -1. A trigram's vector binds its letters' vectors, permuted by place:
-the product of the first rotated twice, the second rotated once, and the third. A text's vector is
-the bundle (sum) of its trigrams', a language's prototype the bundle of its training texts', with the
-mean of all prototypes taken off. The prediction is the prototype of the largest cosine.
+Every letter, and the gap between words, has a random vector of +1 and -1, drawn from its code point (of
+the small letter), whatever the script. A trigram's vector binds its letters' vectors, permuted by place:
+the product of the first rotated twice, the second rotated once, and the third. A text's vector is the
+bundle (sum) of its trigrams', a language's prototype the bundle of its training texts', with the mean of
+all prototypes taken off. The prediction is the prototype of the largest cosine.
 
-Training bundles counts of (language, trigram) over all training rows in a partial aggregate: at most
-64^3 rows for a language reach the driver, whatever the corpus.
+Training bundles whole numbers in each task, and sums the bundles by (language, dimension) over all
+training rows: DIMENSIONS rows for a language reach the driver, whatever the corpus. Sums of whole numbers
+are exact, so prototypes do not depend on how rows are dealt.
 
 Defined results: 'und' with score 0 for null texts and texts without a letter, and where nothing
-could be learned; ties go to the language first in order. Rows are scored one by one.
+could be learned; ties go to the language first in order. Rows are scored one by one, so rows that repeat
+an id are rows of their own, and ids may be of any type; an empty table gives an empty result; columns
+other than id, text and (in training) language are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,86 +27,136 @@ from pyspark.sql import functions as F
 from corrgraph.llm.common import documents, lean
 
 DIMENSIONS = 1024
-SYMBOLS = 64
 SEED = 20240
-#: The letters that have a symbol of their own, after the gap between words.
-LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøùúûüýÿßœ"
-OTHER = len(LETTERS) + 1
-CODES = SYMBOLS**3
+#: Bits of a code point in a trigram's code, letter vectors that a worker keeps, trigrams that are bound at once,
+#: texts and characters of a slice, and characters of a piece of a text.
+BITS = 21
+KEPT_LETTERS = 1 << 13
+BOUND = 1 << 13
+SLICE_TEXTS, SLICE_CHARS = 256, 1 << 20
+PIECE = 1 << 20
+
 
+class Letters:
+    """Code points to letters: 0 for what is no letter, else the code point of the small letter. Filled as code points are met."""
 
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane: 0 for what is no letter."""
-    table = np.zeros(1 << 16, np.uint8)
-    spare = SYMBOLS - OTHER
-    for c in range(0x80, 1 << 16):
-        if chr(c).isalpha():
-            table[c] = OTHER + c % spare
-    for k, c in enumerate(LETTERS):
-        table[ord(c)] = k + 1
-        if len(c.upper()) == 1:
-            table[ord(c.upper())] = k + 1
-    return table
+    def __init__(self):
+        self.table = np.full(0x110000, -1, np.int32)
 
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        found = self.table[points]
+        if len(found) and found.min() < 0:
+            for c in np.unique(points[found < 0]).tolist():
+                self.table[c] = ord(chr(c).lower()[0]) if chr(c).isalpha() else 0
+            found = self.table[points]
+        return found
 
-def item_memory() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
 
+@functools.lru_cache(KEPT_LETTERS)
+def letter_vector(c: int) -> np.ndarray:
+    return np.random.default_rng((SEED, c)).choice(np.array([-1, 1], np.int8), DIMENSIONS)
 
-def trigram_vectors(codes: np.ndarray, memory: np.ndarray) -> np.ndarray:
-    a, b, c = codes >> 12, codes >> 6 & 63, codes & 63
+
+def trigram_vectors(codes: np.ndarray) -> np.ndarray:
+    """The bound vectors of trigrams."""
+    places = [codes >> 2 * BITS, codes >> BITS & (1 << BITS) - 1, codes & (1 << BITS) - 1]
+    letters, at = np.unique(np.concatenate(places), return_inverse=True)
+    memory = np.array([letter_vector(c) for c in letters.tolist()], np.int8).reshape(-1, DIMENSIONS)
+    a, b, c = np.split(at, 3)
     return np.roll(memory, 2, 1)[a] * np.roll(memory, 1, 1)[b] * memory[c]
 
 
-def trigrams(text: str, table: np.ndarray) -> np.ndarray:
-    """Trigram codes of a text; gaps are one symbol wide, and a trigram has two letters or more."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    s = table[np.minimum(points, 0xFFFF)].astype(np.int32)
-    if len(points) and points.max() > 0xFFFF:  # letters beyond the basic plane are few
-        for c in np.unique(points[points > 0xFFFF]).tolist():
-            if chr(c).isalpha():
-                s[points == c] = OTHER + c % (SYMBOLS - OTHER)
-    s = np.concatenate([[0], s, [0]]) if len(s) else s
-    if len(s):
-        s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
-    if len(s) < 3:
-        return np.zeros(0, np.int32)
-    codes = s[:-2] << 12 | s[1:-1] << 6 | s[2:]
-    return codes[s[1:-1] > 0]
-
-
-def count_trigrams(batches):
-    """mapInPandas over (lang, text): (lang, code, n) of each batch."""
-    import pandas as pd
-
-    table = symbol_table()
-    for pdf in batches:
-        out = []
-        for lang, part in pdf.groupby("lang"):
-            n = np.zeros(CODES, np.int64)
-            for text in part["text"]:
-                n += np.bincount(trigrams(text, table), minlength=CODES) if len(text) > 20_000 else 0
-            short = [trigrams(t, table) for t in part["text"] if len(t) <= 20_000]
-            if short:
-                n += np.bincount(np.concatenate(short), minlength=CODES)
-            at = np.flatnonzero(n)
-            out.append(pd.DataFrame({"lang": lang, "code": at.astype(np.int32), "n": n[at]}))
-        if out:
-            yield pd.concat(out)
+def bundle(codes: np.ndarray, counts: np.ndarray, start) -> np.ndarray:
+    """start and the sum of the trigrams' vectors, each as often as counts (or a matrix of them) says; bound a block at a time."""
+    for i in range(0, len(codes), BOUND):
+        start = start + counts[..., i : i + BOUND] @ trigram_vectors(codes[i : i + BOUND]).astype(counts.dtype)
+    return start
+
+
+def pieces_of(text: str):
+    """A text in pieces that end with the two characters that the next begins with, so that each trigram is in one; gaps around it."""
+    whole = f" {text} "
+    for i in range(0, max(1, len(whole) - 2), PIECE):
+        yield whole[i : i + PIECE + 2]
+
+
+def trigrams(texts: list[str], letters: Letters) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct trigrams of some texts, by code, and for each text the places there of its own.
+
+    Gaps are one symbol wide, and a trigram's middle is a letter. Where the texts have few letters,
+    trigrams are told by a table, else by their order.
+    """
+    owner, runs = [], []
+    for k, text in enumerate(texts):
+        for piece in pieces_of(text):
+            owner.append(k)
+            runs.append(letters(np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)))
+    marked = np.zeros(1 + max((int(r.max()) for r in runs), default=0), bool)
+    for r in runs:
+        marked[r] = True
+    alphabet = np.flatnonzero(marked).astype(np.int64)
+    size = len(alphabet)
+    rank = np.zeros(len(marked), np.int64 if size > 1024 else np.int32)
+    rank[alphabet] = np.arange(size)
+    found = [[] for _ in texts]
+    for k, r in zip(owner, runs, strict=True):
+        at = rank[r]
+        found[k].append(((at[:-2] * size + at[1:-1]) * size + at[2:])[r[1:-1] > 0])
+    codes = [f[0] if len(f) == 1 else np.concatenate(f) for f in found]
+    if size**3 <= 1 << 22:
+        there = np.zeros(size**3, bool)
+        for c in codes:
+            there[c] = True
+        seen = np.flatnonzero(there)
+        column = np.zeros(size**3, np.int32)
+        column[seen] = np.arange(len(seen))
+        places = [column[c] for c in codes]
+    else:
+        seen = np.unique(np.concatenate(codes))
+        places = [np.searchsorted(seen, c) for c in codes]
+    first, rest = np.divmod(seen, size * size) if size else (seen, seen)
+    return alphabet[first] << 2 * BITS | alphabet[rest // max(size, 1)] << BITS | alphabet[rest % max(size, 1)], places
+
+
+def slices(texts: list):
+    """(first, last) of runs of texts of so many characters together."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > first and (size + len(t or "") > SLICE_CHARS or k - first >= SLICE_TEXTS):
+            yield first, k
+            first, size = k, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def bundle_batches(batches):
+    """mapInArrow over (lang, text): (lang, dimension, n), the bundle of each language's texts in the task."""
+    import pyarrow as pa
+
+    letters, sums = Letters(), {}
+    for batch in batches:
+        langs, texts = (c.to_pylist() for c in batch.columns)
+        for i, j in slices(texts):
+            codes, places = trigrams(texts[i:j], letters)
+            for lang in dict.fromkeys(langs[i:j]):
+                n = np.bincount(np.concatenate([p for p, own in zip(places, langs[i:j], strict=True) if own == lang]), minlength=len(codes))
+                own = np.flatnonzero(n)
+                sums[lang] = sums.get(lang, 0) + bundle(codes[own], n[own].astype(np.float64), np.zeros(DIMENSIONS)).astype(np.int64)  # exact below 2^53
+    for lang, n in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(n)], names=["lang", "dimension", "n"])
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their prototypes, from rows (lang, text)."""
-    counts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").mapInPandas(lean(count_trigrams), "lang string, code int, n long")
-    table = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    langs, memory = sorted(table["lang"].unique()), item_memory()
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    sums = rows.mapInArrow(lean(bundle_batches), "lang string, dimension int, n long").groupBy("lang", "dimension").agg(F.sum("n").alias("n"))
+    table = sums.orderBy("lang", "dimension").toPandas()
+    langs = sorted(table["lang"].unique())
+    order = {x: k for k, x in enumerate(langs)}
     profile = np.zeros((len(langs), DIMENSIONS))
-    for k, lang in enumerate(langs):
-        own = table[table["lang"] == lang]
-        codes, n = own["code"].to_numpy(), own["n"].to_numpy(np.float64)
-        for i in range(0, len(codes), 8192):
-            profile[k] += n[i : i + 8192] @ trigram_vectors(codes[i : i + 8192], memory)
-        profile[k] /= np.linalg.norm(profile[k]) or 1.0
+    profile[table["lang"].map(order).to_numpy(np.int64), table["dimension"].to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
+    profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
     return langs, profile.astype(np.float32)
 
 
@@ -111,54 +166,33 @@ def score_batches(langs: list[str], prototypes: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        table, memory = symbol_table(), item_memory()
-        first, second = np.roll(memory, 2, 1), np.roll(memory, 1, 1)
-        row = np.full(CODES, -1, np.int32)  # of a code in `vectors`, which are made as codes are met
-        vectors, used = np.zeros((1024, DIMENSIONS), np.float32), 0
-        middle = prototypes.mean(0)
-        spread = prototypes - middle if len(langs) > 1 else prototypes
+        letters = Letters()
+        middle = prototypes.mean(0) if len(langs) > 1 else np.zeros(DIMENSIONS, np.float32)
+        spread = prototypes - middle
         spread = spread / np.maximum(np.linalg.norm(spread, axis=1, keepdims=True), 1e-9)
 
-        def rows_of(codes):
-            nonlocal vectors, used
-            new = codes[row[codes] < 0]
-            if len(new):
-                while used + len(new) > len(vectors):
-                    vectors = np.concatenate([vectors, np.zeros_like(vectors)])
-                vectors[used : used + len(new)] = first[new >> 12] * second[new >> 6 & 63] * memory[new & 63]
-                row[new] = np.arange(used, used + len(new))
-                used += len(new)
-            return row[codes]
-
         def judge(texts):
-            grams = [trigrams(t or "", table) for t in texts]
-            seen = np.unique(np.concatenate([*grams, np.zeros(0, np.int32)]))
+            seen, at = trigrams([t or "" for t in texts], letters)
             if not len(seen) or not langs:
                 return ["und"] * len(texts), [0.0] * len(texts)
-            at = rows_of(seen)
-            column = np.zeros(CODES, np.int32)
-            column[seen] = np.arange(len(seen))
-            n = np.zeros((len(texts), len(seen)), np.float32)
-            for k, g in enumerate(grams):
-                if len(g):
-                    n[k] = np.bincount(column[g], minlength=len(seen))
-            length = np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-9)
-            bundle = (n / length) @ vectors[at]
-            bundle /= np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
-            cosine = (bundle - (middle if len(langs) > 1 else 0)) @ spread.T
-            best = cosine.argmax(1)
-            raw = (bundle * prototypes[best]).sum(1) / np.maximum(np.linalg.norm(prototypes[best], axis=1), 1e-9)
-            none = [len(g) == 0 for g in grams]
+            total = np.zeros((len(texts), DIMENSIONS), np.float32)
+            for i in range(0, len(seen), BOUND):  # a block of trigrams at a time, for all texts
+                size = min(BOUND, len(seen) - i)
+                n = np.array([np.bincount(a[(a >= i) & (a < i + size)] - i if len(seen) > BOUND else a, minlength=size) for a in at], np.float32)
+                total = bundle(seen[i : i + size], n, total)
+            total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+            best = ((total - middle) @ spread.T).argmax(1)
+            raw = (total * prototypes[best]).sum(1) / np.maximum(np.linalg.norm(prototypes[best], axis=1), 1e-9)
+            none = [len(a) == 0 for a in at]
             return [("und" if e else langs[b]) for b, e in zip(best, none, strict=True)], [0.0 if e else float(min(1.0, max(0.0, r))) for r, e in zip(raw, none, strict=True)]
 
         for batch in batches:
-            ids, held = batch.column(0), batch.column(1)
-            found, scores = [], []
-            for i in range(0, batch.num_rows, 256):
-                a, b = judge(batch.column(2).slice(i, 256).to_pylist())
+            found, scores, texts = [], [], batch.column(2).to_pylist()
+            for i, j in slices(texts):
+                a, b = judge(texts[i:j])
                 found += a
                 scores += b
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["_id", "held_out", "lang_pred", "score"])
 
     return run
 
