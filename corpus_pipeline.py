@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrgraph.llm import exact_dedup, mixing, ngram_join, sentencepiece_scan, toxicity
-from corrgraph.llm.common import save, without_ids
+from corrgraph.llm.common import save
 
 #: Words of a shingle, and percent of similarity, of the near-duplicate stage; op5 has its own contract.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -26,32 +26,35 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the cut. The classifier learns from the rows that op9 learns from."""
+    """Rows that score below the cut. The classifier learns from the rows that op9 learns from.
+
+    Every row is judged by its own text, so ids may repeat or be null; null and empty texts stay, and
+    without labels of both kinds every row does.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = toxicity.toxicity(docs, labels, held=toxicity.held_out())
-    toxic = save(judged.filter("predicted = 1").select("doc_id"), "toxic", True)
-    return without_ids(docs, "doc_id", toxic, "doc_id")
+    return toxicity.drop_toxic(docs, labels, held=toxicity.held_out())
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts (white space apart) one stays; null and empty texts are equal."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the row with the smallest id stays; texts without words stay all."""
     return ngram_join.drop_near_duplicates(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, 0 to 2 times; a null source is a source, a text without words goes."""
     return mixing.mix_documents(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their digests of every row, and whether decoding the ids gives its text back."""
+    """doc_id, ids and their digests of every row, and whether decoding the ids gives its text back; null is empty."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    out = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, path), path, keep_ids=True)
-    return out.drop("decoded").withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256"))
+    return sentencepiece_scan.round_trips(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
 
 
 STAGES = [
