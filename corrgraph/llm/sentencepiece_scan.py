@@ -104,8 +104,8 @@ class Model:
         """Ask the library about pairs, in one call."""
         if len(self.pairs) > KNOWN_PAIRS:
             self.pairs.clear()
-        told = self.lib.encode(["\n" + (u + v).replace(GAP, " ") for u, v in wanted.values()], num_threads=1)
-        n = len(self.head)
+        texts, n = ["\n" + (u + v).replace(GAP, " ") for u, v in wanted.values()], len(self.head)
+        told = self.lib.encode(texts, num_threads=1) if len(texts) > 32 else map(self.lib.encode, texts)  # a list starts a thread
         out = {k: tuple(ids[n:]) == ((*self.ids(u), *self.ids(v)) if u else self.ids(v)) for (k, (u, v)), ids in zip(wanted.items(), told, strict=True)}
         self.pairs.update(out)
         return out
@@ -503,14 +503,37 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", keep_ids
     return out.withColumnRenamed("_id", id_col)
 
 
+def both_batches(path: str, keep_ids: bool):
+    """mapInArrow over (_id, _hash, _text): whole texts through the library and back, as decode() tells of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = model(path).lib
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                ids = m.encode(part.column(2).to_pylist(), num_threads=1)
+                digests = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in m.decode(ids, num_threads=1)] if ids else []
+                sums = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+                columns = [part.column(0), part.column(1), pa.array([1] * len(ids), pa.int32()), pa.array(list(map(len, ids)), pa.int64()), pa.array(sums, pa.int64()), pa.array(digests, pa.string()), *([lists(ids)] if keep_ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "text_sha256", "n_chunks", "n_ids", "ids_crc32", "decoded_sha256", *(["ids"] if keep_ids else [])])
+
+    return lean(run)
+
+
 def round_trips(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, digests of ids and texts (and the ids, if they are to be kept), and whether decoding gave the very text back.
 
-    The ids are written before they are decoded, so a lost executor costs one of the two, and a task has one worker.
+    The ids of a text that goes to the library whole are decoded where they are made, so they need not
+    leave the worker; those of giant documents are made by encode() and written before they are decoded.
     """
-    encoded = save(encode(docs, model_path), "encoded")
-    out = decode(encoded, model_path, keep_ids=keep_ids).drop("decoded")
-    return out.withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256"))
+    kind, text = dict(docs.dtypes)["doc_id"], text_of("text")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.sha2(text, 256).alias("_hash"), text.alias("_text"))
+    kinds = f"_id {kind}, text_sha256 string, n_chunks int, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    plain = rows.filter(F.length("_text") < GIANT).mapInArrow(both_batches(model_path, keep_ids), kinds).withColumnRenamed("_id", "doc_id")
+    giant = decode(save(encode(docs.filter(F.length(text) >= GIANT), model_path), "encoded"), model_path, keep_ids=keep_ids).drop("decoded")
+    return plain.unionByName(giant).withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256"))
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
