@@ -8,10 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.operators.graph import Graph
+from corrgraph.functions.canonical import stable_json
+from corrgraph.operators.graph import Graph, more_of, row_set
 from corrgraph.operators.issues import union
 
 SHARD = 1_000_000_000_000_000
+#: The schema version of graph documents. Fixed value.
+VERSION = "2.0.0"
 
 
 class CompositionError(ValueError):
@@ -23,15 +26,15 @@ class CompositionError(ValueError):
 
 
 def content(g: Graph, kind: str) -> DataFrame:
-    """(kind, id, digest): records with a digest of all they say; endpoints and facts enter by order-free sums."""
+    """(kind, id, digest): records with a digest of all they say; endpoints and facts enter as sets of rows."""
+    digest = lambda df, *columns: df.withColumn("_more", F.array_sort(F.map_entries(more_of(df)))).select(F.lit(kind).alias("kind"), "id", F.sha2(F.to_json(F.struct(*columns, "_more")), 256).alias("digest"))
     if kind == "entity":
-        return g.entities.select(F.lit(kind).alias("kind"), "id", F.sha2(F.to_json(F.struct("kind", "label", "attributes", "locators")), 256).alias("digest"))
+        return digest(g.entities, "kind", "label", "attributes", "locators")
     if kind == "mapping":
-        ends = g.endpoints.groupBy(F.col("mapping_id").alias("id")).agg(F.bit_xor(F.xxhash64("side", "pos", "entity_id")).alias("ends"), F.count("*").alias("n"))
-        heads = g.mappings.join(ends, "id", "left")
-        return heads.select(F.lit(kind).alias("kind"), "id", F.sha2(F.to_json(F.struct("relation", "cardinality", "lossiness", "transform", "status", "attributes", "ends", "n")), 256).alias("digest"))
-    held = g.facts.groupBy(F.col("authority_id").alias("id")).agg(F.sort_array(F.collect_list("fact")).alias("facts"))
-    return g.authorities.join(held, "id", "left").select(F.lit(kind).alias("kind"), "id", F.sha2(F.to_json(F.struct("concept", "source", "mode", "delegated_from", "facts")), 256).alias("digest"))
+        ends = g.endpoints.groupBy(F.col("mapping_id").alias("id")).agg(row_set("side", "pos", "entity_id").alias("ends"))
+        return digest(g.mappings.join(ends, "id", "left"), "relation", "cardinality", "lossiness", "transform", "status", "attributes", "ends")
+    held = g.facts.groupBy(F.col("authority_id").alias("id")).agg(row_set("fact").alias("facts"))
+    return digest(g.authorities.join(held, "id", "left"), "concept", "source", "mode", "delegated_from", "facts")
 
 
 def conflicts(shards: list[Graph]) -> DataFrame:
@@ -42,7 +45,7 @@ def conflicts(shards: list[Graph]) -> DataFrame:
 
 def merged(frames: list[DataFrame], key: str = "id") -> DataFrame:
     """Rows by id, each from the first shard that has it; `ord` follows the shards, then their own order."""
-    rows = reduce(DataFrame.unionByName, [df.withColumn("ord", F.lit(k * SHARD) + F.col("ord")) for k, df in enumerate(frames)])
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("ord", F.lit(k * SHARD) + F.col("ord")) for k, df in enumerate(frames)])
     columns = rows.columns
     first = rows.groupBy(key).agg(F.min_by(F.struct(*columns), "ord").alias("x"))
     return first.select(*[F.col(f"x.{c}").alias(c) for c in columns])
@@ -71,3 +74,40 @@ def compose(shards: list[Graph], strict: bool = True) -> Graph:
         endpoints=details(shards, "endpoints", "mapping_id", "mappings"),
         facts=details(shards, "facts", "authority_id", "authorities"),
     )
+
+
+def merge_packs(documents: list[dict]) -> list[dict]:
+    """The relation packs that documents name, each once; other versions or references of one pack raise."""
+    found: dict[str, dict] = {}
+    for pack in (p for d in documents for p in d.get("relationPacks", [])):
+        have = found.setdefault(pack["id"], pack)
+        if have["version"] != pack["version"]:
+            raise CompositionError(f"pack {pack['id']} is wanted in versions {have['version']} and {pack['version']}", pack["id"])
+        if stable_json(have) != stable_json(pack):
+            raise CompositionError(f"pack {pack['id']} is referred to in two ways", pack["id"])
+    return list(found.values())
+
+
+def compose_documents(documents: list[dict], **head) -> dict:
+    """One document of shards emitted apart. head: id, namespace and, if there are, label and revision.
+
+    Shards need the one schema version and ids of their own; records merge by id as compose() merges rows.
+    """
+    if not documents:
+        raise CompositionError("there is no shard to compose", "")
+    names: set[str] = set()
+    for d in documents:
+        if d.get("schemaVersion") != VERSION:
+            raise CompositionError(f"shard {d.get('id')} has schema version {d.get('schemaVersion')}", d.get("id"))
+        if d["id"] in names:
+            raise CompositionError(f"two shards are {d['id']}", d["id"])
+        names.add(d["id"])
+    out = {"schemaVersion": VERSION, **{k: v for k, v in head.items() if v is not None}, "relationPacks": merge_packs(documents)}
+    for field in ("entities", "mappings", "authorities"):
+        merged_records: dict[str, dict] = {}
+        for record in (r for d in documents for r in d.get(field, [])):
+            have = merged_records.setdefault(record["id"], record)
+            if stable_json(have) != stable_json(record):
+                raise CompositionError(f"{field}: {record['id']} is defined in two ways", record["id"])
+        out[field] = list(merged_records.values())
+    return out | {"metadata": {"composedFrom": [d["id"] for d in documents]}}

@@ -19,6 +19,26 @@ MAPPING = "id string, relation string, cardinality string, lossiness string, tra
 ENDPOINT = "mapping_id string, side string, pos long, entity_id string"
 AUTHORITY = "id string, concept string, source string, mode string, delegated_from string, ord long"
 FACT = "authority_id string, fact string"
+#: Entities, mappings and authorities may also have `more`: the record's other members by name, as canonical JSON.
+MORE = "map<string,string>"
+
+
+def more_of(df: DataFrame):
+    return F.col("more") if "more" in df.columns else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+
+def row_set(*columns, where=None) -> F.Column:
+    """Aggregate: rows as text that equal multisets share: their count and the sums of two independent 64-bit hashes.
+
+    Repeated rows do not cancel, and two different multisets agree with a chance near 2^-128.
+    """
+    parts = []
+    for seed in (11, 97):
+        h = F.xxhash64(F.lit(seed), *columns)
+        h = F.when(where, h) if where is not None else h
+        parts += [F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))]  # halves: their sums stay in range
+    n = F.count(F.when(where, 1)) if where is not None else F.count("*")
+    return F.concat_ws(":", n.cast("string"), *[p.cast("string") for p in parts])
 
 
 @dataclass(frozen=True)
@@ -63,18 +83,69 @@ def edges(graph: Graph, relations: list[str] | None = None) -> DataFrame:
     return headers.join(side_of(graph.endpoints, "source", "src", "src_pos"), "mapping_id").join(side_of(graph.endpoints, "target", "dst", "dst_pos"), "mapping_id")
 
 
-def adjacency(graph: Graph, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
-    """(at, next, mapping_id, ord, back, pos): steps a traversal may take; symmetric relations go both ways.
+def entity(graph: Graph, name: str) -> DataFrame:
+    """The entity of an id, or no row."""
+    return graph.entities.filter(F.col("id") == name)
+
+
+def mapping(graph: Graph, name: str) -> DataFrame:
+    """The mapping of an id, or no row."""
+    return graph.mappings.filter(F.col("id") == name)
+
+
+def touching(graph: Graph, relations: list[str] | None = None) -> DataFrame:
+    """(mapping_id, side, pos, entity_id, relation, ord, symmetric, impact_direction): each endpoint with its mapping.
+
+    A step goes from an entity to a mapping and from there to the other side, so no mapping's sides are
+    multiplied with each other, however wide they are.
+    """
+    headers = graph.mappings.select(F.col("id").alias("mapping_id"), "relation", "ord")
+    if relations is not None:
+        headers = headers.filter(F.col("relation").isin(relations))
+    headers = headers.join(graph.relations().select("relation", "symmetric", "impact_direction"), "relation", "left")
+    return graph.endpoints.select("mapping_id", "side", "pos", "entity_id").join(headers, "mapping_id")
+
+
+def leaving(touch: DataFrame, direction: str = "both") -> DataFrame:
+    """(at, mapping_id, ord, back, own): where steps may enter mappings; symmetric relations go both ways.
 
     back is 0 for a step to a target and 1 for one to a source, the order in which a visit looks at them.
     """
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError(f"unknown direction {direction}")
-    all_edges = edges(graph, relations).join(graph.relations().select("relation", "symmetric"), "relation", "left")
-    either = F.coalesce("symmetric", F.lit(False))
-    out = all_edges.filter(F.lit(direction != "incoming") | either).select(F.col("src").alias("at"), F.col("dst").alias("next"), "mapping_id", "relation", "ord", F.lit(0).alias("back"), F.col("dst_pos").alias("pos"))
-    back = all_edges.filter(F.lit(direction != "outgoing") | either).select(F.col("dst").alias("at"), F.col("src").alias("next"), "mapping_id", "relation", "ord", F.lit(1).alias("back"), F.col("src_pos").alias("pos"))
-    return out.unionByName(back).filter("at <> next")
+    either, source = F.coalesce("symmetric", F.lit(False)), F.col("side") == "source"
+    good = F.when(source, F.lit(direction != "incoming") | either).otherwise(F.lit(direction != "outgoing") | either)
+    return touch.filter(good).select(F.col("entity_id").alias("at"), "mapping_id", "ord", F.when(source, 0).otherwise(1).alias("back"), F.col("pos").alias("own"))
+
+
+def spreading(touch: DataFrame) -> DataFrame:
+    """leaving() in the directions in which a change spreads; an unknown relation spreads both ways."""
+    way, source = F.coalesce("impact_direction", F.lit("both")), F.col("side") == "source"
+    good = (way == "both") | (source & (way == "source-to-target")) | (~source & (way == "target-to-source"))
+    return touch.filter(good).select(F.col("entity_id").alias("at"), "mapping_id", "ord", F.when(source, 0).otherwise(1).alias("back"), F.col("pos").alias("own"))
+
+
+def arriving(touch: DataFrame) -> DataFrame:
+    """(mapping_id, back, next, pos): where steps that entered a mapping come out."""
+    return touch.select("mapping_id", F.when(F.col("side") == "target", 0).otherwise(1).alias("back"), F.col("entity_id").alias("next"), "pos")
+
+
+class Visited:
+    """What a traversal has seen: tables by level, written together now and then, so a level reads a few."""
+
+    def __init__(self, first: DataFrame, every: int = 6):
+        self.tables, self.every = [first], every
+
+    def add(self, level: DataFrame) -> None:
+        self.tables.append(level)
+        if len(self.tables) > self.every:
+            self.tables = [save(self.all(), "visited")]
+
+    def all(self) -> DataFrame:
+        out = self.tables[0]
+        for table in self.tables[1:]:
+            out = out.unionByName(table)
+        return out
 
 
 def mappings_for(graph: Graph, ids: DataFrame, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
@@ -89,17 +160,20 @@ def mappings_for(graph: Graph, ids: DataFrame, direction: str = "both", relation
 
 def neighbors(graph: Graph, ids: DataFrame, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
     """(entity_id, mapping_id, neighbor_id), each once; only entities of the graph are neighbours."""
-    steps = adjacency(graph, direction, relations).join(ids.select(F.col("id").alias("at")), "at", "left_semi")
+    touch = touching(graph, relations)
+    entered = leaving(touch, direction).join(ids.select(F.col("id").alias("at")), "at", "left_semi").select("at", "mapping_id", "back").distinct()
     known = graph.entities.select(F.col("id").alias("next"))
-    return steps.join(known, "next", "left_semi").select(F.col("at").alias("entity_id"), "mapping_id", F.col("next").alias("neighbor_id")).distinct()
+    found = entered.join(arriving(touch), ["mapping_id", "back"]).filter("at <> next").join(known, "next", "left_semi")
+    return found.select(F.col("at").alias("entity_id"), "mapping_id", F.col("next").alias("neighbor_id")).distinct()
 
 
 def trace(graph: Graph, start: str, max_depth: int = 1, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
     """(id, depth, via_mapping, predecessor): breadth first, each entity once, as its first visit found it.
 
     A visit's place is a string that sorts as the visits do: its predecessor's place, then the mapping's
-    order, targets before sources, then the endpoint's. So each level is a join and a windowed pick, and
-    no level needs a global order.
+    order, targets before sources, then the endpoint's. A level enters each mapping once in a direction,
+    by its first visitor, comes out on the other side and picks the first for each entity; no level needs
+    a global order.
     """
     if not isinstance(max_depth, int) or isinstance(max_depth, bool) or max_depth < 0:
         raise ValueError("max_depth must be a non-negative integer")
@@ -107,55 +181,41 @@ def trace(graph: Graph, start: str, max_depth: int = 1, direction: str = "both",
     visited = known.filter(F.col("id") == start).select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via_mapping"), F.lit(None).cast("string").alias("predecessor"), F.lit("").alias("place"))
     if max_depth == 0:
         return visited.drop("place")
-    steps = save(adjacency(graph, direction, relations).join(known.select(F.col("id").alias("next")), "next", "left_semi"), "steps")
-    levels = [save(visited, "level0")]
+    touch = save(touching(graph, relations), "touch")
+    level = save(visited, "level0")
+    seen, spent = Visited(level), Visited(graph.spark.createDataFrame([], "mapping_id string, back int"))
     for depth in range(1, max_depth + 1):
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
-        found = levels[-1].select(F.col("id").alias("at"), F.col("place").alias("from")).join(steps, "at").join(seen.select(F.col("id").alias("next")), "next", "left_anti")
-        place = F.concat("from", F.lpad(F.col("ord").cast("string"), 16, "0"), F.col("back").cast("string"), F.lpad(F.col("pos").cast("string"), 12, "0"))
-        first = found.groupBy("next").agg(F.min_by(F.struct("mapping_id", "at", place.alias("place")), place).alias("x"))
+        here = level.select(F.col("id").alias("at"), F.col("place").alias("from")).join(leaving(touch, direction), "at")
+        entered = here.groupBy("mapping_id", "back", "ord").agg(F.min(F.struct("from", "own", "at")).alias("x")).join(spent.all(), ["mapping_id", "back"], "left_anti")
+        entered = save(entered.select("mapping_id", "back", F.col("x.at").alias("at"), F.concat("x.from", F.lpad(F.col("ord").cast("string"), 16, "0"), F.col("back").cast("string")).alias("place")), "entered")
+        found = entered.join(arriving(touch), ["mapping_id", "back"]).join(known.select(F.col("id").alias("next")), "next", "left_semi").join(seen.all().select(F.col("id").alias("next")), "next", "left_anti")
+        place = F.concat("place", F.lpad(F.col("pos").cast("string"), 12, "0"))
+        first = found.groupBy("next").agg(F.min(F.struct(place.alias("place"), "mapping_id", "at")).alias("x"))
         level = save(first.select(F.col("next").alias("id"), F.lit(depth).alias("depth"), F.col("x.mapping_id").alias("via_mapping"), F.col("x.at").alias("predecessor"), F.col("x.place").alias("place")), f"level{depth}")
         if is_empty(level):
             break
-        levels.append(level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.drop("place")
-
-
-def closure(steps: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
-    """(id, hops): what steps (at, next) reach from seeds (id). Each level joins the new nodes alone."""
-    front = save(seeds.select("id").distinct().withColumn("hops", F.lit(0)), "front")
-    steps, levels = save(steps.select("at", "next").distinct(), "steps"), [front]
-    while limit is None or len(levels) <= limit:
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
-        front = levels[-1].select(F.col("id").alias("at")).join(steps, "at").select(F.col("next").alias("id")).distinct()
-        front = save(front.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(len(levels))), "front")
-        if is_empty(front):
-            break
-        levels.append(front)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        seen.add(level)
+        spent.add(entered.select("mapping_id", "back"))
+    return seen.all().drop("place")
 
 
 def reachable(graph: Graph, root: str, relation: str) -> DataFrame:
-    """(id, hops) of what the root reaches over one relation, itself included."""
-    steps = edges(graph, [relation]).select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    return closure(steps, graph.spark.createDataFrame([(root,)], "id string"))
-
-
-def impact_steps(graph: Graph) -> DataFrame:
-    """(at, next, mapping_id, ord, src_pos, dst_pos): edges in the direction in which a change spreads; an unknown relation spreads both ways."""
-    spread = edges(graph).join(graph.relations().select("relation", "impact_direction"), "relation", "left").withColumn("way", F.coalesce("impact_direction", F.lit("both")))
-    ways = F.array_compact(F.array(F.when(F.col("way").isin("both", "source-to-target"), F.struct(F.col("src").alias("at"), F.col("dst").alias("next"), F.lit(0).alias("back"))), F.when(F.col("way").isin("both", "target-to-source"), F.struct(F.col("dst").alias("at"), F.col("src").alias("next"), F.lit(1).alias("back")))))
-    return spread.select("mapping_id", "ord", "src_pos", "dst_pos", F.explode(ways).alias("w")).select("w.at", "w.next", "mapping_id", "ord", "src_pos", "dst_pos", "w.back")
+    """(id, hops) of what the root reaches over one relation, itself included. Each level joins the new nodes alone."""
+    touch = save(touching(graph, [relation]), "touch")
+    into = touch.filter("side = 'source'").select(F.col("entity_id").alias("id"), "mapping_id")
+    out = touch.filter("side = 'target'").select("mapping_id", F.col("entity_id").alias("id"))
+    level = save(graph.spark.createDataFrame([(root, 0)], "id string, hops int"), "level")
+    seen, spent = Visited(level), Visited(graph.spark.createDataFrame([], "mapping_id string"))
+    hops = 0
+    while True:
+        hops += 1
+        entered = save(level.select("id").join(into, "id").select("mapping_id").distinct().join(spent.all(), "mapping_id", "left_anti"), "entered")
+        found = entered.join(out, "mapping_id").select("id").distinct().join(seen.all().select("id"), "id", "left_anti")
+        level = save(found.withColumn("hops", F.lit(hops)), "level")
+        if is_empty(level):
+            return seen.all()
+        seen.add(level)
+        spent.add(entered)
 
 
 def impact_seeds(graph: Graph, changed: DataFrame, policy_subjects: DataFrame | None = None) -> DataFrame:
@@ -182,53 +242,54 @@ def impact(graph: Graph, changed: DataFrame, active: DataFrame | None = None, po
     Many seeds spread at once; each level is one job. A subject keeps the path that was found first.
     """
     graph = graph.only(active) if active is not None else graph
-    steps = save(impact_steps(graph), "steps")
-    levels = [save(impact_seeds(graph, changed, policy_subjects).withColumn("hops", F.lit(0)), "seeds")]
-    passed = []
+    touch = save(touching(graph), "touch")
+    level = save(impact_seeds(graph, changed, policy_subjects).withColumn("hops", F.lit(0)), "seeds")
+    seen, spent = Visited(level), Visited(graph.spark.createDataFrame([], "mapping_id string, back int, id string, hops int, path array<string>"))
+    hops = 0
     while True:
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
-        moved = levels[-1].select(F.col("id").alias("at"), F.col("path").alias("way"), F.col("place").alias("from"), "hops").join(steps, "at")
-        place = F.concat("from", F.lpad(F.col("ord").cast("string"), 16, "0"), F.lpad(F.col("src_pos").cast("string"), 12, "0"), F.lpad(F.col("dst_pos").cast("string"), 12, "0"), F.col("back").cast("string"))
-        moved = moved.withColumn("place", place)
-        passed.append(save(moved.groupBy(F.col("mapping_id").alias("id")).agg(F.min_by(F.concat("way", F.array("mapping_id")), "place").alias("path"), F.min("hops").alias("hops")), "passed"))
-        new = moved.join(seen.select(F.col("id").alias("next")), "next", "left_anti").groupBy(F.col("next").alias("id")).agg(F.min_by(F.struct(F.concat("way", F.array("mapping_id", "next")).alias("path"), "place"), "place").alias("x"))
-        front = save(new.select("id", F.col("x.path").alias("path"), F.col("x.place").alias("place"), F.lit(len(levels)).alias("hops")), "front")
-        if is_empty(front):
+        hops += 1
+        here = level.select(F.col("id").alias("at"), F.col("path").alias("way"), F.col("place").alias("from"), "hops").join(spreading(touch), "at")
+        first = here.groupBy("mapping_id", "back", "ord").agg(F.min(F.struct("from", "own", "way", "hops")).alias("x")).join(spent.all().select("mapping_id", "back"), ["mapping_id", "back"], "left_anti")
+        entered = save(first.select("mapping_id", "back", F.col("x.own").alias("own"), F.concat("x.way", F.array("mapping_id")).alias("path"), F.concat("x.from", F.lpad(F.col("ord").cast("string"), 16, "0")).alias("from"), F.col("x.hops").alias("hops")), "entered")
+        digits = lambda c: F.lpad(c.cast("string"), 12, "0")
+        place = F.concat("from", digits(F.when(F.col("back") == 0, F.col("own")).otherwise(F.col("pos"))), digits(F.when(F.col("back") == 0, F.col("pos")).otherwise(F.col("own"))), F.col("back").cast("string"))
+        moved = entered.join(arriving(touch), ["mapping_id", "back"]).join(seen.all().select(F.col("id").alias("next")), "next", "left_anti")
+        new = moved.groupBy(F.col("next").alias("id")).agg(F.min_by(F.struct(F.concat("path", F.array("next")).alias("path"), place.alias("place")), place).alias("x"))
+        level = save(new.select("id", F.col("x.path").alias("path"), F.col("x.place").alias("place"), F.lit(hops).alias("hops")), "front")
+        spent.add(entered.select("mapping_id", "back", F.col("mapping_id").alias("id"), "hops", "path"))
+        if is_empty(level):
             break
-        levels.append(front)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    out = out.select("id", "hops", "path")
-    mappings = passed[0]
-    for level in passed[1:]:
-        mappings = mappings.unionByName(level)
-    mappings = mappings.groupBy("id").agg(F.min_by(F.struct("hops", "path"), "hops").alias("x")).select("id", "x.hops", "x.path")
+        seen.add(level)
+    out = seen.all().select("id", "hops", "path")
+    mappings = spent.all().groupBy("id").agg(F.min(F.struct("hops", "path")).alias("x")).select("id", "x.hops", "x.path")
     return out.unionByName(mappings.join(out.select("id"), "id", "left_anti"))
 
 
-def cyclic_nodes(steps: DataFrame, group: str) -> DataFrame:
-    """(group, id) of the nodes that leaf stripping leaves: there are some if and only if the group has a cycle."""
+def cyclic_nodes(steps: DataFrame, group: str, strips: int = 2) -> DataFrame:
+    """(group, id) of the nodes that leaf stripping leaves: there are some if and only if the group has a cycle.
+
+    A job after the first strips `strips` layers from either end, and one count tells whether it found any.
+    """
     steps = save(steps.select(group, "at", "next").distinct(), "edges")
-    while True:
-        starts = steps.select(group, F.col("at").alias("n")).distinct()
-        ends = steps.select(group, F.col("next").alias("n")).distinct()
-        # a node on a cycle has an edge in and an edge out
-        both = save(starts.join(ends, [group, "n"], "left_semi"), "both")
-        kept = steps.join(both.withColumnRenamed("n", "at"), [group, "at"], "left_semi").join(both.withColumnRenamed("n", "next"), [group, "next"], "left_semi")
-        kept = save(kept, "edges")
-        if kept.count() == steps.count():
-            return kept.select(group, F.col("at").alias("id")).distinct()
-        steps = kept
+    n, before, layers = steps.count(), -1, 1
+    while n and n != before:
+        kept = steps
+        for _ in range(layers):  # a node on a cycle has an edge in and an edge out
+            ends, starts = (kept.select(group, F.col(c).alias("n")).distinct() for c in ("next", "at"))
+            kept = kept.join(ends.withColumnRenamed("n", "at"), [group, "at"], "left_semi").join(starts.withColumnRenamed("n", "next"), [group, "next"], "left_semi")
+        steps, before, layers = save(kept.select(group, "at", "next"), "edges"), n, strips
+        n = steps.count()
+    return steps.select(group, F.col("at").alias("id")).distinct()
 
 
 def relation_cycles(graph: Graph) -> DataFrame:
     """(relation, id) of the nodes left in cycles of relations that forbid them."""
     forbidden = graph.relations().filter("cycle_policy = 'forbid'").select("relation")
-    steps = edges(graph).join(forbidden, "relation").select("relation", F.col("src").alias("at"), F.col("dst").alias("next"))
-    return cyclic_nodes(steps, "relation")
+    headers = graph.mappings.select(F.col("id").alias("mapping_id"), "relation").join(forbidden, "relation")
+    ends = graph.endpoints.join(headers, "mapping_id")
+    through = F.concat(F.lit("\u0000"), F.col("mapping_id"))  # a mapping is a node of its own between its sides
+    at, next_ = F.when(F.col("side") == "source", F.col("entity_id")).otherwise(through), F.when(F.col("side") == "source", through).otherwise(F.col("entity_id"))
+    return cyclic_nodes(ends.select("relation", at.alias("at"), next_.alias("next")), "relation").filter(~F.col("id").startswith("\u0000"))
 
 
 def first_by(df: DataFrame, key: str, *order) -> DataFrame:

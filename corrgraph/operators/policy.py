@@ -1,7 +1,7 @@
 """Which mappings a policy declares and a context activates; evidence, waivers and policy checks.
 
-A policy's declarations, constraints and context are small and live on the driver; what they select
-(mappings, evidence, issues) are DataFrames. Selectors become conditions of one grouped pass.
+A policy's declarations are a table like any other once they are read: a declaration meets its mappings
+by an equi-join on what it names, so there may be as many declarations as mappings.
 """
 
 from __future__ import annotations
@@ -14,39 +14,62 @@ from corrgraph.functions.identifiers import is_date_time
 from corrgraph.operators.graph import Graph
 from corrgraph.operators.issues import issues, say, union
 
-#: The codes that a waiver may turn into warnings. Fixed values.
+#: The codes that a waiver may turn into warnings.
 WAIVABLE = ["CONTRADICTING_EVIDENCE", "FORBIDDEN_MAPPING_ACTIVE", "NON_UNIQUE_MAPPING_TARGET", "REQUIRED_AUTHORITY_UNRESOLVED", "REQUIRED_EVIDENCE_MISSING", "REQUIRED_MAPPING_MISSING", "UNDECLARED_LOSSINESS", "UNDECLARED_IMPACT_DIRECTION", "UNVERIFIED_DETERMINISM", "UNVERIFIED_REVERSIBILITY"]
 
 
+#: Fields of a selector, and the column of a mapping that each is held against.
+SELECTOR = {"ids": "id", "relations": "relation", "provenanceStatuses": "status", "sourceKinds": "_source", "targetKinds": "_target"}
+
+
+def declared(spark, rows: list[tuple], columns: str) -> DataFrame:
+    """A table (declaration, ...) of what declarations say."""
+    return spark.createDataFrame(rows, f"declaration int, {columns}")
+
+
 def resolve_declarations(g: Graph, declarations: list[dict]) -> DataFrame:
     """(id, relation, lossiness, transform, declared): the places of the declarations that select each mapping.
 
     Fields of a selector must all match, any of a field's values does; kinds match if any endpoint has one.
+    A declaration joins by its first field, and the mappings it meets are held against its other fields.
     """
     heads = g.mappings.select("id", "relation", "lossiness", "transform", "status")
     wanted = sorted({k for d in declarations for f in ("sourceKinds", "targetKinds") for k in d.get("select", {}).get(f, [])})
+    full = heads
     if wanted:
-        kinds = g.entities.filter(F.col("kind").isin(wanted)).groupBy("id").agg(F.max_by("kind", "ord").alias("kind")).withColumnRenamed("id", "entity_id")
+        named = F.broadcast(g.spark.createDataFrame([(k,) for k in wanted], "kind string"))  # as many rows as selectors name kinds
+        kinds = g.entities.join(named, "kind", "left_semi").groupBy("id").agg(F.max_by("kind", "ord").alias("kind")).withColumnRenamed("id", "entity_id")
         ends = g.endpoints.select("mapping_id", "side", "entity_id").join(kinds, "entity_id")
         seen = ends.groupBy("mapping_id").agg(*[F.collect_set(F.when(F.col("side") == s, F.col("kind"))).alias(f"_{s}") for s in ("source", "target")])
-        heads = heads.join(seen, F.col("id") == F.col("mapping_id"), "left").drop("mapping_id")
+        full = full.join(seen, F.col("id") == F.col("mapping_id"), "left").drop("mapping_id")
     else:
-        heads = heads.withColumn("_source", F.array().cast("array<string>")).withColumn("_target", F.array().cast("array<string>"))
-
-    def selected(d: dict):
-        if "mapping" in d:
-            return F.col("id") == d["mapping"]
-        out, s = F.lit(True), d["select"]
-        for field, column in (("ids", "id"), ("relations", "relation"), ("provenanceStatuses", "status")):
-            if field in s:
-                out = out & F.col(column).isin(s[field])
-        for field, column in (("sourceKinds", "_source"), ("targetKinds", "_target")):
-            if field in s:
-                out = out & F.coalesce(F.arrays_overlap(F.col(column), F.array(*[F.lit(k) for k in s[field]])), F.lit(False))
-        return out
-
-    places = F.array_compact(F.array(*[F.when(F.coalesce(selected(d), F.lit(False)), F.lit(k)) for k, d in enumerate(declarations)])) if declarations else F.array().cast("array<int>")
-    return heads.select("id", "relation", "lossiness", "transform", places.alias("declared"))
+        full = full.withColumn("_source", F.array().cast("array<string>")).withColumn("_target", F.array().cast("array<string>"))
+    by_first: dict[str, list[tuple]] = {f: [] for f in SELECTOR}
+    everything = []
+    for k, d in enumerate(declarations):
+        says = {"ids": [d["mapping"]]} if "mapping" in d else {f: list(v) for f, v in d["select"].items() if f in SELECTOR}
+        first = next((f for f in SELECTOR if f in says), None)
+        if first is None:
+            everything.append(k)
+        else:
+            by_first[first] += [(k, v, *(says.get(f) for f in SELECTOR)) for v in dict.fromkeys(says[first])]
+    hits = [full.select("id", F.explode(F.array(*[F.lit(k) for k in everything])).alias("declaration"))] if everything else []
+    for first, rows in by_first.items():
+        if not rows:
+            continue
+        table = declared(g.spark, rows, "_value string, " + ", ".join(f"{f} array<string>" for f in SELECTOR))
+        column = SELECTOR[first]
+        met = (full.withColumn("_value", F.explode(column)) if column in ("_source", "_target") else full.withColumn("_value", F.col(column))).join(table, "_value")
+        for f, other in SELECTOR.items():
+            if f != first:
+                good = F.arrays_overlap(other, f) if other in ("_source", "_target") else F.array_contains(f, F.col(other))
+                met = met.filter(F.col(f).isNull() | F.coalesce(good, F.lit(False)))
+        hits.append(met.select("id", "declaration"))
+    none = F.array().cast("array<int>")
+    if not hits:
+        return heads.select("id", "relation", "lossiness", "transform", none.alias("declared"))
+    found = union(hits).groupBy(F.col("id").alias("_hit")).agg(F.array_sort(F.collect_set("declaration")).alias("declared"))
+    return heads.join(found, F.col("id") == F.col("_hit"), "left").select("id", "relation", "lossiness", "transform", F.coalesce("declared", none).alias("declared"))
 
 
 def declaration_issues(resolved: DataFrame) -> DataFrame:
@@ -70,25 +93,23 @@ def selector_issues(g: Graph, resolved: DataFrame, declarations: list[dict]) ->
     named += [(k, i, "UNKNOWN_MAPPING_SELECTOR_ID") for k, d in enumerate(declarations) for i in d.get("select", {}).get("ids", [])]
     rows = spark.createDataFrame(named, "declaration int, named string, code string")
     unknown = rows.join(g.mappings.select(F.col("id").alias("named")), "named", "left_anti")
-    selectors = [k for k, d in enumerate(declarations) if "select" in d]
-    empty = selector_counts(resolved, declarations).filter((F.col("n") == 0) & F.col("declaration").isin(selectors))
+    selectors = spark.createDataFrame([(k,) for k, d in enumerate(declarations) if "select" in d], "declaration int")
+    empty = selector_counts(resolved, declarations).filter("n = 0").join(selectors, "declaration", "left_semi")
     return issues(unknown, F.col("code"), F.col("named"), say(F.col("named"), " is unknown")).unionByName(issues(empty, "EMPTY_MAPPING_SELECTOR", F.col("declaration").cast("string"), say("declaration ", F.col("declaration"), " selects nothing")))
 
 
 def activation(resolved: DataFrame, declarations: list[dict], context: dict) -> DataFrame:
     """(id, active, reason) of mappings with exactly one declaration. The context is one, so reasons are folded here."""
-    reasons = {k: inactive_reason(d.get("applicability"), context) for k, d in enumerate(declarations)}
-    only = F.get("declared", F.lit(0))
-    reason = F.lit(None).cast("string")
-    for text in sorted({r for r in reasons.values() if r}):
-        reason = F.when(only.isin([k for k, r in reasons.items() if r == text]), F.lit(text)).otherwise(reason)
-    return resolved.filter(F.size("declared") == 1).select("id", reason.isNull().alias("active"), reason.alias("reason"))
+    reasons = [(k, r) for k, d in enumerate(declarations) if (r := inactive_reason(d.get("applicability"), context))]
+    table = declared(resolved.sparkSession, reasons, "reason string")
+    single = resolved.filter(F.size("declared") == 1).select("id", F.get("declared", F.lit(0)).alias("declaration"))
+    return single.join(table, "declaration", "left").select("id", F.col("reason").isNull().alias("active"), "reason")
 
 
 def context_issues(resolved: DataFrame, declarations: list[dict], context: dict) -> DataFrame:
     """A key that a declaration's expressions need and the context lacks, for each mapping it selects."""
     lacking = [(k, key) for k, d in enumerate(declarations) for key in sorted(set().union(*(required_keys((d.get("applicability") or {}).get(f)) for f in ("when", "unless"))) - set(context))]
-    rows = F.broadcast(resolved.sparkSession.createDataFrame(lacking, "declaration int, key string"))
+    rows = declared(resolved.sparkSession, lacking, "key string")
     found = resolved.select("id", F.explode("declared").alias("declaration")).join(rows, "declaration")
     return issues(found, "CONTEXT_KEY_MISSING", F.col("id"), say(F.col("id"), " needs context key ", F.col("key")))
 
@@ -97,11 +118,11 @@ def semantic_issues(g: Graph, resolved: DataFrame, declarations: list[dict]) ->
     """What mappings leave undeclared, and claims that transforms do not bear out."""
     silent = resolved.join(g.relations().filter("impact_direction IS NOT NULL").select("relation"), "relation", "left_anti")
     unknown = resolved.filter("lossiness = 'unknown'")
-    one = resolved.filter(F.size("declared") >= 1).select("*", F.explode("declared").alias("declaration"))
-    by = lambda field, value: [k for k, d in enumerate(declarations) if d.get(field) == value]
+    claims = declared(resolved.sparkSession, [(k, d.get("determinism"), d.get("reversibility")) for k, d in enumerate(declarations)], "determinism string, reversibility string")
+    one = resolved.select("*", F.explode("declared").alias("declaration")).join(claims, "declaration")
     flag = lambda name: F.get_json_object("transform", f"$.{name}") == "true"
-    steady = one.filter(F.col("declaration").isin(by("determinism", "deterministic")) & F.col("transform").isNotNull() & ~F.coalesce(flag("deterministic"), F.lit(False)))
-    back = one.filter(F.col("declaration").isin(by("reversibility", "reversible")))
+    steady = one.filter((F.col("determinism") == "deterministic") & F.col("transform").isNotNull() & ~F.coalesce(flag("deterministic"), F.lit(False)))
+    back = one.filter(F.col("reversibility") == "reversible")
     lossy = back.filter("lossiness <> 'lossless'")
     claimed = back.filter(F.col("transform").isNotNull() & ~F.coalesce(flag("reversible"), F.lit(False)))
     return union([

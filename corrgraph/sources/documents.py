@@ -87,7 +87,7 @@ class Shape:
         self.want(is_relation_identifier(m.get("relation")), "INVALID_RELATION_ID", f"{path}/relation")
         for side in ("sources", "targets"):
             self.strings(m.get(side), f"{path}/{side}")
-        self.want(m.get("cardinality") in CARDINALITIES.values(), "INVALID_CARDINALITY", f"{path}/cardinality")
+        self.want(m.get("cardinality") in CARDINALITIES, "INVALID_CARDINALITY", f"{path}/cardinality")
         self.want(m.get("lossiness") in LOSSINESS, "INVALID_LOSSINESS", f"{path}/lossiness")
         self.provenance(m.get("provenance"), f"{path}/provenance")
 
@@ -151,7 +151,7 @@ def rows_of(document: dict, path: str = "", shard: int = 0) -> list[tuple]:
     out = []
     for record, field in (("entity", "entities"), ("mapping", "mappings"), ("authority", "authorities")):
         for k, item in enumerate(document.get(field, [])):
-            out.append((record, item.get("id"), json.dumps(item, ensure_ascii=False), shard * step + k, path))
+            out.append((record, item.get("id"), json.dumps(item, ensure_ascii=False, sort_keys=True), shard * step + k, path))
     return out
 
 
@@ -190,10 +190,11 @@ def graph_of(rows: DataFrame, registry: RelationRegistry | None = None) -> Graph
     parsed = lambda record, schema: rows.filter(F.col("record") == record).select("ord", "payload", F.from_json("payload", schema).alias("x"))
     raw = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
     e, m, a = parsed("entity", ENTITY_JSON), parsed("mapping", MAPPING_JSON), parsed("authority", AUTHORITY_JSON)
-    entities = e.select("x.id", "x.kind", "x.label", raw("attributes"), F.coalesce(F.transform("x.locators", lambda u: u["uri"]), F.array().cast("array<string>")).alias("locators"), "ord")
-    mappings = m.select("x.id", "x.relation", "x.cardinality", "x.lossiness", raw("transform"), F.col("x.provenance.status").alias("status"), raw("attributes"), "ord")
+    more = lambda *names: F.map_filter(F.create_map(*[c for n in names for c in (F.lit(n), F.get_json_object("payload", f"$.{n}"))]), lambda _, v: v.isNotNull()).alias("more")
+    entities = e.select("x.id", "x.kind", "x.label", raw("attributes"), F.coalesce(F.transform("x.locators", lambda u: u["uri"]), F.array().cast("array<string>")).alias("locators"), "ord", more("schema", "locators", "provenance"))
+    mappings = m.select("x.id", "x.relation", "x.cardinality", "x.lossiness", raw("transform"), F.col("x.provenance.status").alias("status"), raw("attributes"), "ord", more("invariants", "provenance"))
     side = lambda s: m.select(F.col("x.id").alias("mapping_id"), F.lit(s).alias("side"), F.posexplode(f"x.{s}s").alias("pos", "entity_id")).withColumn("pos", F.col("pos").cast("long"))
-    authorities = a.select("x.id", "x.concept", "x.source", "x.mode", F.col("x.delegatedFrom").alias("delegated_from"), "ord")
+    authorities = a.select("x.id", "x.concept", "x.source", "x.mode", F.col("x.delegatedFrom").alias("delegated_from"), "ord", more("provenance"))
     facts = a.select(F.col("x.id").alias("authority_id"), F.explode("x.facts").alias("fact"))
     return Graph(entities, mappings, side("source").unionByName(side("target")), authorities, facts, registry or all_packs())
 
@@ -202,6 +203,14 @@ def graph(spark: SparkSession, document: dict, registry: RelationRegistry | None
     return graph_of(records(spark, document), registry)
 
 
+def validated_graph(spark: SparkSession, document: dict, registry: RelationRegistry | None = None) -> Graph:
+    """The graph of a document without errors; others raise with the first findings."""
+    wrong = [(code, what) for severity, code, what in validate_document(spark, document, registry) if severity == "error"]
+    if wrong:
+        raise ValueError("; ".join(f"{code} {what}" for code, what in wrong[:5]))
+    return graph(spark, document, registry)
+
+
 def validate_document(spark: SparkSession, document, registry: RelationRegistry | None = None) -> list[tuple[str, str, str | None]]:
     """(severity, code, subject or path): shape first; semantic rules only if the shape is sound."""
     from corrgraph.operators import validate

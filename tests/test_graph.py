@@ -4,10 +4,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corrgraph.functions import canonical, context
 from corrgraph.functions.relations import RelationRegistry, all_packs, parse_pack
-from corrgraph.operators import authority, compose, diff, generation, graph, pathtree, projection, validate
+from corrgraph.operators import authority, compose, diff, generation, graph, pathtree, policy, projection, validate
 from corrgraph.sources import documents
 
 OBSERVED = {"status": "declared", "assertedBy": "test"}
@@ -274,3 +275,59 @@ def test_path_tree(spark):
     for bad in ({}, {"id": "x/y"}, {"id": ""}, {"id": "a b"}):
         with pytest.raises(pathtree.HydrationError):
             pathtree.hydrate(tree, bad)
+
+
+def test_wide_mapping(spark):
+    """A many-to-many mapping of 4000 by 4000 ends: steps go through the mapping, not over all pairs."""
+    n = 4000
+    ends = spark.range(n).select(F.lit("urn:m:wide").alias("mapping_id"), F.col("id").alias("pos"), F.col("id").alias("k"))
+    side = lambda s, c: ends.select("mapping_id", F.lit(s).alias("side"), "pos", F.concat(F.lit(f"urn:{c}:"), F.col("k").cast("string")).alias("entity_id"))
+    endpoints = side("source", "a").unionByName(side("target", "b"))
+    entities = endpoints.select(F.col("entity_id").alias("id"), F.lit("x").alias("kind"), F.lit("").alias("label"), F.lit("{}").alias("attributes"), F.array().cast("array<string>").alias("locators"), "pos").withColumnRenamed("pos", "ord")
+    mappings = spark.createDataFrame([("urn:m:wide", "core:references", "many-to-many", "lossless", None, "declared", "{}", 0)], graph.MAPPING)
+    g = graph.Graph(entities, mappings, endpoints, spark.createDataFrame([], graph.AUTHORITY), spark.createDataFrame([], graph.FACT), all_packs())
+    levels = {r.depth: r["count"] for r in graph.trace(g, "urn:a:7", 2, "both").groupBy("depth").count().collect()}
+    assert levels == {0: 1, 1: n, 2: n - 1}
+    assert graph.trace(g, "urn:a:7", 2, "both").filter("id = 'urn:a:0'").collect()[0].predecessor == "urn:b:0"
+    assert graph.reachable(g, "urn:a:1", "core:references").count() == n + 1
+    hops = {r.hops: r["count"] for r in graph.impact(g, spark.createDataFrame([("urn:b:3",)], "id string")).groupBy("hops").count().collect()}
+    assert hops == {0: 2, 1: n} and graph.entity(g, "urn:b:3").count() == 1 and graph.mapping(g, "urn:none").count() == 0
+
+
+def test_records_in_full(spark):
+    """Provenance, schema, invariants and locators count as content, whatever the order of their members."""
+    said = {"status": "declared", "assertedBy": "x"}
+    one = {"id": "urn:t:1", "kind": "box", "schema": "s1", "locators": [{"uri": "urn:f", "digest": "d1"}], "provenance": said}
+    other = {"id": "urn:t:2", "kind": "box"}
+    link = {"id": "urn:m:1", "relation": "core:references", "sources": ["urn:t:1"], "targets": ["urn:t:2"], "cardinality": "one-to-one", "lossiness": "lossless", "invariants": ["i"], "provenance": said}
+    doc = lambda e, m: {"schemaVersion": "2.0.0", "id": "urn:d", "namespace": "t", "entities": [e, other], "mappings": [m], "authorities": []}
+    before = documents.graph(spark, doc(one, link))
+    same = documents.graph(spark, doc(dict(reversed(one.items())) | {"provenance": dict(reversed(said.items()))}, link))
+    assert diff.diff(before, same).collect() == diff.empty(spark).collect() == [] and compose.conflicts([before, same]).count() == 0
+    after = documents.graph(spark, doc(one | {"schema": "s2", "provenance": said | {"confidence": 0.5}, "locators": [{"uri": "urn:f", "digest": "d2"}]}, {k: v for k, v in link.items() if k != "invariants"}))
+    assert {r.id: r.changed_properties for r in diff.diff(before, after).collect()} == {"urn:t:1": ["locators", "provenance", "schema"], "urn:m:1": ["invariants"]}
+    assert {r.id for r in compose.conflicts([before, after]).collect()} == {"urn:t:1", "urn:m:1"}
+
+
+def test_compose_documents():
+    shard = lambda name, *packs, **more: {"schemaVersion": "2.0.0", "id": name, "namespace": "t", "relationPacks": list(packs), "entities": [], "mappings": [], "authorities": [], **more}
+    pack = {"id": "urn:p", "version": "1", "uri": "u"}
+    whole = compose.compose_documents([shard("urn:1", pack, entities=[{"id": "urn:e", "kind": "x"}]), shard("urn:2", pack, entities=[{"kind": "x", "id": "urn:e"}])], id="urn:w", namespace="t", label=None)
+    assert whole["metadata"] == {"composedFrom": ["urn:1", "urn:2"]} and whole["relationPacks"] == [pack] and len(whole["entities"]) == 1 and "label" not in whole
+    bad = [[], [shard("urn:1"), shard("urn:1")], [shard("urn:1", schemaVersion="1.0.0")], [shard("urn:1", pack), shard("urn:2", pack | {"version": "2"})], [shard("urn:1", pack), shard("urn:2", pack | {"uri": "v"})], [shard("urn:1", entities=[{"id": "urn:e", "kind": "x"}]), shard("urn:2", entities=[{"id": "urn:e", "kind": "y"}])]]
+    for shards in bad:
+        with pytest.raises(compose.CompositionError):
+            compose.compose_documents(shards, id="urn:w", namespace="t")
+
+
+def test_declaration_for_each_mapping(spark):
+    """As many declarations as mappings: they meet by a join, not in an expression."""
+    n = 3000
+    ids = [f"urn:m:{k}" for k in range(n)]
+    mappings = spark.createDataFrame([(i, "core:references", "one-to-one", "lossless", None, "declared", "{}", k) for k, i in enumerate(ids)], graph.MAPPING)
+    g = graph.Graph(spark.createDataFrame([], graph.ENTITY), mappings, spark.createDataFrame([], graph.ENDPOINT), spark.createDataFrame([], graph.AUTHORITY), spark.createDataFrame([], graph.FACT), all_packs())
+    declarations = [{"mapping": i} for i in ids[1:]] + [{"select": {"ids": ids[5:7], "provenanceStatuses": ["declared"]}, "applicability": {"when": {"key": "on", "operator": "equals", "value": True}}}, {"select": {"relations": ["core:references"], "provenanceStatuses": ["observed"]}}]
+    resolved = policy.resolve_declarations(g, declarations)
+    assert {r.id: r.declared for r in resolved.filter("size(declared) <> 1").collect()} == {ids[0]: [], ids[5]: [4, n - 1], ids[6]: [5, n - 1]}
+    assert policy.activation(resolved, declarations, {}).filter("active").count() == n - 3
+    assert {r.declaration: r.n for r in policy.selector_counts(resolved, declarations).filter("n <> 1").collect()} == {n - 1: 2, n: 0}
