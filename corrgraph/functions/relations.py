@@ -9,59 +9,59 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corrgraph.functions.identifiers import is_relation_identifier
 
-CARDINALITIES = {"11": "one-to-one", "1N": "one-to-many", "N1": "many-to-one", "NN": "many-to-many"}
-DIRECTIONS = {"both": "both", "out": "source-to-target", "in": "target-to-source", "none": "none"}
+CARDINALITIES = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
+DIRECTIONS = ("both", "source-to-target", "target-to-source", "none")
 
-#: The portable relations. Columns: relation; cardinalities; cycles; flags (T transitive,
-#: S symmetric); impact (out: source to target, in: target to source); kinds of sources and targets.
+#: The portable relations. Columns: relation, cardinalities, cycles, transitive or symmetric
+#: or neither, direction of impact, kinds of sources, kinds of targets.
 VOCABULARY = """
-core:contains              11,1N,NN     forbid T both  * > *
-core:implements            11,1N,NN     forbid - out   * > *
-core:conforms_to           11,N1,NN     forbid - in    * > *
-core:derives_from          11,1N,N1,NN  forbid T in    * > *
-core:generates             11,1N,NN     forbid - out   * > *
-core:depends_on            11,1N,NN     forbid T in    * > *
-core:mirrors               11,NN        allow  S both  * > *
-core:documents             11,1N,NN     allow  - in    * > *
-core:tests                 11,1N,NN     allow  - in    * > *
-core:exposes               11,1N,NN     forbid - both  * > *
-core:references            11,1N,N1,NN  allow  - in    * > *
-core:specified_by          11,N1,NN     forbid - in    * > *
-routing:handled_by         11,N1        forbid - out   routing:command,routing:event,routing:route > routing:handler
-routing:accepts            11,N1        forbid - in    routing:command,routing:event,routing:route > routing:schema
-routing:authorized_by      11,N1,NN     forbid - in    routing:command,routing:event,routing:route > routing:policy
-routing:emits              11,1N,NN     allow  - out   routing:command,routing:handler,routing:route > routing:event
-routing:exposed_as         11,1N,NN     forbid - both  routing:command,routing:event,routing:route > routing:endpoint
-routing:transitions_to     11,1N,NN     allow  - both  routing:state > routing:state
-topology:contains          11,1N,NN     forbid T both  topology:application,topology:segment,topology:outlet > topology:segment,topology:page,topology:container,topology:outlet,topology:boundary,topology:hydration-boundary,routing:route
-topology:implemented_by    11,1N,N1     forbid - in    routing:route > topology:page,topology:container
-topology:wraps             11,1N        forbid T out   topology:container > topology:page,topology:container
-topology:rendered_in       11,N1        forbid - in    routing:route,topology:page > topology:container
-topology:has_outlet        11,1N        forbid - out   topology:container > topology:outlet
-topology:fills_outlet      11,N1,NN     forbid - both  topology:page,topology:container > topology:outlet
-topology:hosts_provider    11,1N,NN     forbid - out   topology:container,topology:page > topology:context-provider
-topology:provides_context  11,1N,NN     forbid - out   topology:application,topology:container,topology:page,topology:context-provider > topology:context
-topology:requires_context  11,1N,NN     forbid - in    routing:route,topology:page,topology:container,topology:component,topology:content,topology:loader > topology:context
-topology:resolves_content  11,1N,NN     forbid - in    routing:route,topology:page,topology:component,topology:outlet > topology:content
-topology:loads             11,1N,NN     forbid - in    routing:route,topology:page,topology:container,topology:component > topology:loader
-topology:parameterized_by  11,1N,N1     forbid - in    routing:route,topology:page > routing:schema
-topology:produces          11,1N,N1     forbid - out   routing:handler,topology:loader > routing:schema
-topology:consumes          11,1N,N1     forbid - in    topology:page,topology:component,topology:hydration-boundary > routing:schema
-topology:hydrates          11,1N        forbid - both  topology:hydration-boundary > routing:route,topology:page,topology:container,topology:component,topology:boundary
-topology:guarded_by        11,N1,NN     forbid - in    routing:route,topology:page,topology:container > topology:middleware
-topology:fallback_for      11,1N,NN     forbid - out   topology:boundary > topology:segment,routing:route,topology:page,topology:container
-research:defines           11,1N,N1,NN  forbid - out   * > *
-research:assumes           11,1N,N1,NN  forbid - in    * > *
-research:entails           11,1N,N1,NN  forbid T out   * > *
-research:predicts          11,1N,NN     forbid - out   * > *
-research:measured_by       11,1N,N1,NN  forbid - in    * > *
-research:tests             11,1N,NN     forbid - out   * > *
-research:supports          11,1N,N1,NN  forbid - out   * > *
-research:contradicts       11,1N,N1,NN  forbid - out   * > *
-research:competes_with     11,NN        allow  S both  * > *
-research:valid_under       11,1N,N1,NN  forbid - in    * > *
-research:recovers          11,1N,NN     forbid - in    * > *
-research:refines           11,N1,NN     forbid T in    * > *
+core:contains one-to-one,one-to-many,many-to-many forbid transitive both any any
+core:implements one-to-one,one-to-many,many-to-many forbid - source-to-target any any
+core:conforms_to one-to-one,many-to-one,many-to-many forbid - target-to-source any any
+core:derives_from one-to-one,one-to-many,many-to-one,many-to-many forbid transitive target-to-source any any
+core:generates one-to-one,one-to-many,many-to-many forbid - source-to-target any any
+core:depends_on one-to-one,one-to-many,many-to-many forbid transitive target-to-source any any
+core:mirrors one-to-one,many-to-many allow symmetric both any any
+core:documents one-to-one,one-to-many,many-to-many allow - target-to-source any any
+core:tests one-to-one,one-to-many,many-to-many allow - target-to-source any any
+core:exposes one-to-one,one-to-many,many-to-many forbid - both any any
+core:references one-to-one,one-to-many,many-to-one,many-to-many allow - target-to-source any any
+core:specified_by one-to-one,many-to-one,many-to-many forbid - target-to-source any any
+routing:handled_by one-to-one,many-to-one forbid - source-to-target routing:command,routing:event,routing:route routing:handler
+routing:accepts one-to-one,many-to-one forbid - target-to-source routing:command,routing:event,routing:route routing:schema
+routing:authorized_by one-to-one,many-to-one,many-to-many forbid - target-to-source routing:command,routing:event,routing:route routing:policy
+routing:emits one-to-one,one-to-many,many-to-many allow - source-to-target routing:command,routing:handler,routing:route routing:event
+routing:exposed_as one-to-one,one-to-many,many-to-many forbid - both routing:command,routing:event,routing:route routing:endpoint
+routing:transitions_to one-to-one,one-to-many,many-to-many allow - both routing:state routing:state
+topology:contains one-to-one,one-to-many,many-to-many forbid transitive both topology:application,topology:segment,topology:outlet topology:segment,topology:page,topology:container,topology:outlet,topology:boundary,topology:hydration-boundary,routing:route
+topology:implemented_by one-to-one,one-to-many,many-to-one forbid - target-to-source routing:route topology:page,topology:container
+topology:wraps one-to-one,one-to-many forbid transitive source-to-target topology:container topology:page,topology:container
+topology:rendered_in one-to-one,many-to-one forbid - target-to-source routing:route,topology:page topology:container
+topology:has_outlet one-to-one,one-to-many forbid - source-to-target topology:container topology:outlet
+topology:fills_outlet one-to-one,many-to-one,many-to-many forbid - both topology:page,topology:container topology:outlet
+topology:hosts_provider one-to-one,one-to-many,many-to-many forbid - source-to-target topology:container,topology:page topology:context-provider
+topology:provides_context one-to-one,one-to-many,many-to-many forbid - source-to-target topology:application,topology:container,topology:page,topology:context-provider topology:context
+topology:requires_context one-to-one,one-to-many,many-to-many forbid - target-to-source routing:route,topology:page,topology:container,topology:component,topology:content,topology:loader topology:context
+topology:resolves_content one-to-one,one-to-many,many-to-many forbid - target-to-source routing:route,topology:page,topology:component,topology:outlet topology:content
+topology:loads one-to-one,one-to-many,many-to-many forbid - target-to-source routing:route,topology:page,topology:container,topology:component topology:loader
+topology:parameterized_by one-to-one,one-to-many,many-to-one forbid - target-to-source routing:route,topology:page routing:schema
+topology:produces one-to-one,one-to-many,many-to-one forbid - source-to-target routing:handler,topology:loader routing:schema
+topology:consumes one-to-one,one-to-many,many-to-one forbid - target-to-source topology:page,topology:component,topology:hydration-boundary routing:schema
+topology:hydrates one-to-one,one-to-many forbid - both topology:hydration-boundary routing:route,topology:page,topology:container,topology:component,topology:boundary
+topology:guarded_by one-to-one,many-to-one,many-to-many forbid - target-to-source routing:route,topology:page,topology:container topology:middleware
+topology:fallback_for one-to-one,one-to-many,many-to-many forbid - source-to-target topology:boundary topology:segment,routing:route,topology:page,topology:container
+research:defines one-to-one,one-to-many,many-to-one,many-to-many forbid - source-to-target any any
+research:assumes one-to-one,one-to-many,many-to-one,many-to-many forbid - target-to-source any any
+research:entails one-to-one,one-to-many,many-to-one,many-to-many forbid transitive source-to-target any any
+research:predicts one-to-one,one-to-many,many-to-many forbid - source-to-target any any
+research:measured_by one-to-one,one-to-many,many-to-one,many-to-many forbid - target-to-source any any
+research:tests one-to-one,one-to-many,many-to-many forbid - source-to-target any any
+research:supports one-to-one,one-to-many,many-to-one,many-to-many forbid - source-to-target any any
+research:contradicts one-to-one,one-to-many,many-to-one,many-to-many forbid - source-to-target any any
+research:competes_with one-to-one,many-to-many allow symmetric both any any
+research:valid_under one-to-one,one-to-many,many-to-one,many-to-many forbid - target-to-source any any
+research:recovers one-to-one,one-to-many,many-to-many forbid - target-to-source any any
+research:refines one-to-one,many-to-one,many-to-many forbid transitive target-to-source any any
 """
 
 
@@ -85,11 +85,10 @@ def builtin_packs() -> dict[str, list[Relation]]:
     for line in VOCABULARY.split("\n"):
         if not line.strip():
             continue
-        head, targets = line.split(" > ")
-        name, cardinalities, cycles, flags, impact, sources = head.split()
-        kinds = lambda text: None if text.strip() == "*" else tuple(text.strip().split(","))
+        name, cardinalities, cycles, flag, impact, sources, targets = line.split()
+        kinds = lambda text: None if text == "any" else tuple(text.split(","))
         packs.setdefault(name.split(":")[0], []).append(
-            Relation(name, tuple(CARDINALITIES[c] for c in cardinalities.split(",")), cycles, "T" in flags, "S" in flags, DIRECTIONS[impact], kinds(sources), kinds(targets))
+            Relation(name, tuple(cardinalities.split(",")), cycles, flag == "transitive", flag == "symmetric", impact, kinds(sources), kinds(targets))
         )
     return packs
 
@@ -103,7 +102,7 @@ def parse_pack(value: dict) -> tuple[str, str, list[Relation]]:
     for r in value["relations"]:
         if not isinstance(r, dict) or not is_relation_identifier(r.get("id")) or r.get("cyclePolicy") not in ("allow", "forbid") or set(r) - known:
             raise ValueError(f"relation pack {value['id']}: malformed relation {r!r}")
-        if set(r.get("cardinalities", ())) - set(CARDINALITIES.values()) or r.get("impactDirection", "both") not in DIRECTIONS.values():
+        if set(r.get("cardinalities", ())) - set(CARDINALITIES) or r.get("impactDirection", "both") not in DIRECTIONS:
             raise ValueError(f"relation pack {value['id']}: malformed relation {r['id']}")
         many = lambda k, r=r: tuple(r[k]) if k in r else None
         relations.append(Relation(r["id"], many("cardinalities"), r["cyclePolicy"], r.get("transitive", False), r.get("symmetric", False), r.get("impactDirection"), many("sourceKinds"), many("targetKinds"), r.get("inverse"), tuple(r.get("composesWith", ()))))

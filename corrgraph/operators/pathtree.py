@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corrgraph.functions.identifiers import parameter_name
 from corrgraph.operators.issues import union
 
+#: The grammar of paths.
 SEGMENT = r"^(?:[A-Za-z0-9._~-]+|:[A-Za-z][A-Za-z0-9_]*|\*[A-Za-z][A-Za-z0-9_]*\??)$"
 PARAMETER = r"^(?::[A-Za-z][A-Za-z0-9_]*|\*[A-Za-z][A-Za-z0-9_]*\??)$"
 TOKEN = re.compile(r"\*[A-Za-z][A-Za-z0-9_]*\?|:[A-Za-z][A-Za-z0-9_]*|\*[A-Za-z][A-Za-z0-9_]*")

@@ -157,12 +157,12 @@ QUERIES = {
     "relation_counts": lambda spark, d: report.relation_counts(lens.graph(spark, d)),
 }
 
-_VERSIONS = """, keyed AS (SELECT *, CASE WHEN kind = 'tpch:order' THEN regexp_extract(id, '(\\d+)$', 1)::BIGINT END AS k FROM entities),
-old AS (SELECT id, kind, label, attributes FROM keyed WHERE k IS NULL OR k % 10 <> 0),
-new AS (SELECT id, kind, CASE WHEN k % 11 = 0 THEN label || ' (revised)' ELSE label END AS label, CASE WHEN k % 7 = 0 THEN '{"status":"X"}' ELSE attributes END AS attributes FROM keyed WHERE k IS NULL OR k % 10 <> 1),
-oldm AS (SELECT id, lossiness FROM mappings WHERE name NOT LIKE 'order%' OR key % 10 <> 0),
-newm AS (SELECT id, CASE WHEN name LIKE 'order%' AND key % 13 = 0 THEN 'unknown' ELSE lossiness END AS lossiness FROM mappings WHERE name NOT LIKE 'order%' OR key % 10 <> 1),
-changes AS (
+_VERSIONS = """, keyed AS MATERIALIZED (SELECT *, CASE WHEN kind = 'tpch:order' THEN regexp_extract(id, '(\\d+)$', 1)::BIGINT END AS k FROM entities),
+old AS MATERIALIZED (SELECT id, kind, label, attributes FROM keyed WHERE k IS NULL OR k % 10 <> 0),
+new AS MATERIALIZED (SELECT id, kind, CASE WHEN k % 11 = 0 THEN label || ' (revised)' ELSE label END AS label, CASE WHEN k % 7 = 0 THEN '{"status":"X"}' ELSE attributes END AS attributes FROM keyed WHERE k IS NULL OR k % 10 <> 1),
+oldm AS MATERIALIZED (SELECT id, lossiness FROM mappings WHERE name NOT LIKE 'order%' OR key % 10 <> 0),
+newm AS MATERIALIZED (SELECT id, CASE WHEN name LIKE 'order%' AND key % 13 = 0 THEN 'unknown' ELSE lossiness END AS lossiness FROM mappings WHERE name NOT LIKE 'order%' OR key % 10 <> 1),
+changes AS MATERIALIZED (
   SELECT 'entity' AS kind, coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'removed' WHEN o.id IS NULL THEN 'added' WHEN o.label <> n.label OR o.attributes <> n.attributes THEN 'changed' END AS change,
     array_to_string(list_filter([CASE WHEN o.attributes <> n.attributes THEN 'attributes' END, CASE WHEN o.label <> n.label THEN 'label' END], lambda x: x IS NOT NULL), ',') AS changed_properties
   FROM old o FULL JOIN new n ON o.id = n.id

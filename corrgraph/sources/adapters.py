@@ -188,6 +188,13 @@ class JsonCollections(SingleFile):
             w.mapping(w.name("mapping", f"{c['id']}:contains:{part['pointer']}"), "core:contains", [whole], names)
 
 
+def is_legacy_catalogue(value) -> bool:
+    """Whether a document is a legacy catalogue: entries with an id and a label, and paths and outputs that are texts."""
+    entries = value.get("sourcesOfTruth") if isinstance(value, dict) else None
+    texts = lambda x: isinstance(x, list) and all(isinstance(t, str) for t in x)
+    return isinstance(entries, list) and all(isinstance(e, dict) and isinstance(e.get("id"), str) and isinstance(e.get("label"), str) and texts(e.get("paths")) and texts(e.get("outputs")) for e in entries)
+
+
 class LegacyCatalogue(SingleFile):
     """A catalogue of concepts with paths and outputs; several paths leave ownership open."""
 
@@ -230,12 +237,10 @@ class PrismaAdapter(SingleFile):
     id, version = "prisma", "1.0.0"
 
     def blocks(self, w: Writer, text: str):
-        for m in re.finditer(r"^[ \t]*(model|enum)\s+([A-Za-z_]\w*)\s*\{", text, re.M):
-            depth, end = 1, m.end()
-            while end < len(text) and depth:
-                depth += {"{": 1, "}": -1}.get(text[end], 0)
-                end += 1
-            if depth:
+        bare = re.sub(r'"(?:\\.|[^"\\\n])*"|//[^\n]*', lambda m: m[0] if m[0][0] == '"' else " " * len(m[0]), text)  # comments hold no brackets
+        for m in re.finditer(r"^[ \t]*(model|enum)\s+([A-Za-z_]\w*)\s*\{", bare, re.M):
+            end = balanced(bare, m.end() - 1)
+            if bare[end - 1] != "}" or end - 1 < m.end():
                 w.diagnose("PRISMA_UNCLOSED_BLOCK", f"{m[1]} {m[2]} is not closed")
                 continue
             yield m[1], m[2], text[m.end() : end - 1], line_of(text, m.start()), line_of(text, m.end())

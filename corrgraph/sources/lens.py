@@ -129,7 +129,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LENS_SQL = r"""
-WITH RECURSIVE entities AS (
+WITH RECURSIVE entities AS MATERIALIZED (
   SELECT 'urn:tpch:region:' || r_regionkey AS id, 'tpch:region' AS kind, r_name AS label, '{}' AS attributes FROM region
   UNION ALL SELECT 'urn:tpch:nation:' || n_nationkey, 'tpch:nation', n_name, '{}' FROM nation
   UNION ALL SELECT 'urn:tpch:customer:' || c_custkey, 'tpch:customer', c_name, '{}' FROM customer {{customers}}
@@ -144,11 +144,11 @@ linked AS (
   UNION ALL SELECT 'order-parts', l_orderkey, 'urn:tpch:order:' || l_orderkey, 'urn:tpch:part:' || l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) {{double}}
   UNION ALL SELECT 'order-suppliers', l_orderkey, 'urn:tpch:order:' || l_orderkey, 'urn:tpch:supplier:' || l_suppkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) {{back}}),
 heads AS (SELECT 'urn:map:' || name || ':' || key AS id, name, key, count(*) AS n FROM linked GROUP BY ALL),
-mappings AS (
+mappings AS MATERIALIZED (
   SELECT h.id, h.name, h.key, h.n, {{relation}} AS relation, {{cardinality}} AS cardinality,
          CASE WHEN name NOT LIKE 'order%' THEN 'lossless' WHEN o_orderstatus = 'F' THEN 'lossless' WHEN o_orderstatus = 'O' THEN 'lossy' ELSE 'unknown' END AS lossiness
   FROM heads h LEFT JOIN orders ON o_orderkey = key AND name LIKE 'order%'),
-edges AS (SELECT DISTINCT m.id AS mapping_id, relation, lossiness, src, dst FROM mappings m JOIN linked l ON l.name = m.name AND l.key = m.key),
+edges AS MATERIALIZED (SELECT DISTINCT m.id AS mapping_id, relation, lossiness, src, dst FROM mappings m JOIN linked l ON l.name = m.name AND l.key = m.key),
 endpoints AS (SELECT mapping_id, 'source' AS side, src AS entity_id FROM edges UNION SELECT mapping_id, 'target', dst FROM edges),
 ranked AS (SELECT s_nationkey AS n, s_suppkey AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM (SELECT DISTINCT s_nationkey, s_suppkey FROM supplier) QUALIFY r <= 6),
 authorities AS (

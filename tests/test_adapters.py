@@ -7,30 +7,44 @@ import pytest
 from corrgraph.sources import adapters, documents
 
 PRISMA = """
-enum State {
-  READY
-  DONE // finished
+// model Ghost { }
+enum Berth { NORTH SOUTH }
+enum Cargo {
+  GRAIN   // loose }
+  @@map("cargo_kind")
+  STEEL @map("st")
 }
-model Item {
-  id String @id
-  count Int? @map("n")
-  state State
-  children Child[]
-  @@map("items")
+model Vessel {
+  imo      BigInt   @id
+  name     String   @unique @default("{none}")
+  draught  Decimal?
+  built    DateTime
+  papers   Json
+  calls    Call[]   // what it's done: {
 }
-model Child { id String }
-model Open {
+model Call {
+  vessel   Vessel @relation(fields: [vesselImo], references: [imo])
+  cargo    Cargo?
+  weights  Float[]
+  flag     Colour
+}
+model Adrift {
+  x Int
 """
 ZOD = """
-export const StateSchema = z.enum(["READY", "DONE"]);
-export const ItemSchema = z.object({
-  id: ItemIdSchema,
-  count: z.number().int().nullable(),
-  tags: z.array(z.string()).optional(), // some
-  state: StateSchema,
+export const CargoSchema = z.enum(["GRAIN", 'STEEL']);
+export const CallSchema = z.strictObject({
+  vessel: VesselIdSchema,
+  arrived: z.string().datetime().nullish(),
+  weights: z.array(z.number()).default([]),
+  "notes": z.record(z.string(), z.unknown()), // keys, and "values"
+  crew: z.array(CrewSchema),
+  cargo: CargoSchema.optional().nullable(),
 });
-export const SmallSchema = ItemSchema.omit({ count: true });
-const hidden = z.string();
+export const ArrivalSchema = CallSchema.pick({ vessel: true, arrived: true });
+export const LongCallSchema = CallSchema.extend({ days: z.bigint() });
+const inner = z.object({ lost: z.any() });
+export const limit = 3;
 """
 
 
@@ -50,12 +64,20 @@ def names(by, kind):
     return sorted(e["label"] for e in by["entity"] if e["kind"] == kind)
 
 
+def fields_of(by, name):
+    return {e["attributes"]["name"]: e["attributes"] for e in by["entity"] if e["attributes"].get("structureName") == name and "dataType" in e["attributes"]}
+
+
 def test_prisma(spark, tmp_path):
-    by = found(spark, tmp_path, adapters.PrismaAdapter(), {"path": "s.prisma"}, {"s.prisma": PRISMA})
-    assert names(by, "prisma-model") == ["Child", "Item"] and names(by, "prisma-enum-value") == ["State.DONE", "State.READY"]
-    facts = {e["attributes"]["name"]: e["attributes"] for e in by["entity"] if e["attributes"].get("structureName") == "Item"}
-    assert facts["count"]["dataType"] == "integer" and facts["count"]["nullable"] and facts["count"]["mappedName"] == "n" and facts["count"]["presenceRequired"]
-    assert facts["state"]["dataType"] == "enum:State" and facts["children"]["dataType"] == "reference:Child" and facts["children"]["cardinality"] == "many" and facts["children"]["relation"]
+    by = found(spark, tmp_path, adapters.PrismaAdapter(), {"path": "port.prisma"}, {"port.prisma": PRISMA})
+    assert names(by, "prisma-model") == ["Call", "Vessel"] and names(by, "prisma-enum") == ["Berth", "Cargo"]
+    assert names(by, "prisma-enum-value") == ["Berth.NORTH", "Cargo.GRAIN", "Cargo.STEEL"]
+    vessel, call = fields_of(by, "Vessel"), fields_of(by, "Call")
+    assert {k: v["dataType"] for k, v in vessel.items()} == {"imo": "integer", "name": "string", "draught": "number", "built": "datetime", "papers": "json", "calls": "reference:Call"}
+    assert vessel["imo"]["id"] and vessel["name"]["unique"] and vessel["name"]["hasDefault"] and vessel["draught"]["nullable"] and not vessel["built"]["nullable"]
+    assert vessel["calls"]["relation"] and vessel["calls"]["cardinality"] == "many" and call["vessel"]["relation"] and call["vessel"]["cardinality"] == "one"
+    assert call["cargo"]["dataType"] == "enum:Cargo" and call["weights"]["cardinality"] == "many" and call["flag"]["dataType"] == "native:Colour"
+    assert next(e for e in by["entity"] if e["label"] == "Cargo")["attributes"]["mappedName"] == "cargo_kind"
     assert [d["code"] for d in by["diagnostic"]] == ["PRISMA_UNCLOSED_BLOCK"]
     graph = documents.graph_of(spark.createDataFrame([("entity", e["id"], json.dumps(e), 0, "") for e in by["entity"]] + [("mapping", m["id"], json.dumps(m), 0, "") for m in by["mapping"]], documents.RECORD))
     from corrgraph.operators import validate
@@ -64,16 +86,24 @@ def test_prisma(spark, tmp_path):
 
 
 def test_zod(spark, tmp_path):
-    by = found(spark, tmp_path, adapters.ZodAdapter(), {"paths": ["src"]}, {"src/a.ts": ZOD, "src/b.ts": "export const ItemSchema = z.object({});\n"})
-    facts = {e["attributes"]["name"]: e["attributes"] for e in by["entity"] if e["kind"] == "zod-field"}
-    assert (facts["id"]["dataType"], facts["count"]["dataType"], facts["count"]["nullable"]) == ("string", "integer", True)
-    assert (facts["tags"]["dataType"], facts["tags"]["cardinality"], facts["tags"]["presenceRequired"]) == ("string", "many", False)
-    assert facts["state"]["dataType"] == "reference:StateSchema" and names(by, "zod-enum-value") == ["StateSchema.DONE", "StateSchema.READY"]
-    derived = [m for m in by["mapping"] if m["relation"] == "core:derives_from"]
-    assert len(derived) == 1 and derived[0]["lossiness"] == "lossy"
+    by = found(spark, tmp_path, adapters.ZodAdapter(), {"paths": ["web"]}, {"web/port.ts": ZOD, "web/deep/again.tsx": "export const CargoSchema = z.enum(['OIL']);\n", "web/port.test.ts": "export const TestSchema = z.object({});\n"})
+    call = fields_of(by, "CallSchema")
+    assert {k: (v["dataType"], v["cardinality"], v["presenceRequired"], v["nullable"]) for k, v in call.items()} == {
+        "vessel": ("string", "one", True, False), "arrived": ("datetime", "one", False, True), "weights": ("number", "many", True, False),
+        "notes": ("json", "one", True, False), "crew": ("reference:CrewSchema", "many", True, False), "cargo": ("reference:CargoSchema", "one", False, True),
+    }
+    assert names(by, "zod-schema") == ["ArrivalSchema", "CallSchema", "LongCallSchema"] and fields_of(by, "LongCallSchema")["days"]["dataType"] == "integer"
+    derived = {m["id"].rsplit("%3A", 2)[-2]: m["lossiness"] for m in by["mapping"] if m["relation"] == "core:derives_from"}
+    assert derived == {"ArrivalSchema": "lossy", "LongCallSchema": "lossless"}
     assert [d["code"] for d in by["diagnostic"]] == ["DUPLICATE_ZOD_SCHEMA_NAME"]
 
 
+def test_legacy_guard():
+    good = {"sourcesOfTruth": [{"id": "a", "label": "A", "paths": ["x"], "outputs": []}]}
+    assert adapters.is_legacy_catalogue(good) and adapters.is_legacy_catalogue({"sourcesOfTruth": []})
+    assert not any(map(adapters.is_legacy_catalogue, (None, {}, {"sourcesOfTruth": {}}, {"sourcesOfTruth": [3]}, {"sourcesOfTruth": [{"id": "a", "label": "A", "paths": [1], "outputs": []}]})))
+
+
 def test_json_collections(spark, tmp_path):
     config = {"path": "c.json", "collections": [{"pointer": "/surfaces", "idProperty": "id", "labelProperty": "label", "entityKind": "surface", "references": [{"property": "viewIds", "targetKind": "view"}]}, {"pointer": "/nothing", "idProperty": "id", "entityKind": "x"}]}
     by = found(spark, tmp_path, adapters.JsonCollections(), config, {"c.json": json.dumps({"surfaces": [{"id": "s1", "label": "One", "viewIds": ["v1", "v2", 3]}, {"x": 1}, {"id": "s2", "viewIds": "v1"}]})})

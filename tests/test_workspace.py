@@ -7,40 +7,40 @@ import pytest
 from corrgraph import cli, emit, workspace
 from corrgraph.functions.canonical import value_digest
 
-PRISMA = "enum State {\n  READY\n  DONE\n}\nmodel Item {\n  id String @id\n  count Int?\n  state State\n}\nmodel Spare {\n  id String\n}\n"
-ZOD = 'export const StateSchema = z.enum(["READY", "DONE", "LOST"]);\nexport const ItemSchema = z.object({\n  id: z.string(),\n  count: z.number().int(),\n  state: StateSchema,\n});\n'
+PRISMA = "enum Grade {\n  RAW\n  FINE\n  VOID\n}\nmodel Sample {\n  code String @id\n  mass Decimal?\n  taken DateTime\n  grade Grade\n  bench Bench?\n}\nmodel Bench {\n  code String @id\n}\n"
+ZOD = 'export const GradeSchema = z.enum(["RAW", "FINE"]);\nexport const SampleSchema = z.object({\n  label: z.string(),\n  grams: z.number(),\n  taken: z.string().datetime(),\n  grade: GradeSchema,\n});\n'
 CONFIG = {
-    "id": "urn:w:1", "namespace": "t", "repository": "repo", "repositoryRoot": ".",
-    "sources": [{"id": "db", "adapter": "prisma", "path": "s.prisma"}, {"id": "api", "adapter": "typescript-zod", "paths": ["a.ts"]}],
+    "id": "urn:w:lab", "namespace": "lab", "repository": "lab", "repositoryRoot": ".",
+    "sources": [{"id": "store", "adapter": "prisma", "path": "lab.prisma"}, {"id": "wire", "adapter": "typescript-zod", "paths": ["wire.ts"]}],
     "correspondences": [
-        {"id": "item", "source": {"sourceId": "db", "kind": "model", "name": "Item"}, "target": {"sourceId": "api", "kind": "schema", "name": "ItemSchema"}, "fields": {"pairs": [{"source": "id", "target": "id"}, {"source": "count", "target": "count", "allowDifferences": ["nullability"]}], "requireSourceCoverage": True, "ignoreSource": ["state"]}, "authority": {"side": "source", "facts": ["*"]}},
-        {"id": "state", "source": {"sourceId": "db", "kind": "enum", "name": "State"}, "target": {"sourceId": "api", "kind": "enum", "name": "StateSchema"}, "enumValues": {"allowTargetOnly": ["LOST"]}},
+        {"id": "sample", "source": {"sourceId": "store", "kind": "model", "name": "Sample"}, "target": {"sourceId": "wire", "kind": "schema", "name": "SampleSchema"}, "fields": {"pairs": [{"source": "code", "target": "label"}, {"source": "mass", "target": "grams", "allowDifferences": ["nullability"]}, {"source": "taken", "target": "taken", "transform": "toInstant"}], "requireTargetCoverage": True, "ignoreTarget": ["grade"]}, "authority": {"side": "target", "facts": ["mass", "taken"]}},
+        {"id": "grade", "source": {"sourceId": "store", "kind": "enum", "name": "Grade"}, "target": {"sourceId": "wire", "kind": "enum", "name": "GradeSchema"}, "enumValues": {"allowSourceOnly": ["VOID"]}},
     ],
     "outputs": {"graph": "out/graph", "snapshot": "out/snapshot.json", "report": "out/report.md", "documentation": "out/graph.md", "cache": "out/cache"},
 }
 
 
 def test_workspace(spark, tmp_path):
-    (tmp_path / "s.prisma").write_text(PRISMA)
-    (tmp_path / "a.ts").write_text(ZOD)
+    (tmp_path / "lab.prisma").write_text(PRISMA)
+    (tmp_path / "wire.ts").write_text(ZOD)
     found = workspace.discover(spark, CONFIG, str(tmp_path))
     seen = {(r.severity, r.code, r.subject_id) for r in found.drift.collect()}
-    assert ("info", "WAIVED_FIELD_DIFFERENCE", "item") in seen and ("info", "WAIVED_ENUM_DIFFERENCE", "state") in seen and ("warning", "UNCONFIGURED_STRUCTURES", "db") in seen
+    assert ("info", "WAIVED_FIELD_DIFFERENCE", "sample") in seen and ("info", "WAIVED_ENUM_DIFFERENCE", "grade") in seen and ("warning", "UNCONFIGURED_STRUCTURES", "store") in seen
     assert not found.has_errors(), [r for r in found.validation.collect()] + sorted(seen)
     assert found.cached == [] and found.snapshot["counts"]["authorities"] == 1
     assert {r.code for r in workspace.check(spark, found, str(tmp_path))[0].collect()} == {"BASELINE_MISSING_OR_INVALID"}
     workspace.write_outputs(found, str(tmp_path))
     again = workspace.discover(spark, CONFIG, str(tmp_path))
-    assert again.cached == ["db", "api"] and again.snapshot == found.snapshot
+    assert again.cached == ["store", "wire"] and again.snapshot == found.snapshot
     assert workspace.check(spark, again, str(tmp_path))[0].count() == 0
-    assert "# urn:w:1" in (tmp_path / "out/report.md").read_text()
-    (tmp_path / "s.prisma").write_text(PRISMA.replace("count Int?", "count String?"))
+    assert "# urn:w:lab" in (tmp_path / "out/report.md").read_text()
+    (tmp_path / "lab.prisma").write_text(PRISMA.replace("taken DateTime", "taken BigInt"))
     moved = workspace.discover(spark, CONFIG, str(tmp_path))
-    assert ("error", "FIELD_DRIFT", "item") in {(r.severity, r.code, r.subject_id) for r in moved.drift.collect()}
+    assert ("error", "FIELD_DRIFT", "sample") in {(r.severity, r.code, r.subject_id) for r in moved.drift.collect()}
     assert "BASELINE_DRIFT" in {r.code for r in workspace.check(spark, moved, str(tmp_path))[0].collect()}
 
 
-@pytest.mark.parametrize("change", [{"sources": []}, {"outputs": {}}, {"correspondences": [{"id": "x", "source": {"sourceId": "no"}, "target": {"sourceId": "db"}}]}])
+@pytest.mark.parametrize("change", [{"sources": []}, {"outputs": {}}, {"correspondences": [{"id": "x", "source": {"sourceId": "no"}, "target": {"sourceId": "store"}}]}])
 def test_config(change):
     with pytest.raises(ValueError, match=r"."):
         workspace.parse_config(CONFIG | change)
