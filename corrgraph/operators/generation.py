@@ -9,17 +9,19 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrgraph.functions import shapes
 from corrgraph.functions.canonical import collation_key, stable_json, value_digest
 from corrgraph.functions.context import parse_context
-from corrgraph.functions.identifiers import is_date_time, is_reference_identifier
+from corrgraph.functions.identifiers import is_date_time
 from corrgraph.functions.relations import RelationRegistry, all_packs
 from corrgraph.operators import policy as rules
-from corrgraph.operators import validate
+from corrgraph.operators import projection, validate
 from corrgraph.operators.constraints import ConstraintRegistry, Scope
 from corrgraph.operators.graph import impact
 from corrgraph.operators.issues import SCHEMA, union
@@ -40,20 +42,17 @@ class Compilation:
 
 def policy_issues(policy) -> list[tuple[str, str]]:
     """(code, what): the form of a policy, and ids that it uses twice."""
-    bad = lambda what: [("INVALID_VIABILITY_POLICY", what)]
-    if not isinstance(policy, dict) or policy.get("schemaVersion") != VERSION or not is_reference_identifier(policy.get("id")) or not isinstance(policy.get("graph"), dict):
-        return bad("head")
-    if any(not isinstance(policy.get(k), list) for k in ("mappings", "constraints", "evidence")):
-        return bad("lists")
-    for d in policy["mappings"]:
-        if not isinstance(d, dict) or ("mapping" in d) == ("select" in d) or not {"coverage", "determinism", "reversibility"} <= set(d):
-            return bad("mappings")
-    if any(not isinstance(e, dict) or e.get("result") not in ("supports", "contradicts", "inconclusive") or not e.get("subjects") for e in policy["evidence"]):
-        return bad("evidence")
-    if any(not isinstance(w, dict) or not {"id", "codes", "subjects", "reason", "expiresAt", "assertedBy"} <= set(w) for w in policy.get("waivers", [])):
-        return bad("waivers")
-    ids = [policy["id"], *(x["id"] for k in ("constraints", "evidence", "waivers") for x in policy.get(k, []))]
-    return [("DUPLICATE_POLICY_ID", i) for k, i in enumerate(ids) if i in ids[:k]]
+    wrong = shapes.findings(policy, "policy")
+    if wrong:
+        return wrong
+    ids = Counter([policy["id"], *(x["id"] for k in ("constraints", "evidence", "waivers") for x in policy.get(k, []))])
+    return [("DUPLICATE_POLICY_ID", i) for i, n in ids.items() for _ in range(n - 1)]
+
+
+def with_paths(found: DataFrame, spread: DataFrame) -> DataFrame:
+    """Issues with causal_path: the way on which a change reached their subject, null where none did."""
+    ways = spread.select(F.col("id").alias("subject_id"), F.col("path").alias("causal_path"))
+    return found.join(ways, "subject_id", "left").select("severity", "code", "message", "subject_id", "causal_path")
 
 
 def binding_issues(document: dict, policy: dict) -> list[tuple[str, str]]:
@@ -78,15 +77,16 @@ def compile_graph(spark: SparkSession, document: dict, policy: dict, context: di
     if shape:
         found = made([(c, p) for c, p in shape] + policy_issues(policy) + late)
         nobody = spark.createDataFrame([], "id string, hops int, path array<string>")
-        return Compilation("rejected", found, nobody, quarantined=nobody.select("id"))
+        return Compilation("rejected", with_paths(found, nobody), nobody, quarantined=nobody.select("id"))
     g = documents.graph(spark, document, registry)
-    subjects = [(s, x["id"], k) for f in ("constraints", "evidence") for x in (policy.get(f, []) if isinstance(policy, dict) else []) for k, s in enumerate(x.get("subjects", []))]
+    wrong = policy_issues(policy)
+    sound = not any(code == "INVALID_VIABILITY_POLICY" for code, _ in wrong)
+    subjects = [(s, x["id"], k) for f in ("constraints", "evidence") for x in (policy[f] if sound else []) for k, s in enumerate(x["subjects"])]
     stood = spark.createDataFrame(subjects, "id string, of string, n long")
     integrity = save(validate.validate(g), "validation")
-    wrong = policy_issues(policy)
     if wrong or not validate.is_valid(integrity):
         spread = save(impact(g, ids(changed or []), None, stood), "impact")
-        return Compilation("rejected", integrity.unionByName(made(wrong + late)), spread, quarantined=spread.select("id"))
+        return Compilation("rejected", with_paths(integrity.unionByName(made(wrong + late)), spread), spread, quarantined=spread.select("id"))
 
     context = parse_context(context)
     declarations, evidence = policy["mappings"], documents.evidence_of(spark, policy)
@@ -113,7 +113,7 @@ def compile_graph(spark: SparkSession, document: dict, policy: dict, context: di
     seeds = ids(changed) if changed else errors.filter("subject_id IS NOT NULL").select(F.col("subject_id").alias("id")).distinct()
     spread = save(impact(g, seeds, active, stood), "impact")
     if not validate.is_valid(everything):
-        return Compilation("rejected", everything, spread, quarantined=spread.select("id"))
+        return Compilation("rejected", with_paths(everything, spread), spread, quarantined=spread.select("id"))
     column = lambda df, c: [r[0] for r in df.select(c).distinct().collect()]
     revision = {"revision": document["revision"]} if "revision" in document else {}
     content = {
@@ -128,7 +128,7 @@ def compile_graph(spark: SparkSession, document: dict, policy: dict, context: di
         "waiversApplied": sorted(column(told.filter("waived_by IS NOT NULL"), "waived_by")),
     }
     digest = value_digest(content)
-    return Compilation("viable", everything, spread, content | {"id": address("generation", digest), "digest": digest})
+    return Compilation("viable", with_paths(everything, spread), spread, content | {"id": address("generation", digest), "digest": digest})
 
 
 def address(kind: str, digest: str) -> str:
@@ -136,10 +136,33 @@ def address(kind: str, digest: str) -> str:
 
 
 def verify(value: dict, kind: str) -> list[str]:
-    """Codes of a content-addressed document that does not match its content: kind is generation, projection or path-tree."""
+    """Codes of a content-addressed document: of its form, or else of an address that does not match its content.
+
+    kind is generation, projection or path-tree.
+    """
+    wrong = shapes.findings(value, kind)
+    if wrong:
+        return sorted({code for code, _ in wrong})
     content = {k: v for k, v in value.items() if k not in ("$schema", "id", "digest")}
     digest, name = value_digest(content), kind.replace("-", "_").upper()
-    return [f"{name}_DIGEST_MISMATCH"] * (value.get("digest") != digest) + [f"{name}_ID_MISMATCH"] * (value.get("id") != address(kind, digest))
+    return [f"{name}_DIGEST_MISMATCH"] * (value["digest"] != digest) + [f"{name}_ID_MISMATCH"] * (value["id"] != address(kind, digest))
+
+
+def parse(value, kind: str) -> dict:
+    """The document itself if it is sound; otherwise a ValueError that names what is wrong.
+
+    kind is policy, projection-spec, generation, projection or path-tree.
+    """
+    wrong = shapes.findings(value, kind)
+    if not wrong and kind == "policy":
+        wrong = policy_issues(value)
+    elif not wrong and kind == "projection-spec":
+        wrong = projection.spec_issues(value)
+    elif not wrong:
+        wrong = [(code, value["id"]) for code in verify(value, kind)]
+    if wrong:
+        raise ValueError(f"{kind}: " + "; ".join(f"{code} {what}" for code, what in wrong[:5]))
+    return value
 
 
 def seal(content: dict, kind: str) -> dict:

@@ -97,17 +97,24 @@ def hydrate_path(path: str, values: dict[str, str], delimiter: str = "/") -> str
 
 def hydrate(tree: DataFrame, values: dict[str, str], delimiter: str = "/") -> DataFrame:
     """The nodes with hydrated paths. All tokens but optional ones need a value, wherever they occur."""
-    needed = [r.token for r in parameters(tree.filter("occupant IS NOT NULL").select("path"), delimiter).collect()]  # parameters, not nodes
-    for token in needed:
+    found = parameters(tree.filter("occupant IS NOT NULL").select("path"), delimiter)
+    given = {}
+    for token in sorted((r.token for r in found.collect()), key=len, reverse=True):  # a row a parameter, not a node
         hydrate_path(token, values, delimiter)
-
-    def run(batches):
-        for pdf in batches:
-            for c in ("path", "parent_path"):
-                pdf[c] = [None if p is None else hydrate_path(p, values, delimiter) for p in pdf[c]]
-            yield pdf
-
-    return tree.mapInPandas(run, tree.schema)
+        name = token.lstrip(":*").removesuffix("?")
+        given[token] = values.get(token, values.get(name)) or ""
+
+    def filled(path: Column) -> Column:
+        """hydrate_path() in the JVM: a segment that is a token is replaced, and empty ones go."""
+        parts = F.transform(segments(path, delimiter), lambda s: F.coalesce(F.try_element_at(table, s), s)) if given else segments(path, delimiter)
+        whole = F.concat(F.lit(delimiter), F.array_join(F.filter(parts, lambda s: s != ""), delimiter))
+        if delimiter != "/":
+            return whole
+        whole = F.regexp_replace(whole, "/{2,}", "/")
+        return F.when(whole == "/", whole).otherwise(F.regexp_replace(whole, "/$", ""))
+
+    table = F.create_map(*[F.lit(x) for pair in given.items() for x in pair]) if given else None
+    return tree.select(*[filled(F.col(c)).alias(c) if c in ("path", "parent_path") else F.col(c) for c in tree.columns])
 
 
 def as_document(tree: DataFrame, slots: dict | None = None) -> dict:

@@ -6,39 +6,26 @@ many, so slots are broadcast and subjects and edges joined once for all slots.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgraph.functions.identifiers import is_reference_identifier, is_relation_identifier
+from corrgraph.functions.shapes import findings
 from corrgraph.operators.graph import Graph, edges
 from corrgraph.operators.issues import union
 
 #: Slot cardinality to whether none and whether more than one is an issue.
 COUNTS = {"exactly-one": (True, True), "zero-or-one": (False, True), "one-or-more": (True, False), "many": (False, False)}
-DELIMITERS = ("/", "--", ".")
-
-
-def spec_issues(spec: dict) -> list[tuple[str, str]]:
-    """(code, what) of a malformed specification."""
-    out = []
-    slots = spec.get("slots")
-    well = isinstance(slots, list) and slots and all(isinstance(s, dict) and isinstance(s.get("name"), str) and s.get("direction") in ("outgoing", "incoming") and s.get("cardinality") in COUNTS for s in slots)
-    if not well or not isinstance(spec.get("select"), dict) or not (spec["select"].get("ids") or spec["select"].get("kinds")):
-        out.append(("INVALID_PROJECTION_SPEC", str(spec.get("id"))))
-    if not is_reference_identifier(spec.get("id")):
-        out.append(("INVALID_PROJECTION_SPEC_ID", str(spec.get("id"))))
-    seen = set()
-    for s in slots if isinstance(slots, list) else []:
-        if not isinstance(s, dict):
-            continue
-        if s.get("name") in seen:
-            out.append(("DUPLICATE_PROJECTION_SLOT", s["name"]))
-        seen.add(s.get("name"))
-        if not is_relation_identifier(s.get("relation")):
-            out.append(("INVALID_PROJECTION_RELATION", str(s.get("relation"))))
-    if spec.get("pathTree", {}).get("delimiter", "/") not in DELIMITERS:
-        out.append(("INVALID_PATH_TREE_DELIMITER", str(spec["pathTree"]["delimiter"])))
-    return out
+
+
+def spec_issues(spec) -> list[tuple[str, str]]:
+    """(code, what) of a malformed specification: its form, or else slot names that it uses twice."""
+    wrong = findings(spec, "projection-spec")
+    if wrong:
+        return wrong
+    names = Counter(s["name"] for s in spec["slots"])
+    return [("DUPLICATE_PROJECTION_SLOT", name) for name, n in names.items() for _ in range(n - 1)]
 
 
 def slot_frame(spark, slots: list[dict]) -> DataFrame:

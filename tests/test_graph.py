@@ -170,7 +170,7 @@ def test_diff(spark):
 
 POLICY = {
     "schemaVersion": "1.0.0", "id": "urn:p:1", "graph": {"id": "urn:doc:1", "digest": canonical.value_digest(BASE)},
-    "mappings": [{"select": {"relations": ["core:contains", "core:implements", "core:mirrors"]}, "coverage": "full", "determinism": "unknown", "reversibility": "unknown"}, {"mapping": "urn:m:2", "coverage": "full", "determinism": "unknown", "reversibility": "unknown", "applicability": {"unless": {"key": "maintenance", "operator": "equals", "value": True}}}],
+    "mappings": [{"select": {"relations": ["core:contains", "core:implements", "core:mirrors"]}, "coverage": "partial", "determinism": "nondeterministic", "reversibility": "irreversible"}, {"mapping": "urn:m:2", "coverage": "partial", "determinism": "nondeterministic", "reversibility": "irreversible", "applicability": {"unless": {"key": "maintenance", "operator": "equals", "value": True}}}],
     "constraints": [{"id": "urn:c:1", "kind": "core:requires-evidence", "subjects": ["urn:t:a"], "parameters": {"minimumConfidence": 0.5}}],
     "evidence": [{"id": "urn:e:1", "subjects": ["urn:t:a"], "kind": "test", "result": "supports", "producer": "x", "confidence": 0.9}],
 }
@@ -185,7 +185,7 @@ def test_compile(spark, tmp_path):
     found = compiled(spark)
     made = found.generation
     assert found.status == "viable" and made["activeMappings"] == ["urn:m:1", "urn:m:2", "urn:m:3", "urn:m:4"] and made["evidence"] == ["urn:e:1"]
-    assert generation.verify(made, "generation") == [] and generation.verify(made | {"evaluatedAt": "x"}, "generation") == ["GENERATION_DIGEST_MISMATCH", "GENERATION_ID_MISMATCH"]
+    assert generation.verify(made, "generation") == [] and generation.verify(made | {"evaluatedAt": "2026-01-02T00:00:00Z"}, "generation") == ["GENERATION_DIGEST_MISMATCH", "GENERATION_ID_MISMATCH"] and generation.verify(made | {"evaluatedAt": "x"}, "generation") == ["INVALID_VIABLE_GENERATION"]
     assert compiled(spark).generation == made
     idle = compiled(spark, held={"maintenance": True}).generation
     assert idle["inactiveMappings"] == [{"id": "urn:m:2", "reason": "inhibited"}]
@@ -195,13 +195,16 @@ def test_compile(spark, tmp_path):
     bad = compiled(spark, POLICY | {"evidence": []})
     assert bad.status == "rejected" and not generation.promote(bad, path)["activated"] and (tmp_path / "g.json").read_bytes() == before
     assert {"urn:t:a", "urn:t:b"} <= {r.id for r in bad.quarantined.collect()}
+    assert {r.code: r.causal_path for r in bad.issues.collect()}["REQUIRED_EVIDENCE_MISSING"] == ["urn:t:a"]
+    spread = compiled(spark, POLICY | {"evidence": []}, changed=["urn:c:1"]).issues.collect()
+    assert {r.code: r.causal_path for r in spread}["REQUIRED_EVIDENCE_MISSING"] == ["urn:c:1", "urn:t:a"]
 
 
 @pytest.mark.parametrize(
     ("change", "held", "code"),
     [
-        ({"graph": {"id": "urn:doc:1", "digest": "sha256:0"}}, None, "GRAPH_DIGEST_MISMATCH"), ({"graph": {"id": "urn:x"}}, None, "GRAPH_BINDING_MISMATCH"), ({}, {}, "CONTEXT_KEY_MISSING"), ({"mappings": POLICY["mappings"][1:]}, None, "MAPPING_POLICY_MISSING"),
-        ({"mappings": [*POLICY["mappings"], POLICY["mappings"][1]]}, None, "DUPLICATE_MAPPING_POLICY"), ({"constraints": [{"id": "urn:c:1", "kind": "x:y", "subjects": []}]}, None, "UNKNOWN_CONSTRAINT_KIND"), ({"constraints": [{"id": "urn:c:1", "kind": "xy", "subjects": []}]}, None, "INVALID_CONSTRAINT_KIND"),
+        ({"graph": {"id": "urn:doc:1", "digest": "sha256:" + "0" * 64}}, None, "GRAPH_DIGEST_MISMATCH"), ({"graph": {"id": "urn:x", "revision": "1"}}, None, "GRAPH_BINDING_MISMATCH"), ({}, {}, "CONTEXT_KEY_MISSING"), ({"mappings": POLICY["mappings"][1:]}, None, "MAPPING_POLICY_MISSING"),
+        ({"mappings": [*POLICY["mappings"], POLICY["mappings"][1]]}, None, "DUPLICATE_MAPPING_POLICY"), ({"constraints": [{"id": "urn:c:1", "kind": "x:y", "subjects": ["urn:t:a"]}]}, None, "UNKNOWN_CONSTRAINT_KIND"), ({"constraints": [{"kind": "xy", "subjects": []}]}, None, "INVALID_VIABILITY_POLICY"),
         ({"constraints": [{"id": "urn:c:1", "kind": "core:requires-evidence", "subjects": ["urn:t:a"], "parameters": {"x": 1}}]}, None, "INVALID_CONSTRAINT_PARAMETERS"), ({"evidence": [{**POLICY["evidence"][0], "id": "urn:c:1"}]}, None, "DUPLICATE_POLICY_ID"), ({"evidence": [{**POLICY["evidence"][0], "result": "contradicts"}]}, None, "CONTRADICTING_EVIDENCE"),
         ({"constraints": [{"id": "urn:c:1", "kind": "core:requires-evidence", "subjects": ["urn:t:nobody"]}]}, None, "UNKNOWN_POLICY_SUBJECT"),
     ],
@@ -256,11 +259,12 @@ def test_registry():
 
 def test_projection(spark):
     g = documents.graph(spark, document([entity("a", "page"), entity("b", "page"), entity("c", "box"), entity("d", "other")], [mapping("1", "core:depends_on", "a", "c"), mapping("2", "core:depends_on", "a", "d", lossiness="lossy")]))
-    spec = {"id": "urn:s", "select": {"kinds": ["page"]}, "slots": [{"name": "box", "relation": "core:depends_on", "direction": "outgoing", "cardinality": "exactly-one", "targetKinds": ["box"]}]}
+    spec = {"schemaVersion": "1.0.0", "id": "urn:s", "select": {"kinds": ["page"]}, "slots": [{"name": "box", "relation": "core:depends_on", "direction": "outgoing", "cardinality": "exactly-one", "targetKinds": ["box"]}]}
     active = g.mappings.select("id")
     assert {(r.subject[-1], r.n) for r in projection.slots(g, active, spec).collect()} == {("a", 1), ("b", 0)}
     assert {(r.code, r.subject_id[-1]) for r in projection.projection_issues(g, active, spec).collect()} == {("LOSSY_PROJECTION_LINK", "a"), ("PROJECTION_TARGET_KIND_MISMATCH", "a"), ("REQUIRED_PROJECTION_TARGET_MISSING", "b")}
-    assert [c for c, _ in projection.spec_issues(spec | {"slots": spec["slots"] * 2, "pathTree": {"delimiter": "x"}})] == ["DUPLICATE_PROJECTION_SLOT", "INVALID_PATH_TREE_DELIMITER"]
+    assert [c for c, _ in projection.spec_issues(spec | {"slots": spec["slots"] * 2})] == ["DUPLICATE_PROJECTION_SLOT"] and projection.spec_issues(spec | {"slots": []}) == []
+    assert [w for _, w in projection.spec_issues(spec | {"select": {}, "pathTree": {"delimiter": "x"}})] == ["$/select is empty", "$/pathTree/delimiter is none of /, --, ."]
 
 
 def test_path_tree(spark):
@@ -272,6 +276,10 @@ def test_path_tree(spark):
     assert {r.token for r in pathtree.parameters(first).collect()} == {":id", "*rest?"}
     assert {r.path for r in pathtree.hydrate(tree, {"id": "7"}).collect()} == {"/", "/a", "/a/7"}
     assert pathtree.hydrate_path("/a/*rest", {"rest": "x/y"}) == "/a/x/y"
+    for delimiter, values in (("/", {"id": "7", "rest": "x//y/"}), ("/", {":id": ":rest", "rest": "/"}), ("--", {"id": "7", "rest": "x/y"}), (".", {"id": "7"})):
+        own = pathtree.nodes(first.withColumn("path", F.when(F.col("path") == "/", delimiter).otherwise(F.replace("path", F.lit("/"), F.lit(delimiter)))), delimiter)
+        want = sorted(pathtree.hydrate_path(r.path, values, delimiter) for r in own.collect())
+        assert sorted(r.path for r in pathtree.hydrate(own, values, delimiter).collect()) == want
     for bad in ({}, {"id": "x/y"}, {"id": ""}, {"id": "a b"}):
         with pytest.raises(pathtree.HydrationError):
             pathtree.hydrate(tree, bad)
@@ -331,3 +339,37 @@ def test_declaration_for_each_mapping(spark):
     assert {r.id: r.declared for r in resolved.filter("size(declared) <> 1").collect()} == {ids[0]: [], ids[5]: [4, n - 1], ids[6]: [5, n - 1]}
     assert policy.activation(resolved, declarations, {}).filter("active").count() == n - 3
     assert {r.declaration: r.n for r in policy.selector_counts(resolved, declarations).filter("n <> 1").collect()} == {n - 1: 2, n: 0}
+
+
+def test_parse():
+    """Closed forms: a sound document comes back, and whatever breaks one is named."""
+    assert generation.parse(POLICY, "policy") is POLICY
+    evidence, declaration = POLICY["evidence"][0], POLICY["mappings"][0]
+    when = lambda e: {"mappings": [declaration | {"applicability": {"when": e}}]}
+    good = [
+        {"waivers": [{"id": "urn:w", "codes": ["X"], "subjects": ["urn:t:a"], "reason": "r", "expiresAt": "2027-01-01T00:00:00Z", "assertedBy": "x"}], "metadata": {"any": [1]}},
+        when({"all": [{"not": {"key": "k", "operator": "exists"}}, {"any": [{"key": "k", "operator": "in", "values": [1, True, None]}]}]}), {"graph": {"id": "urn:doc:1", "revision": "7"}},
+    ]
+    for change in good:
+        generation.parse(POLICY | change, "policy")
+    bad = [
+        {"schemaVersion": "2.0.0"}, {"id": "x"}, {"graph": {"id": "urn:d"}}, {"extra": 1}, {"mappings": None}, {"mappings": [declaration | {"mapping": "urn:m:1"}]}, {"mappings": [{**declaration, "select": {}}]}, {"mappings": [declaration | {"coverage": "full"}]},
+        {"constraints": [{"kind": "core:reachable", "subjects": ["urn:t:a"]}]}, {"constraints": [{"id": "urn:c", "kind": "core:reachable", "subjects": ["urn:t:a", "urn:t:a"]}]}, {"evidence": [evidence | {"confidence": True}]}, {"evidence": [evidence | {"observedAt": "2026-13-01T00:00:00Z"}]}, {"evidence": [evidence | {"subjects": []}]}, {"evidence": ["x"]},
+        {"waivers": [{"id": "urn:w"}]}, when({}), when({"all": []}), when({"key": "k", "operator": "in", "values": []}), when({"key": "k", "operator": "equals", "value": {}}), when({"key": "", "operator": "exists"}), {"evidence": [evidence | {"id": POLICY["id"]}]},
+    ]
+    for change in bad:
+        with pytest.raises(ValueError, match="policy: "):
+            generation.parse(POLICY | change, "policy")
+    bound, sealed = {"id": "urn:x", "digest": "sha256:" + "0" * 64}, {"schemaVersion": "1.0.0"}
+    slot = {"name": "s", "relation": "core:contains", "direction": "outgoing", "cardinality": "many", "mappings": ["urn:m"], "targets": [{"id": "urn:b", "kind": "x"}]}
+    held = generation.seal(sealed | {"generation": bound, "graph": bound, "spec": bound, "entries": [{"subject": {"id": "urn:a", "kind": "x"}, "slots": [slot]}]}, "projection")
+    tree = generation.seal(sealed | {"projection": bound, "spec": bound, "attribute": "path", "delimiter": "/", "params": [":id"], "tree": {"_": "/", ":id": {"_": "/:id", "$": {"id": "urn:a", "kind": "x", "slots": {}}}}}, "path-tree")
+    spec = {"schemaVersion": "1.0.0", "id": "urn:s", "select": {"ids": ["urn:a"]}, "slots": []}
+    for kind, value, breaks in (("projection", held, [{"entries": [{}]}, {"entries": []}]), ("path-tree", tree, [{"delimiter": ":"}, {"params": ["id"]}, {"tree": {"_": "/", "x": {}}}, {"tree": {"_": "/", "$x": {"_": "/x"}}}, {"tree": {"_": "/"}}]), ("projection-spec", spec, [{"select": {}}, {"slots": [{"name": "a"}]}])):
+        assert generation.parse(value, kind) is value
+        for change in breaks:
+            with pytest.raises(ValueError, match=f"{kind}: "):
+                generation.parse(value | change, kind)
+    for kind in ("policy", "generation", "projection-spec", "projection", "path-tree"):
+        with pytest.raises(ValueError, match="is no object"):
+            generation.parse(None, kind)
