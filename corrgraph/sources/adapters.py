@@ -400,8 +400,47 @@ ROLES = {"page": "page", "layout": "container", "template": "container", "loadin
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
 
+QUOTED_OR_COMMENT = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*[\s\S]*?\*/")
+IMPORT = re.compile(r"\bimport\s+(?:type\s+)?([^;'\"()]*?)\s*from\s*[\"']([^\"']+)[\"']")
+MOUNT = re.compile(r"(?<![\w)])<((?:\w+\.)*\w*Provider)(?=[\s/>])")
+MOUNTED = "array<struct<module:string,symbol:string,local:string,line:int,column:int>>"
+
+
+def uncommented(text: str) -> str:
+    """The text with blanks for comments, so places stay."""
+    return QUOTED_OR_COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0], text)
+
+
+def imports(code: str, path: str) -> dict[str, tuple[str, str]]:
+    """Local name to (module, exported name); a relative module is told from the root of the repository."""
+    out = {}
+    for m in IMPORT.finditer(code):
+        module = os.path.normpath(os.path.join(os.path.dirname(path), m[2])) if m[2].startswith(".") else m[2]
+        named = re.search(r"\{([^}]*)\}", m[1])
+        for part in named[1].split(",") if named else []:
+            words = re.findall(r"[\w$]+", part.removeprefix("type "))
+            if words:
+                out[words[-1]] = (module, words[0])
+        for part in re.sub(r"\{[^}]*\}", "", m[1]).split(","):
+            words = re.findall(r"[\w$*]+", part)
+            if words:
+                out[words[-1]] = (module, "*" if words[0] == "*" else "default")
+    return out
+
+
+def mounts(code: str, path: str) -> list[dict]:
+    """Providers that a file mounts, each where it stands; one that is not imported is the file's own."""
+    known, out = imports(code, path), []
+    for m in MOUNT.finditer(code):
+        first, _, rest = m[1].partition(".")
+        module, exported = known.get(first, (path, first))
+        symbol = rest if exported == "*" and rest else exported + (f".{rest}" if rest else "")
+        out.append({"module": module, "symbol": symbol, "local": m[1], "line": line_of(code, m.start()), "column": m.start() - code.rfind("\n", 0, m.start())})
+    return out
+
+
 class AppRouterAdapter:
-    """An application tree of special files: segments, pages, containers, boundaries, routes.
+    """An application tree of special files: segments, outlets, pages, containers, boundaries, routes, endpoints, contexts.
 
     Files are observed one by one; what contains or wraps what follows from their folders: ancestors are
     exploded and joined by equality, and a page's containers are ordered by depth in a window.
@@ -421,8 +460,9 @@ class AppRouterAdapter:
         base = w.config["path"].rstrip("/")
         inside = os.path.relpath(w.path, base).replace("\\", "/")
         folder, stem = os.path.dirname(inside), os.path.basename(inside).rsplit(".", 1)[0]
+        text = uncommented(text)
         methods = sorted(set(re.findall(r"export\s+(?:async\s+)?(?:function|const)\s+(" + "|".join(METHODS) + r")\b", text)))
-        providers = sorted(set(re.findall(r"<(\w+Provider)\b", text)))
+        providers = mounts(text, w.path)
         loaders = sorted(set(re.findall(r"\b(fetch|useQuery|useSWR|useInfiniteQuery)\s*\(", text)))
         seen = {"folder": folder, "stem": stem, "role": ROLES[stem], "methods": methods, "providers": providers, "loaders": loaders, "client": bool(re.match(r"\s*[\"']use client[\"']", text))}
         if stem == "route" and not methods:
@@ -432,7 +472,7 @@ class AppRouterAdapter:
     def discover(self, spark, config, context):
         source, excluded = config["id"], [x["path"] for x in config.get("exclusions", [])]
         raw = save(parsed(spark, self, config, context, self.paths(config, context)), "observed")
-        files = raw.filter("record = 'observed'").select("path", F.from_json("payload", "folder string, stem string, role string, methods array<string>, providers array<string>, loaders array<string>, client boolean").alias("x")).select("path", "x.*")
+        files = raw.filter("record = 'observed'").select("path", F.from_json("payload", "folder string, stem string, role string, methods array<string>, providers " + MOUNTED + ", loaders array<string>, client boolean").alias("x")).select("path", "x.*")
         asked = spark.createDataFrame([(p,) for p in excluded], "path string")
         twice = asked.groupBy("path").count().filter("count > 1").select("path", F.lit("DUPLICATE_TOPOLOGY_EXCLUSION").alias("code"))
         stale = asked.distinct().join(files.select("path"), "path", "left_anti").select("path", F.lit("STALE_TOPOLOGY_EXCLUSION").alias("code"))
@@ -465,17 +505,36 @@ class AppRouterAdapter:
         out = [raw.filter("record IN ('input', 'diagnostic')"), problems, entity(app, "topology:application", app_id, F.lit(source))]
         out.append(entity(segments, "topology:segment", segment(F.col("folder")), F.concat(F.lit("/"), F.col("folder")), urlPath=route_path(F.col("folder"))))
         out.append(link(segments.filter("folder = ''"), "topology:contains", name("mapping", F.lit("root")), F.array(app_id), F.array(segment(F.col("folder")))))
-        out.append(link(segments.filter("folder <> ''"), "topology:contains", name("mapping", F.concat(F.lit("segment:"), "folder")), F.array(segment(parent)), F.array(segment(F.col("folder")))))
+        # a folder @name is an outlet of the folder above, and its segment is inside the outlet
+        last = F.regexp_extract("folder", "[^/]*$", 0)
+        slotted, below = segments.filter(last.startswith("@")), segments.filter("folder <> ''")
+        outlet = name("outlet", F.concat(F.lit("/"), "folder"))
+        out.append(entity(slotted, "topology:outlet", outlet, F.expr("substring(regexp_extract(folder, '[^/]*$', 0), 2)"), routePath=route_path(parent)))
+        out.append(link(slotted, "topology:contains", name("mapping", F.concat(F.lit("outlet:"), "folder")), F.array(segment(parent)), F.array(outlet)))
+        inside = F.when(last.startswith("@"), outlet).otherwise(segment(parent))
+        out.append(link(below, "topology:contains", name("mapping", F.concat(F.lit("segment:"), "folder")), F.array(inside), F.array(segment(F.col("folder")))))
         route_id = name("route", route_path(F.col("folder")))
         disposition = F.when(F.col("out"), "excluded")
         for rows, kind, urn_kind in ((pages, "topology:page", "page"), (containers, "topology:container", "container"), (boundaries, "topology:boundary", "boundary")):
             out.append(entity(rows, kind, own(urn_kind), F.col("path"), file=F.col("path"), stem=F.col("stem"), client=F.col("client"), topologyDisposition=disposition))
             out.append(link(rows, "topology:contains", name("mapping", F.concat(F.lit(f"in:{urn_kind}:"), "path")), F.array(segment(F.col("folder"))), F.array(own(urn_kind))))
+            client, hydration = rows.filter("client"), own("hydration-boundary")
+            out.append(entity(client, "topology:hydration-boundary", hydration, F.concat(F.lit("Hydration boundary for "), "path"), file=F.col("path")))
+            out.append(link(client, "topology:contains", name("mapping", F.concat(F.lit("in:hydration:"), "path")), F.array(segment(F.col("folder"))), F.array(hydration)))
+            out.append(link(client, "topology:hydrates", name("mapping", F.concat(F.lit("hydrates:"), "path")), F.array(hydration), F.array(own(urn_kind))))
         live = pages.filter("stem = 'page'")
-        out.append(entity(live.unionByName(routes), "routing:route", route_id, route_path(F.col("folder")), path=route_path(F.col("folder"))))
+        out.append(entity(live, "routing:route", route_id, route_path(F.col("folder")), path=route_path(F.col("folder"))))
         out.append(link(live, "topology:implemented_by", name("mapping", F.concat(F.lit("implemented:"), "path")), F.array(route_id), F.array(own("page"))))
-        out.append(entity(routes, "routing:handler", own("handler"), F.col("path"), methods=F.col("methods")))
-        out.append(link(routes, "routing:handled_by", name("mapping", F.concat(F.lit("handled:"), "path")), F.array(route_id), F.array(own("handler"))))
+        # a route, a handler and an endpoint for each method
+        called = routes.select("path", "folder", F.explode("methods").alias("method"))
+        where = route_path(F.col("folder"))
+        verb = lambda kind, of: name(kind, F.concat("method", F.lit(" "), of))
+        surface, handler, endpoint = verb("route", where), verb("handler", F.col("path")), verb("endpoint", where)
+        out.append(entity(called, "routing:route", surface, where, path=where, method=F.col("method"), topologySurface=F.lit("route-handler")))
+        out.append(entity(called, "routing:handler", handler, F.concat("method", F.lit(" handler")), file=F.col("path"), method=F.col("method")))
+        out.append(entity(called, "routing:endpoint", endpoint, F.concat("method", F.lit(" "), where), path=where, method=F.col("method")))
+        for relation, word, source_of, target_of in (("topology:contains", "in:route", segment(F.col("folder")), surface), ("routing:handled_by", "handled", surface, handler), ("routing:exposed_as", "exposed", surface, endpoint)):
+            out.append(link(called, relation, verb("mapping", F.concat(F.lit(f"{word}:"), "path")), F.array(source_of), F.array(target_of)))
         out.append(link(boundaries, "topology:fallback_for", name("mapping", F.concat(F.lit("fallback:"), "path")), F.array(own("boundary")), F.array(segment(F.col("folder")))))
         token = r"^\[{1,2}(?:\.\.\.)?([^\]]+)\]{1,2}$"
         dynamic = F.filter(parts, lambda s: s.rlike(token))
@@ -484,10 +543,15 @@ class AppRouterAdapter:
         fields = F.transform("tokens", lambda s: F.struct(F.regexp_extract(s, token, 1).alias("name"), F.when(s.contains("..."), "many").otherwise("one").alias("cardinality"), s.startswith("[[").alias("optional")))
         out.append(entity(shaped, "routing:schema", shape_id, F.concat(route_path(F.col("folder")), F.lit(" parameters")), parameters=fields))
         out.append(link(shaped.dropDuplicates(["folder"]), "topology:parameterized_by", name("mapping", F.concat(F.lit("parameters:"), "folder")), F.array(route_id), F.array(shape_id)))
-        used = containers.unionByName(live).filter(F.size("providers") > 0).select("path", "role", F.explode("providers").alias("p"))
+        used = containers.unionByName(live).filter(F.size("providers") > 0).select("path", "role", F.inline("providers"))
         host = F.when(F.col("role") == "page", own("page")).otherwise(own("container"))
-        out.append(entity(used, "topology:context-provider", name("provider", F.col("p")), F.col("p")))
-        out.append(link(used, "topology:hosts_provider", name("mapping", F.concat(F.lit("hosts:"), "path", F.lit(":"), "p")), F.array(host), F.array(name("provider", F.col("p")))))
+        spot = F.concat("path", F.lit(":"), "module", F.lit(":"), "symbol", F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("column").cast("string"))
+        provider, shared = name("provider", spot), name("context", F.concat("module", F.lit(":"), "symbol"))
+        out.append(entity(used, "topology:context-provider", provider, F.col("local"), module=F.col("module"), symbol=F.col("symbol"), file=F.col("path"), line=F.col("line"), column=F.col("column")))
+        out.append(link(used, "topology:hosts_provider", name("mapping", F.concat(F.lit("hosts:"), spot)), F.array(host), F.array(provider)))
+        contexts = used.groupBy("module", "symbol").agg(F.min(F.struct("path", "local")).alias("x")).select("module", "symbol", "x.*")
+        out.append(entity(contexts, "topology:context", shared, F.regexp_replace("local", r"\.?Provider$", ""), module=F.col("module"), symbol=F.col("symbol")))
+        out.append(link(used, "topology:provides_context", name("mapping", F.concat(F.lit("provides:"), spot)), F.array(provider), F.array(shared)))
         fetched = live.filter(F.size("loaders") > 0).select("path", F.explode("loaders").alias("p"))
         out.append(entity(fetched, "topology:loader", name("loader", F.concat("path", F.lit("#"), "p")), F.col("p")))
         out.append(link(fetched, "topology:loads", name("mapping", F.concat(F.lit("loads:"), "path", F.lit(":"), "p")), F.array(own("page")), F.array(name("loader", F.concat("path", F.lit("#"), "p")))))

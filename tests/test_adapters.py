@@ -126,7 +126,7 @@ def test_app_router(spark, tmp_path):
         "app/blog/error.tsx": "", "app/api/items/route.ts": "export async function GET() {}\nexport const POST = 1", "app/api/bad/route.ts": "", "app/util.ts": "",
     }
     by = found(spark, tmp_path, adapters.AppRouterAdapter(), {"path": "app", "exclusions": [{"path": "app/page.tsx"}, {"path": "app/none.tsx"}]}, files)
-    assert names(by, "routing:route") == ["/", "/about", "/api/bad", "/api/items", "/blog/:slug"]
+    assert names(by, "routing:route") == ["/", "/about", "/api/items", "/api/items", "/blog/:slug"]
     tail = lambda u: u.rsplit("%3A", 1)[-1].replace("%2F", "/")
     wraps = {(tail(m["sources"][0]), tail(m["targets"][0])) for m in by["mapping"] if m["relation"] == "topology:wraps"}
     assert wraps == {("app/layout.tsx", "app/blog/layout.tsx"), ("app/blog/layout.tsx", "app/blog/template.tsx")}
@@ -137,6 +137,26 @@ def test_app_router(spark, tmp_path):
     assert next(e for e in by["entity"] if e["label"] == "app/page.tsx")["attributes"]["topologyDisposition"] == "excluded"
 
 
+def test_app_router_surfaces(spark, tmp_path):
+    """Outlets, endpoints by method, hydration boundaries, and contexts told by where they are imported from."""
+    files = {
+        "app/layout.tsx": "'use client'\nimport Shade, { InkProvider as Pen } from '../lib/ink'\nimport { PenProvider } from 'pens'\n// <GhostProvider>\nexport default () => <PenProvider><ShadeProvider/></PenProvider>",
+        "app/desk/layout.tsx": "import { PenProvider as OtherProvider } from \"pens\"\nimport * as kit from '../../lib/kit'\nconst x: Set<PenProvider> = 0\nexport default () => <OtherProvider><kit.Provider /></OtherProvider>",
+        "app/desk/page.tsx": "", "app/desk/@side/page.tsx": "", "app/desk/@side/deep/page.tsx": "", "app/desk/error.tsx": "'use client'", "app/desk/sheets/route.ts": "export async function GET() {}\nexport const POST = 1",
+    }
+    by = found(spark, tmp_path, adapters.AppRouterAdapter(), {"path": "app"}, files)
+    label = {e["id"]: e["label"] for e in by["entity"]}
+    links = lambda r: {(label[m["sources"][0]], label[m["targets"][0]]) for m in by["mapping"] if m["relation"] == r}
+    assert names(by, "topology:outlet") == ["side"]
+    assert {("/desk", "side"), ("side", "/desk/@side"), ("/desk/@side", "/desk/@side/deep")} <= links("topology:contains") and ("/desk", "/desk/@side") not in links("topology:contains")
+    assert links("topology:hydrates") == {(f"Hydration boundary for {p}", p) for p in ("app/layout.tsx", "app/desk/error.tsx")}
+    assert links("routing:exposed_as") == {("/desk/sheets", "GET /desk/sheets"), ("/desk/sheets", "POST /desk/sheets")} and links("routing:handled_by") == {("/desk/sheets", "GET handler"), ("/desk/sheets", "POST handler")}
+    contexts = {(e["attributes"]["module"], e["attributes"]["symbol"]) for e in by["entity"] if e["kind"] == "topology:context"}
+    assert contexts == {("pens", "PenProvider"), ("app/layout.tsx", "ShadeProvider"), ("lib/kit", "Provider")}
+    assert links("topology:hosts_provider") == {("app/layout.tsx", "PenProvider"), ("app/layout.tsx", "ShadeProvider"), ("app/desk/layout.tsx", "OtherProvider"), ("app/desk/layout.tsx", "kit.Provider")}
+    assert links("topology:provides_context") >= {("OtherProvider", "Other"), ("PenProvider", "Other")} and {m["relation"] for m in by["mapping"]} >= {"topology:rendered_in", "topology:wraps"}
+
+
 def test_shards_and_cache(spark, tmp_path):
     shard = {"schemaVersion": "2.0.0", "id": "urn:d", "namespace": "t", "entities": [{"id": "urn:t:a", "kind": "x"}], "mappings": [], "authorities": []}
     (tmp_path / "a.json").write_text(json.dumps(shard))
