@@ -18,8 +18,9 @@ its score; where no row names a language, one threshold serves all. A score is t
 with its logit moved so that the language's threshold scores CUT.
 
 Scoring needs no convolution: a filter's response to a window is a sum of one number for each word
-and place, so a table holds every bucket's numbers, and windows are sums of looked-up rows. Texts are read
-SLICE words at a time, so a worker holds a bounded table however long a text is.
+and place, so a table holds every bucket's numbers, and windows are sums of looked-up rows. Texts are split
+and their words numbered many at a time by Arrow, so each distinct word of a batch is looked up once; rows are
+read SLICE words at a time, so a worker holds a bounded table however long a text is.
 
 Defined results: null and empty texts score as a text without words; without labelled rows of both
 kinds every score is 0; rows are scored one by one, whole, so rows that repeat an id have scores of their
@@ -30,6 +31,7 @@ empty result.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import xxhash
@@ -57,34 +59,108 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def buckets_of(chunk: str) -> tuple[int, int, int]:
     """The buckets of a word's hash and of its first four and five letters; the last one, of no word, without a letter."""
-    word = NOT_LETTERS.sub("", chunk)
-    at = lambda w, n: xxhash.xxh32_intdigest(w) % n
-    return (at(word, WORDS), WORDS + at("4" + word[:4], STEMS), WORDS + STEMS + at("5" + word[:5], STEMS)) if word else (BUCKETS,) * 3
+    word = chunk if chunk.isalpha() else NOT_LETTERS.sub("", chunk)
+    if not word:
+        return (BUCKETS,) * 3
+    hashed = xxhash.xxh32_intdigest
+    return hashed(word) % WORDS, WORDS + hashed("4" + word[:4]) % STEMS, WORDS + STEMS + hashed("5" + word[:5]) % STEMS
+
+
+#: The letters among the bytes of lower-cased ASCII words, and the longest word that hashes() takes.
+LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8))
+SHORT = 15
+
+
+def hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """xxh32 of each row's first `sizes` bytes, SHORT at most; letters: (rows, 16), zero beyond them."""
+    turn = lambda h, n: h << np.uint32(n) | h >> np.uint32(32 - n)
+    one, two, three, four, five = (np.uint32(p) for p in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    lanes, whole, h = letters.view("<u4"), sizes // 4, five + sizes.astype(np.uint32)
+    for k in range(3):
+        own = np.flatnonzero(whole > k)
+        h[own] = turn(h[own] + lanes[own, k] * three, 17) * four
+    for k in range(3):
+        own = np.flatnonzero(sizes % 4 > k)
+        h[own] = turn(h[own] + letters[own, 4 * whole[own] + k] * five, 11) * one
+    h = (h ^ h >> np.uint32(15)) * two
+    h = (h ^ h >> np.uint32(13)) * three
+    return h ^ h >> np.uint32(16)
+
+
+def buckets_of_all(words) -> tuple[np.ndarray, np.ndarray]:
+    """buckets_of() every word of an Arrow array of lower-cased words, and which are left out: long ones and those beyond ASCII."""
+    n = len(words)
+    starts = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    starts = starts - starts[0]
+    count = lambda kept: np.diff(np.concatenate([[0], np.cumsum(kept)])[starts])
+    kept = LETTER[data]
+    sizes = count(kept)
+    left = (count(data > 127) > 0) | (sizes > SHORT)
+    first, sizes, plain = np.cumsum(sizes) - sizes, np.where(left, 0, sizes), np.concatenate([data[kept], np.zeros(16, np.uint8)])
+    letters = plain[np.minimum(first, len(plain) - 16)[:, None] + np.arange(16)]
+    letters[np.arange(16) >= sizes[:, None]] = 0
+    out = np.empty((n, 3), np.uint16)
+    out[:, 0] = hashes(letters, sizes) % np.uint32(WORDS)
+    for k, stem in ((1, 4), (2, 5)):
+        marked = np.zeros((n, 16), np.uint8)
+        marked[:, 0], marked[:, 1 : 1 + stem] = ord(str(stem)), letters[:, :stem]
+        out[:, k] = hashes(marked, 1 + np.minimum(sizes, stem)) % np.uint32(STEMS) + np.uint32(WORDS + (k - 1) * STEMS)
+    out[sizes == 0] = BUCKETS
+    return out, left
+
+
+class Numbers(dict):
+    """Word to number; a word that is not there gets the next one, and its buckets go to `new`."""
+
+    def __init__(self):
+        self.new = array("H")
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = k = len(self)
+        self.new.extend(buckets_of(chunk))
+        return k
 
 
 class Vocabulary:
     """Numbers words as they come; `new` holds the buckets of those numbered since it was last emptied."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        self.new: list[tuple[int, int, int]] = []
+        self.number = Numbers()
+
+    @property
+    def new(self) -> np.ndarray:
+        return np.array(self.number.new, np.uint16).reshape(-1, 3)
+
+    def taken(self) -> np.ndarray:
+        """The buckets of the new words, which are new no more."""
+        out, self.number.new = self.new, array("H")
+        return out
 
     def read(self, chunks: list[str]) -> np.ndarray:
-        get = self.number.get
-        found = [get(c, -1) for c in chunks]
-        for i, k in enumerate(found):
-            if k < 0:
-                if (k := get(chunks[i], -1)) < 0:
-                    self.number[chunks[i]] = k = len(self.number)
-                    self.new.append(buckets_of(chunks[i]))
-                found[i] = k
-        return np.array(found, np.int64)
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
 
 def chunks_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def numbered(texts: list[str | None]) -> tuple:
+    """chunks_of() all texts, as numbers one text after another; where each text's begin, and the end; the words by number, an Arrow array."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    low = pc.utf8_trim_whitespace(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+    parts = pc.utf8_split_whitespace(low)
+    words = parts.flatten().dictionary_encode()
+    at, starts = words.indices.to_numpy(), parts.offsets.to_numpy().astype(np.int64)
+    empty = pc.equal(low, "").to_numpy(zero_copy_only=False)  # Arrow splits the empty text into one empty word
+    if empty.any():
+        at = np.delete(at, starts[:-1][empty])
+        starts = starts - np.concatenate([[0], np.cumsum(empty)])
+    return at, starts, words.dictionary
+
+
 class Encoder:
     """Texts to the buckets of their words, (words, 3); its table of known words is bounded."""
 
@@ -92,20 +168,35 @@ class Encoder:
         self.words, self.table = Vocabulary(), np.empty((KNOWN_WORDS + SLICE, 3), np.uint16)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        chunks = chunks_of(text)
-        out = np.empty((len(chunks), 3), np.uint16)
-        for a in range(0, len(chunks), SLICE):
+        return self.all([text])[0]
+
+    def all(self, texts: list[str | None]) -> list[np.ndarray]:
+        at, starts, words = numbered(texts)
+        own = self.look_up(words)
+        return [own.take(at[a:b], 0) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+    def look_up(self, words) -> np.ndarray:
+        out, left = buckets_of_all(words)
+        left = np.flatnonzero(left)
+        for a in range(0, len(left), SLICE):
             if len(self.words.number) > KNOWN_WORDS:
                 self.words = Vocabulary()
-            at = self.words.read(chunks[a : a + SLICE])
-            if self.words.new:
-                n = len(self.words.number)
-                self.table[n - len(self.words.new) : n] = self.words.new
-                self.words.new = []
-            out[a : a + SLICE] = self.table[at]
+            own = left[a : a + SLICE]
+            at = self.words.read(words.take(own).to_pylist())
+            n, new = len(self.words.number), self.words.taken()
+            self.table[n - len(new) : n] = new
+            out[own] = self.table.take(at, 0)
         return out
 
 
+def summed(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """For each word the sum of its three buckets' rows."""
+    out = table.take(buckets[:, 0], 0)
+    out += table.take(buckets[:, 1], 0)
+    out += table.take(buckets[:, 2], 0)
+    return out
+
+
 class Tally:
     """In how many texts each bucket stands: by label, and for whole words by language."""
 
@@ -138,6 +229,26 @@ def offsets() -> list[tuple[int, int]]:
 #: Of each column of the response table: its filter, and its place in the window.
 FILTER_OF = np.array([WIDTHS.index(w) * FILTERS + k for w, _ in offsets() for k in range(FILTERS)])
 PLACE_OF = np.array([j for _, j in offsets() for _ in range(FILTERS)])
+#: Of each width, the first column; and the columns by place, then width, as largest() takes them.
+FIRST_OF = [offsets().index((w, 0)) * FILTERS for w in WIDTHS]
+BY_PLACE = np.argsort(PLACE_OF, kind="stable")
+
+
+def largest(rows: np.ndarray) -> np.ndarray:
+    """Largest response of each filter to words as rows of the response table, whose columns are BY_PLACE; 0 where no window fits."""
+    n, all_filters = len(rows), len(WIDTHS) * FILTERS
+    sums, first = rows[:, :all_filters].copy(), all_filters
+    for j in range(1, max(WIDTHS)):
+        k = sum(w <= j for w in WIDTHS) * FILTERS  # filters before this reach no place j
+        sums[: max(n - j, 0), k:] += rows[j:, first : first + all_filters - k]
+        sums[max(n - j, 0) :, k:] = -np.inf
+        first += all_filters - k
+    while n > 1:  # whole rows at a time, the upper half against the lower
+        half = (n + 1) // 2
+        np.maximum(sums[: n - half], sums[half:n], out=sums[: n - half])
+        n = half
+    best = sums[0] if n else np.full(all_filters, -np.inf, np.float32)
+    return np.where(best == -np.inf, np.float32(0), best)
 
 
 class Network:
@@ -191,29 +302,28 @@ class Network:
         out.set_dense(self.dense())
         return out
 
-    def pooled(self, words: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Largest response of each filter, and where; words: embeddings, or rows of the response table."""
-        blocks = rows if rows is not None else words @ self.filters.transpose(1, 0, 2).reshape(DIMENSIONS, -1)
-        best, where = np.zeros(len(self.shift), np.float32), np.full(len(self.shift), -1)
+    def pooled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter to words as embeddings, and where."""
+        n, best, where = len(words), np.zeros(len(self.shift), np.float32), np.full(len(self.shift), -1)
+        blocks = words @ self.filters.transpose(1, 0, 2).reshape(DIMENSIONS, -1)
+        turned = np.ascontiguousarray(blocks.T)  # sums and searches run along the words
         for k, w in enumerate(WIDTHS):
-            if len(blocks) < w:
+            if n < w:
                 continue
-            first = offsets().index((w, 0)) * FILTERS
-            n = len(blocks) - w + 1
-            r = blocks[:n, first : first + FILTERS]
+            first, own = FIRST_OF[k], slice(k * FILTERS, (k + 1) * FILTERS)
+            r = turned[first : first + FILTERS, : n - w + 1]
             for j in range(1, w):
-                r = r + blocks[j : j + n, first + j * FILTERS : first + (j + 1) * FILTERS]
-            at = r.argmax(0)
-            best[k * FILTERS : (k + 1) * FILTERS] = r[at, np.arange(FILTERS)]
-            where[k * FILTERS : (k + 1) * FILTERS] = at
+                r = r + turned[first + j * FILTERS : first + (j + 1) * FILTERS, j : j + n - w + 1]
+            where[own] = at = r.argmax(1)
+            best[own] = r[np.arange(FILTERS), at]
         return best, where
 
     def read(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """pooled() of a text of any length, SLICE words at a time; windows that cross two slices are in one of them."""
-        best, where = self.pooled(self.embed[buckets[:SLICE]].sum(1))
+        best, where = self.pooled(summed(self.embed, buckets[:SLICE]))
         step = SLICE - max(WIDTHS) + 1
         for a in range(step, len(buckets), step):
-            own, at = self.pooled(self.embed[buckets[a : a + SLICE]].sum(1))
+            own, at = self.pooled(summed(self.embed, buckets[a : a + SLICE]))
             wins = (at >= 0) & (own > best)
             best, where = np.where(wins, own, best), np.where(wins, at + a, where)
         return best, where
@@ -342,7 +452,7 @@ def judged(net: Network, speaks: np.ndarray, words: np.ndarray) -> tuple[int, in
 
 def finished(net: Network, speaks: np.ndarray, cuts: np.ndarray) -> dict:
     """The model that a Scorer takes; the table says all that scoring needs of the embeddings."""
-    table = np.concatenate([net.responses(), speaks], 1)
+    table = np.ascontiguousarray(np.concatenate([net.responses()[:, BY_PLACE], speaks], 1))
     net.embed = net.embed[:0]
     return {"net": net, "table": table, "cuts": cuts}
 
@@ -387,7 +497,7 @@ def encode_batches(batches):
 
     encoder = Encoder()
     for batch in batches:
-        words = pa.array([encoder(t.as_py()).tobytes() for t in batch.column(5)], pa.binary())
+        words = pa.array([own.tobytes() for own in encoder.all(batch.column(5).to_pylist())], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], words], names=["_shard", "_order", "_check", "_label", "_lang", "_words"])
 
 
@@ -520,28 +630,31 @@ class Scorer:
             self.net, self.table, self.cuts = model["net"], model["table"], model["cuts"]
             self.n_langs = len(self.cuts) - 1
             self.at = float(np.log(CUT / (1 - CUT)))
-            self.rows = np.empty((KNOWN_WORDS + SLICE, self.table.shape[1]), np.float32)
-            self.words = Vocabulary()
-
-    def look_up(self, chunks: list[str]) -> np.ndarray:
-        if len(self.words.number) > KNOWN_WORDS:
-            self.words = Vocabulary()
-        words = self.words.read(chunks)
-        if self.words.new:
-            n = len(self.words.number)
-            self.rows[n - len(self.words.new) : n] = self.table[np.array(self.words.new)].sum(1)
-            self.words.new = []
-        return self.rows[words]
+            self.encoder = Encoder()
 
     def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
         if not self.model:
-            return 0.0
-        chunks, width = chunks_of(text), max(WIDTHS)
+            return [0.0] * len(texts)
+        at, starts, words = numbered(texts)
+        buckets = self.encoder.look_up(words)
+        if len(buckets) <= KNOWN_WORDS:
+            table = summed(self.table, buckets)
+            rows = lambda a, b: table.take(at[a:b], 0)
+        else:
+            rows = lambda a, b: summed(self.table, buckets.take(at[a:b], 0))
+        return [self.score_rows(rows, a, b) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+    def score_rows(self, rows, start: int, end: int) -> float:
+        """The score of the words from start to end; rows(a, b) gives the table's rows of those from a to b."""
+        width = max(WIDTHS)
         best, weights = np.zeros(len(self.net.shift), np.float32), np.zeros(self.n_langs, np.float64)
-        for a in range(0, len(chunks), SLICE - width + 1):  # windows that cross two slices are in one of them
-            found = self.look_up(chunks[a : a + SLICE])
-            own, _ = self.net.pooled(found, found)
-            best = own if not a else np.where(np.arange(len(own)) // FILTERS < min(len(found), width), np.maximum(best, own), best)
+        for a in range(start, end, SLICE - width + 1):  # windows that cross two slices are in one of them
+            found = rows(a, min(end, a + SLICE))
+            own = largest(found)
+            best = own if a == start else np.where(np.arange(len(own)) // FILTERS < min(len(found), width), np.maximum(best, own), best)
             weights += found[: SLICE - width + 1, found.shape[1] - self.n_langs :].sum(0, dtype=np.float64)
         z = self.net.logit(best) - self.cuts[guess(weights)] + self.at
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
@@ -555,7 +668,7 @@ def score_batches(model: dict | None):
 
         scorer = Scorer(model)
         for batch in batches:
-            scores = [scorer.score(t.as_py()) for t in batch.column(2)]
+            scores = scorer.scores(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32())], names=["_id", "held_out", "score", "predicted"])
 
     return run
@@ -569,7 +682,7 @@ def keep_batches(model: dict | None, text: int):
 
         scorer = Scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t.as_py()) < CUT for t in batch.column(text)], pa.bool_()))
+            yield batch.filter(pa.array([s < CUT for s in scorer.scores(batch.column(text).to_pylist())], pa.bool_()))
 
     return run
 

@@ -589,6 +589,38 @@ def test_toxicity_in_slices(spark, monkeypatch):
     assert np.allclose([toxicity.Scorer(model).score(t) for t in texts], whole, atol=1e-5)
 
 
+def test_toxicity_looks_words_up_once(monkeypatch):
+    """A distinct word of a batch is hashed by itself once at most, however small the table of known words; scores are those of single texts."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [" ".join([*prose(k, 30).split(), "idiot" * (k % 2), r.choice(["é", "ß9", "x" * 20])]) for k in range(200)]
+    encode = toxicity.Encoder()
+    model = toxicity.fit([encode(t) for t in texts], [int("idiot" in t) for t in texts], [None] * 200)
+    single = [toxicity.Scorer(model).score(t) for t in [*texts, None]]
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 20)
+    met, plain = [], toxicity.buckets_of
+    monkeypatch.setattr(toxicity, "buckets_of", lambda w: met.append(w) or plain(w))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(201)), pa.array([False] * 201), pa.array([*texts, None])], names=["_id", "_held", "_text"])
+    (got,) = toxicity.score_batches(model)([batch])
+    assert len(met) == len(set(met)) <= len({w for t in texts for w in toxicity.chunks_of(t)})
+    assert np.allclose(got.column("score").to_pylist(), single, atol=1e-5)
+
+
+def test_toxicity_words_of_every_code_point():
+    """The words of many texts, and their buckets, are those of each by itself."""
+    texts = [form for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF for form in (f"{chr(c)}aB{chr(c)}c, d{chr(c)} ",)]
+    for k in range(0, len(texts), 100_000):
+        at, starts, words = toxicity.numbered(texts[k : k + 100_000])
+        want = [toxicity.chunks_of(t) for t in texts[k : k + 100_000]]
+        assert words.take(at).to_pylist() == [w for t in want for w in t] and np.diff(starts).tolist() == [len(t) for t in want]
+        some = words.slice(3, 5000)
+        assert toxicity.Encoder().look_up(some).tolist() == [list(toxicity.buckets_of(w)) for w in some.to_pylist()]
+    long = ["", "12", "a" * 15 + ".", "a" * 16, "a" * 15 + "é", *(f"{'wxyz' * 4}"[:n] for n in range(16))]
+    assert np.concatenate(toxicity.Encoder().all(long)).tolist() == [list(toxicity.buckets_of(w)) for w in long if w]
+    assert [len(x) for x in toxicity.Encoder().all([None, "", " a ", "\t"])] == [0, 0, 1, 0] and toxicity.Encoder().all([]) == []
+
+
 def test_toxicity_learns_from_every_label(spark):
     """A word that only rows far down in the order of the ids' hash have is learned, however the rows are dealt."""
     from pyspark.sql import functions as F
