@@ -25,6 +25,7 @@ import itertools
 import json
 import os
 import re
+import string
 import struct
 import unicodedata
 import uuid
@@ -42,6 +43,10 @@ BLOCK_BITS = 1 << 16
 END_ID = 1
 MAGIC = b"WVM1"
 CACHE_WORDS = 400_000
+#: Rows that are encoded together, words that the model gets at a time, and tails of marks that are kept.
+ROWS, JOINED, TAILS = 1024, 1024, 1 << 12
+#: Marks that may end a chunk; not the apostrophe, which the vocabulary's rules join with letters.
+TAIL = string.punctuation.replace("'", "")
 MARKS = (b"\xcc", b"\xcd")
 GAPS = re.compile(r"[^\S\x1c-\x1f]+")
 
@@ -55,9 +60,10 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     for level in range(bits - 1, -1, -1):
         ones = (now & now.dtype.type(1 << level)) != 0
         planes.append(np.packbits(ones, bitorder="little"))
-        low = now.compress(~ones)
-        zeros.append(len(low))
-        now = np.concatenate([low, now.compress(ones)])
+        zeros.append(len(now) - int(np.count_nonzero(ones)))
+        last, now = now, np.empty_like(now)
+        last.compress(~ones, out=now[: zeros[-1]])
+        last.compress(ones, out=now[zeros[-1] :])
     return planes, zeros
 
 
@@ -186,16 +192,22 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in prints else next(spare) for b in range(256)}
 
 
-class Known(dict):
-    """Chunk to ids; a chunk that is not there is encoded and kept."""
+def pieced(pieces: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces of these numbers one after another, and how many each has."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    return gathered(np.frombuffer(b"".join(pieces), "<u4"), sizes, which)
 
-    def __init__(self, encoder: WordEncoder, older: dict):
-        self.encoder, self.older = encoder, older
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.older.get(chunk)
-        self[chunk] = found = self.encoder.one(chunk) if found is None else found
-        return found
+def gathered(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pieced() of pieces that lie one after another in ids."""
+    own = sizes[which]
+    shift = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(own) - own)
+    return ids.take(np.repeat(shift, own) + np.arange(own.sum())), own
+
+
+def strings(words) -> list[str]:
+    """An Arrow array without nulls as a list; to_pylist() takes six times as long."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class WordEncoder:
@@ -203,50 +215,126 @@ class WordEncoder:
 
     The vocabulary's rules drop white space, never look across it, lower-case, and part letters from
     punctuation. So a text's ids are those of its chunks in turn, and a chunk of letters that ends in
-    a comma or a full stop has the ids of the letters and of the mark. Letters whose normal form is
-    themselves go straight to the library's BPE model; all other chunks take its whole way, so no
-    chunk's ids depend on what was met before.
+    marks has the ids of the letters and of the marks. Letters whose normal form is themselves go
+    straight to the library's BPE model, many words in a call; all other chunks take its whole way, so
+    no chunk's ids depend on what was met before. Arrow splits the texts and numbers their distinct chunks.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
-        self.letters = byte_letters()
-        self.known = Known(self, {})
-        self.marks = {m: self.whole(m) for m in ",."}
+        self.model = Tokenizer(self.tokenizer.model)  # without rules, but for the blanks between words
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        size, last = self.tokenizer.get_vocab_size(), self.tokenizer.model.end_of_word_suffix
+        self.packed = [struct.pack("<I", i) for i in range(size)]
+        self.ends = np.array([bool(last) and (self.tokenizer.id_to_token(i) or "").endswith(last) for i in range(size)])
+        self.letters = {b: c for b, c in byte_letters().items() if b != ord(" ")}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, chunk: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(chunk, add_special_tokens=False).ids))
 
-    def one(self, chunk: str) -> bytes:
-        core, tail = (chunk[:-1], self.marks[chunk[-1]]) if chunk[-1] in ",." else (chunk, b"")
-        if not core.isalpha() or core != core.lower():
-            return self.whole(chunk)
-        if not core.isascii() and not unicodedata.is_normalized("NFC", core):
-            return self.whole(chunk)
-        if tail and core in self.known:
-            return self.known[core] + tail
-        if core.isascii():
-            return b"".join([self.packed[t.id] for t in self.tokenize(core)]) + tail
-        return b"".join([self.packed[t.id] for t in self.tokenize(core.encode().decode("latin-1").translate(self.letters))]) + tail
+    def tail(self, marks: str) -> bytes:
+        found = self.tails.get(marks)
+        if found is None:
+            if len(self.tails) >= TAILS:
+                self.tails.clear()
+            self.tails[marks] = found = self.whole(marks)
+        return found
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, told apart by the model's ends of words."""
+        out = []
+        for k in range(0, len(words), JOINED):
+            own = words[k : k + JOINED]
+            text = " ".join(own)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(own):
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            else:  # a vocabulary that marks no ends
+                out += [b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(w)]) for w in text.split(" ")]
+        return out
+
+    def other(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks of any kind."""
+        words: dict[str, bytes] = {}
+        out: list = []
+        for chunk in chunks:
+            core = chunk.rstrip(TAIL)
+            if not core.isalpha() or core != core.lower() or not core.isascii() and not unicodedata.is_normalized("NFC", core):
+                out.append(self.whole(chunk))
+            else:
+                words[core] = b""
+                out.append((core, chunk[len(core) :]))
+        words = dict(zip(words, self.plain(list(words)), strict=True))
+        return [x if isinstance(x, bytes) else words[x[0]] + self.tail(x[1]) if x[1] else words[x[0]] for x in out]
+
+    def look_up(self, chunks: list[str], encode) -> list[bytes]:
+        """The ids of distinct chunks; encode gives those of the ones that are not known."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [c for c in chunks if c not in known]
+        if older and new:
+            known.update((c, older[c]) for c in new if c in older)
+            new = [c for c in new if c not in older]
+        if new:
+            known.update(zip(new, encode(new), strict=True))
+        return list(map(known.__getitem__, chunks))
+
+    def ids_of(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, an Arrow array, one after another, and how many each has."""
+        import pyarrow.compute as pc
+
+        # ASCII letters are known without the marks after them, and both are put together here
+        cores = pc.ascii_rtrim(words, TAIL)
+        plain = pc.and_(pc.ascii_is_alpha(cores), pc.ascii_is_lower(cores))
+        keys, rest = cores.filter(plain).dictionary_encode(), words.filter(pc.invert(plain))
+        plain = plain.to_numpy(zero_copy_only=False)
+        pieces = self.look_up(strings(keys.dictionary), self.plain)
+        which = np.empty((len(words), 2), np.int64)
+        which[plain, 0], which[~plain, 0] = keys.indices.to_numpy(), np.arange(len(pieces), len(pieces) + len(rest))
+        pieces += self.look_up(strings(rest), self.other)
+        sizes = [pc.binary_length(x).to_numpy() for x in (cores, words)]
+        own, tails = np.flatnonzero(plain & (sizes[0] < sizes[1])), {"": 0}
+        each = zip(strings(words.take(own)), sizes[0][own].tolist(), strict=True)
+        which[:, 1] = len(pieces)
+        which[own, 1] += np.array([tails.setdefault(w[n:], len(tails)) for w, n in each], np.int64)
+        ids, counts = pieced([*pieces, b"", *(self.tail(t) for t in tails if t)], which.ravel())
+        return ids, counts.reshape(-1, 2).sum(1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = Known(self, dict(self.known))
-        out, ids = [], self.known.__getitem__
-        for text in texts:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        low, odd = [], {}
+        for k, text in enumerate(texts):
             # Python's lower case is the library's, but for the capital sigma and the dotted I; the library
             # composes first, so capitals with marks (U+0300 to U+037F, by their first byte) are left to it
             if text.isascii() or not any(map(text.encode("utf-8", "replace").__contains__, MARKS)) and "\u03a3" not in text and "\u0130" not in text:
                 text = text.lower()
-            # Python splits at four separators that are no white space to the library
-            chunks = text.split() if not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else [w for w in GAPS.split(text) if w]
-            out.append(b"".join(map(ids, chunks)))
+            # Arrow, as Python, splits at four separators that are no white space to the library
+            if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):
+                odd[k], text = [w for w in GAPS.split(text) if w], ""
+            low.append(text)
+        parts = pc.utf8_split_whitespace(pa.array(low, pa.large_string()))
+        words = parts.flatten().dictionary_encode()
+        ids, sizes = self.ids_of(words.dictionary)  # of an empty word, which Arrow finds before and after white space, none
+        ids, counts = gathered(ids, sizes, words.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(counts)])[parts.offsets.to_numpy()].tolist()
+        out = [ids[a:b].tobytes() for a, b in itertools.pairwise(ends)]
+        for k, chunks in odd.items():
+            at = {c: n for n, c in enumerate(dict.fromkeys(chunks))}
+            out[k] = pieced(self.look_up(list(at), self.other), np.array([at[c] for c in chunks], np.int64))[0].tobytes()
         return out
 
 
@@ -285,8 +373,8 @@ def write_shards(folder: str, tokenizer_path: str, shard_tokens: int, end_id: in
             held, ids, lengths, size, number = [], [], [], 0, number + 1
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                ranges, doc_ids, texts = (c.to_pylist() for c in batch.slice(i, 128).columns)
+            for i in range(0, batch.num_rows, ROWS):
+                ranges, doc_ids, texts = (c.to_pylist() for c in batch.slice(i, ROWS).columns)
                 for r, d, data in zip(ranges, doc_ids, encoder.encode(texts), strict=True):
                     n = len(data) // 4 + 1
                     if r != now or size + n > shard_tokens:

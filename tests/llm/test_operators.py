@@ -275,6 +275,32 @@ def test_words_of_every_code_point(words):
             assert encoder.encode([text])[0] == struct.pack(f"<{len(want)}I", *want), points[k]
 
 
+def test_words_encoded_once(words, monkeypatch):
+    """Letters met with many kinds of marks are encoded once, in few calls of the model; the ids are the library's, in small caches too."""
+    r = random.Random(8)
+    cores = ["".join(r.choice("aeionrstü") for _ in range(r.randint(3, 12))) for _ in range(300)]
+    cores = [*dict.fromkeys(cores)]
+    texts = ["", " ", "\x1c a,\x1db", *(" ".join(c + m for c in cores[k::7] for m in ("", ",", ".", "***", ",###", "!?", "'s", "'", "3")) + " \t" for k in range(7))]
+    want = []
+    for t in texts:
+        ids = wavelet.WordEncoder(words).tokenizer.encode(t, add_special_tokens=False).ids
+        want.append(struct.pack(f"<{len(ids)}I", *ids))
+    encoder, met = wavelet.WordEncoder(words), []
+    assert encoder.encode(texts) == want and encoder.encode([]) == []
+    encoder, plain = wavelet.WordEncoder(words), wavelet.WordEncoder.plain
+    monkeypatch.setattr(wavelet.WordEncoder, "plain", lambda self, own: met.append(own) or plain(self, own))
+    assert encoder.encode(texts) == want and len(met) <= 4
+    ascii_met = [w for own in met for w in own if w.isascii()]
+    assert len(ascii_met) == len(set(ascii_met)) == sum(c.isascii() for c in cores)
+    monkeypatch.setattr(wavelet, "CACHE_WORDS", 5)
+    monkeypatch.setattr(wavelet, "TAILS", 2)
+    monkeypatch.setattr(wavelet, "JOINED", 3)
+    assert [encoder.encode([t])[0] for t in texts] == want
+    encoder.ends[:] = False  # a vocabulary without ends of words
+    encoder.known, encoder.older = {}, {}
+    assert encoder.encode(texts) == want
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for n, top in ((1, 2), (70_000, 50), (140_000, 49_000), (0, 9)):
